@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, mixing, packing, splitting
+from quern.llm import lookalikes, mixing, neighbours, packing, splitting
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "memory_records"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neighbours.nearest(table(spark, d, "memory_records"))
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     content = lookalikes.alike_pairs(table(spark, d, "memory_records"), "id", "content")
     payload = lookalikes.alike_pairs(table(spark, d, "attack_corpus"), "attack_id", "payload")
@@ -62,7 +71,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name to function of session and data directory."""
-    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

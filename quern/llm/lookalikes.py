@@ -135,8 +135,8 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical") -> Dat
     clusters = _clusters(spark, found.distinct())
     tokens = hard.select("__k", "__h", F.posexplode("__x").alias("pos", "token"))
     tokens = tokens.join(table, tokens["token"] == table["cp"], "left").select("__k", "__h", "pos", "token", "one")
-    # Only tokens with marks look for a match here; null keys are never shuffled together as they match nothing.
-    want = F.when((F.length("token") > 1) & with_marks, F.col("token"))
+    # Only tokens with marks can match here; the others get keys that match nothing and spread evenly.
+    want = F.when((F.length("token") > 1) & with_marks, F.col("token")).otherwise(F.concat(F.lit("\x00"), "pos"))
     tokens = tokens.withColumn("cluster", want).join(clusters.withColumnRenamed("token", "cluster"), "cluster", "left")
     form = F.coalesce("mapped", "one", F.regexp_replace("token", ASCII_NOTHING, ""))
     parts = tokens.select("__k", "__h", F.struct("pos", form.alias("form")).alias("p"))
