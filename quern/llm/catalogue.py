@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, mixing, neighbours, packing, splitting
+from quern.llm import credentials, lookalikes, mixing, neighbours, packing, splitting
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("seq", "id", F.col("piece_index").alias("prov_chunk_index"), "piece_start", "piece_overlap", "piece")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_records").select("seq", "id", "scope_key", "content")
+    places = credentials.find(rows).select("k", F.col("line").alias("line_no")).distinct()
+    return places.join(rows.select(F.col("seq").alias("k"), "id"), "k").select("id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_records").select("seq", "id", "scope_key", "content")
+    return credentials.redact(rows, credentials.find(rows)).select("seq", "id", "redacted")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, d, "documents"))
     return packed.filter("part > 0").select("doc_id").distinct()
@@ -71,7 +82,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name to function of session and data directory."""
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
