@@ -8,13 +8,14 @@ put in order of combining class, and composed again. Then texts are rebuilt in o
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import checkpointed
+
 # Letters whose usual shape equals that of a Latin letter, by that letter.
 SAME_SHAPE = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ",
@@ -71,10 +72,12 @@ def apart(ch: str) -> str:
 def mapping() -> list[tuple[str, str, str, int]]:
     """(code point, decomposed form, composed form, combining class) of all that change or are marks."""
     out = []
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF or 0xE000 <= cp <= 0xF8FF or 0x4E00 <= cp <= 0x9FFF or cp >= 0xF0000:
-            continue
+    # Ideographs and private planes change nothing here.
+    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xD800), *range(0xF900, 0x20000), *range(0xE0000, 0xE1000)]:
         ch = chr(cp)
+        plain = not unicodedata.decomposition(ch) and unicodedata.category(ch) in ("Lo", "Ll", "Lu", "So", "Sm", "Cn", "Nd", "Po")
+        if plain and not 0xAC00 <= cp <= 0xD7A3 and ch not in _letters() and not shows_nothing(ch):
+            continue
         d, k = apart(ch), unicodedata.combining(ch)
         if d != ch or k:
             out.append((ch, d, unicodedata.normalize("NFC", d), k))
@@ -153,7 +156,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     forms that more than one distinct text has.
     """
     c = canonical(df, key, text).filter("canonical IS NOT NULL")
-    c = c.select(F.col(key).alias("key"), "text_hash", F.md5("canonical").alias("form_hash"))
+    c = checkpointed(c.select(F.col(key).alias("key"), F.unhex("text_hash").alias("text_hash"), F.unhex(F.md5("canonical")).alias("form_hash")))
     several = c.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi").select("form_hash")
     c = c.join(several, "form_hash", "left_semi")
     a = c.select("form_hash", F.col("key").alias("key_a"), F.col("text_hash").alias("ta"))
