@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import credentials, lookalikes, mixing, neighbours, packing, splitting
+from quern.llm import credentials, lookalikes, mixing, neighbours, packing, personal, splitting
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_records").select("id", "content")
+    found = personal.scan(rows, table(spark, d, "name_lexicon"), redact=False)
+    return found.select("id", F.explode("pii_types").alias("pii_type")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_records").select("seq", "content")
+    return personal.scan(rows, table(spark, d, "name_lexicon"), key="seq").select("seq", "redacted")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "memory_records").select("id", "content", "prov_source_file")
     pieces = splitting.split_oversized(rows).filter("is_cut")
@@ -82,7 +93,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name to function of session and data directory."""
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
