@@ -27,12 +27,13 @@ from quern.session import checkpointed, partitions_for
 
 K = 10
 MIN_SIMILARITY = 0.90
-RECALL = 0.985  # aimed at for neighbours at exactly the least similarity; higher above it
+RECALL = 0.95  # aimed at for neighbours at exactly the least similarity; higher above it
 FIT_ROWS = 20_000  # vectors the rotations are learned from, over all spaces
 LEAST_FIT = 500  # spaces with fewer sampled vectors get random rotations
 ROTATION_STEPS = 8
-BUCKET_ROWS = 400_000  # index entries a task holds at once
-PAIR_BLOCK = 2_000_000  # candidate pairs a task holds at once
+CLASS_BYTES = 12  # of the hash that names a vector's class
+BUCKET_ROWS = 120_000  # index entries a task holds at once
+PAIR_BLOCK = 500_000  # candidate pairs a task holds at once
 
 
 def usable(vector: Column, dim: Column) -> Column:
@@ -47,8 +48,8 @@ def flip_rate(similarity: float) -> float:
 
 
 def index_shape(rows: int, min_similarity: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a substring (even), and how many substrings reach the recall."""
-    bits = max(8, min(32, 2 * int(math.log2(max(2, rows)) / 2)))
+    """Bits of a substring, near log2(rows) in steps of four, and how many substrings reach the recall."""
+    bits = max(8, min(28, 4 * round((math.log2(max(2, rows)) - 1) / 4)))
     p = flip_rate(min_similarity)
     near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-near))) if near < 1 else 1
@@ -114,12 +115,12 @@ def encode(codes: dict, bits: int, sub: int):
                 packed = np.packbits((x - mean) @ r >= 0, axis=1)
                 x32, tag = x.astype("f4"), f"{name}\0{dim}"
                 seed = blake2b(tag.encode(), digest_size=8).digest()
-                number = int.from_bytes(seed, "little", signed=True)
+                number = int.from_bytes(seed[:4], "little", signed=True)
                 for j, i in enumerate(rows):
                     raw = x32[j].tobytes()
-                    cls[i], code[i], unit[i], space[i] = blake2b(raw, digest_size=16, key=seed).digest(), packed[j].tobytes(), raw, number
+                    cls[i], code[i], unit[i], space[i] = blake2b(raw, digest_size=CLASS_BYTES, key=seed).digest(), packed[j].tobytes(), raw, number
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(space, pa.int64()), pa.array(cls, pa.binary()), pa.array(code, pa.binary()), pa.array(unit, pa.binary())],
+                [ids, pa.array(space, pa.int32()), pa.array(cls, pa.binary()), pa.array(code, pa.binary()), pa.array(unit, pa.binary())],
                 names=["id", "space", "class", "code", "unit"],
             )
 
@@ -127,7 +128,10 @@ def encode(codes: dict, bits: int, sub: int):
 
 
 def index_entries(bits: int, sub: int):
-    """Function of (space, class, code) batches giving one entry per substring and half."""
+    """Function of (space, class, code) batches giving one entry per substring and half.
+
+    An entry is one number: 32 bits of the space, then the half's place (16) and its value (16).
+    """
     half = sub // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +140,12 @@ def index_entries(bits: int, sub: int):
             if not n:
                 continue
             code = _bits(b.column("code"), bits)
-            parts = code.reshape(n, bits // half, half).astype("u4")
-            value = (parts << np.arange(half, dtype="u4")).sum(2, dtype="i8")
+            value = _substrings(code, half, bits // half).astype("i8")
             where = np.arange(bits // half, dtype="i8")
-            # One number names the substring, its half and the half's value.
-            entry = (where[None, :] << half) + value
-            take = np.repeat(np.arange(n), bits // half)
-            t = b.select(["space", "class", "code"]).take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), *t.columns], names=["entry", "space", "class", "code"])
+            space = b.column("space").to_numpy(zero_copy_only=False).astype("i8") << 32
+            entry = space[:, None] + (where[None, :] << 16) + value
+            t = b.select(["class", "code"]).take(pa.array(np.repeat(np.arange(n), bits // half)))
+            yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), *t.columns], names=["entry", "class", "code"])
 
     return run
 
@@ -162,17 +164,15 @@ def bucket_pairs(bits: int, sub: int, bound: int):
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        t = t.take(pa.compute.sort_indices(t, sort_keys=[("space", "ascending"), ("entry", "ascending")])).combine_chunks()
-        entry, space = t.column("entry").to_numpy(), t.column("space").to_numpy()
-        classes = t.column("class").combine_chunks()
-        raw = np.frombuffer(b"".join(classes.to_pylist()), dtype=">u8").reshape(-1, 2)
+        t = t.take(pa.compute.sort_indices(t, sort_keys=[("entry", "ascending")])).combine_chunks()
+        entry = t.column("entry").to_numpy()
+        raw = np.frombuffer(b"".join(t.column("class").to_pylist()), dtype=f"V{CLASS_BYTES}")
         code = _bits(t.column("code").combine_chunks(), bits)
         words = np.packbits(np.pad(code, ((0, 0), (0, -bits % 64))), axis=1).view("u8")
-        where = (entry >> half).astype("i8")
-        values = (code.reshape(len(code), bits // half, half).astype("u4") << np.arange(half, dtype="u4")).sum(2, dtype="i8")
-        other = np.take_along_axis(values, (where ^ 1)[:, None], 1)[:, 0]
+        where = (entry >> 16) & 0xFFFF
+        other = code.reshape(len(code), bits // half, half)[np.arange(len(code)), where ^ 1].astype("i8") @ (1 << np.arange(half, dtype="i8"))
         # Rows of one bucket, sorted by the other half, so that a probe is a range.
-        new = np.r_[True, (entry[1:] != entry[:-1]) | (space[1:] != space[:-1])]
+        new = np.r_[True, entry[1:] != entry[:-1]]
         bucket = np.cumsum(new) - 1
         key = (bucket.astype("i8") << half) + other
         order = np.argsort(key, kind="stable")
@@ -189,11 +189,9 @@ def bucket_pairs(bits: int, sub: int, bound: int):
             a, b = a[first], b[first]
             if not len(a):
                 return None
-            less = (raw[a, 0] < raw[b, 0]) | ((raw[a, 0] == raw[b, 0]) & (raw[a, 1] < raw[b, 1]))
-            lo, hi = np.where(less, a, b), np.where(less, b, a)
+            both = [sorted((x.tobytes(), y.tobytes())) for x, y in zip(raw[a], raw[b])]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in raw[lo]], pa.binary()), pa.array([x.tobytes() for x in raw[hi]], pa.binary())],
-                names=["class_a", "class_b"],
+                [pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["class_a", "class_b"]
             )
 
         idx = np.arange(len(key))
@@ -221,8 +219,10 @@ def bucket_pairs(bits: int, sub: int, bound: int):
 
 
 def _substrings(code: np.ndarray, sub: int, n_sub: int) -> np.ndarray:
-    parts = code.reshape(len(code), n_sub, sub).astype("u4")
-    return (parts << np.arange(sub, dtype="u4")).sum(2, dtype="u4")
+    out = np.zeros((len(code), n_sub), dtype="u4")
+    for i in range(sub):
+        out |= code[:, i::sub].astype("u4") << np.uint32(i)
+    return out
 
 
 def nearest(
@@ -240,18 +240,19 @@ def nearest(
     total = df.count()
     sub, n_sub = index_shape(total, min_similarity, recall)
     bits = sub * n_sub
-    sample = src.orderBy(F.xxhash64("id")).limit(FIT_ROWS).toPandas()
+    sample = src.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / max(1, total)) * (1 << 30)))
+    sample = sample.limit(2 * FIT_ROWS).toPandas()
     codes = learn_codes(sample, bits)
     kind = src.schema["id"].dataType.simpleString()
-    coded = src.mapInArrow(encode(codes, bits, sub), f"id {kind}, space bigint, class binary, code binary, unit binary")
+    coded = src.mapInArrow(encode(codes, bits, sub), f"id {kind}, space int, class binary, code binary, unit binary")
     # One vector an id; then members and classes, kept apart so that ids never travel with vectors again.
     coded = coded.groupBy("id").agg(F.min(F.struct("class", "space", "code", "unit")).alias("v")).select("id", "v.*")
     coded = checkpointed(coded)
     members = coded.select("id", "class")
     classes = coded.groupBy("class").agg(F.min(F.struct("space", "code")).alias("v")).select("class", "v.*")
-    entries = classes.select("space", "class", "code").mapInArrow(index_entries(bits, sub), "entry bigint, space bigint, class binary, code binary")
+    entries = classes.select("space", "class", "code").mapInArrow(index_entries(bits, sub), "entry bigint, class binary, code binary")
     parts = partitions_for(total * n_sub * 2, BUCKET_ROWS, 1)
-    pairs = entries.repartition(parts, "space", "entry").mapInArrow(
+    pairs = entries.repartition(parts, "entry").mapInArrow(
         bucket_pairs(bits, sub, hamming_bound(bits, min_similarity)), "class_a binary, class_b binary"
     )
     units = coded.groupBy("class").agg(F.min("unit").alias("unit"))
@@ -280,7 +281,7 @@ def _rerank(pairs: DataFrame, units: DataFrame, min_similarity: float) -> DataFr
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sims = [
-                float(np.dot(np.frombuffer(x, "f4").astype("f8"), np.frombuffer(y, "f4").astype("f8")))
+                float(np.dot(np.frombuffer(x, "f4").astype("f8"), np.frombuffer(y, "f4").astype("f8"))) if len(x) == len(y) else -1.0
                 for x, y in zip(b.column("ua").to_pylist(), b.column("ub").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([b.column("class_a"), b.column("class_b"), pa.array(sims, pa.float64())], names=["class_a", "class_b", "similarity"])
