@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import credentials, lookalikes, mixing, neighbours, packing, personal, splitting
+from quern.llm import credentials, lookalikes, mixing, neighbours, packing, personal, splitting, stuffing
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +91,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs, mixing.plan_shares(docs, table(spark, d, "source_weights")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = stuffing.features(table(spark, d, "documents").select("doc_id", "text"))
+    return pages.filter(stuffing.is_stuffed()).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.features(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     """Query name to function of session and data directory."""
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
