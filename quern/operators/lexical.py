@@ -22,12 +22,15 @@ STOPWORDS = tuple(
 
 @cache
 def _plain_letters() -> tuple[str, str]:
-    """Letters with marks and their bare letters, of one code point each; and marks, to be dropped."""
+    """Letters with marks and their bare letters, of one code point each; and accents, to be dropped.
+
+    Other marks, such as joiners, end a word.
+    """
     pairs, marks = [], []
     for cp in range(0xC0, 0x2000):
         ch = chr(cp)
         d = unicodedata.normalize("NFD", ch)
-        if unicodedata.category(ch) == "Mn":
+        if 0x300 <= cp <= 0x331:
             marks.append(ch)
         elif len(d) > 1 and unicodedata.category(d[0])[0] == "L" and all(unicodedata.category(x) == "Mn" for x in d[1:]):
             pairs.append((ch, d[0]))

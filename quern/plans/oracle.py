@@ -17,8 +17,8 @@ st AS (SELECT g, max(seq) AS seq, max(proof_count) AS proof FROM acc GROUP BY g)
 cur AS (SELECT m.* REPLACE (st.proof AS proof_count) FROM w m JOIN st ON m.seq = st.seq)"""
 
 STOP = "(" + ",".join(f"'{w}'" for w in STOPWORDS) + ")"
-FOLD = "strip_accents(lower({}))"
-TOK = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+# Marks other than accents end a word.
+TOK = r"regexp_extract_all(strip_accents(regexp_replace(lower({}), '[^\P{{Mn}}\x{{300}}-\x{{331}}]', ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
 ETOK = r"list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN " + STOP + ")"
 
 
