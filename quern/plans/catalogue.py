@@ -131,7 +131,9 @@ def board_snapshot(spark, d):
 
 
 def metadata_typed_decode(spark, d):
-    return records.typed_metadata(table(spark, d, "record_metadata"))
+    # Shown as text, as a column of whole numbers with gaps has no one form in data frames.
+    t = records.typed_metadata(table(spark, d, "record_metadata"))
+    return t.withColumns({c: F.col(c).cast("string") for c in ("int_value", "bool_value")})
 
 
 def record_ids(spark, d):

@@ -136,9 +136,9 @@ def sql() -> dict[str, str]:
             for leg, c, o, n in (("rules", RULES, "created_at, id", 5), ("majors", MAJORS.format("major"), "created_at, id", 10), ("recent", RECENT, "created_at DESC, id DESC", 10))
         ),
         "metadata_typed_decode": r"""SELECT record_id, meta_key, vtype, CASE WHEN vtype='str' THEN meta_value END AS str_value,
-            CASE WHEN vtype='int' AND regexp_full_match(meta_value,'[+-]?[0-9]{1,18}') THEN try_cast(meta_value AS BIGINT) END AS int_value,
+            CASE WHEN vtype='int' AND regexp_full_match(meta_value,'[+-]?[0-9]{1,18}') THEN try_cast(meta_value AS BIGINT)::VARCHAR END AS int_value,
             CASE WHEN vtype='float' AND regexp_full_match(meta_value,'[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?') THEN try_cast(meta_value AS DOUBLE) END AS float_value,
-            CASE WHEN vtype='bool' AND lower(meta_value) IN ('1','true') THEN true WHEN vtype='bool' AND lower(meta_value) IN ('0','false') THEN false END AS bool_value
+            CASE WHEN vtype='bool' AND lower(meta_value) IN ('1','true') THEN 'true' WHEN vtype='bool' AND lower(meta_value) IN ('0','false') THEN 'false' END AS bool_value
             FROM (SELECT DISTINCT * FROM record_metadata)""",
         "record_ids": """WITH x AS (SELECT seq, id, 'rk_'||substr(sha256(scope_key||chr(0)||prov_source_uri||chr(0)||kind||chr(0)||content_hash),1,24) AS computed_id FROM memory_records)
             SELECT seq, id, computed_id, id IS NOT DISTINCT FROM computed_id AS is_same FROM x""",
