@@ -101,7 +101,7 @@ def _clusters(spark: SparkSession, tokens: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(mapping(), "cp string, parts string, one string, class int"))
     whole = F.broadcast(spark.createDataFrame(compositions(), "d string, c string"))
     cps = tokens.select("token", F.posexplode(F.split("token", "")).alias("at", "cp"))
-    cps = cps.join(table, "cp", "left").select("token", "at", F.coalesce("parts", "cp").alias("parts"))
+    cps = cps.join(table, "cp", "left").select("token", "at", F.coalesce("parts", F.regexp_replace("cp", ASCII_NOTHING, "")).alias("parts"))
     cps = cps.select("token", "at", F.posexplode(F.split("parts", "")).alias("sub", "cp"))
     cps = cps.join(table.select("cp", "class"), "cp", "left").select(
         "token", F.struct(F.coalesce("class", F.lit(0)).alias("class"), "at", "sub", "cp").alias("p")

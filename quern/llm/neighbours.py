@@ -113,7 +113,7 @@ def encode(codes: dict, bits: int, sub: int):
                     codes[(name, dim)] = default_codes(dim, bits)
                 mean, r = codes[(name, dim)]
                 packed = np.packbits((x - mean) @ r >= 0, axis=1)
-                x32, tag = x.astype("f4"), f"{name}\0{dim}"
+                x32, tag = x.astype("f4"), f"{name!r}\0{dim}"
                 seed = blake2b(tag.encode(), digest_size=8).digest()
                 number = int.from_bytes(seed[:4], "little", signed=True)
                 for j, i in enumerate(rows):

@@ -74,10 +74,11 @@ def pack(
     groups = partitions_for(df.count() if rows is None else rows, group_rows)
     s = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
     items = df.select(
-        F.col(key).alias("key"), s.alias("size"),
+        F.col(key).cast("string").alias("key"), s.alias("size"),
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("pack")), F.lit(groups)).alias("grp"),
     )
-    kind = items.schema["key"].dataType.simpleString()
+    # Keys travel as text, so that a null among them doesn't turn numbers into floats.
+    kind = df.schema[key].dataType.simpleString()
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "key"], ascending=[False, True], kind="stable", ignore_index=True)
@@ -100,8 +101,8 @@ def pack(
         })
         return pd.concat([one, whole], ignore_index=True).astype({"container": "int64", "size": "int64"})
 
-    out = items.groupBy("grp").applyInPandas(fill, f"key {kind}, part int, container bigint, size bigint")
-    return out.withColumnsRenamed({"key": key, "size": size})
+    out = items.groupBy("grp").applyInPandas(fill, "key string, part int, container bigint, size bigint")
+    return out.select(F.col("key").cast(kind).alias(key), "part", "container", F.col("size").alias(size))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ OTHER_LIMIT = 800
 OVERLAP = 100
 
 # White space as Unicode has it.
-WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def size_limit(file: Column) -> Column:
@@ -59,7 +59,7 @@ def split_oversized(
     with null piece; text of white space only gives one row with an empty piece. Repeated rows
     are cut alike, each on its own. All other columns pass through.
     """
-    made = ["piece", "piece_index", "piece_start", "piece_overlap", "is_cut", "is_forced"]
+    made = ["piece", "piece_index", "piece_start", "piece_overlap", "is_cut", "is_forced", "__text", "__limit", "__parts", "__part", "__starts"]
     kept = [c for c in df.columns if c not in made]
     t, limit = F.col("__text"), F.col("__limit")
     df = df.select(
