@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.schema import QUERY_CHARS, QUERY_TERMS
+from quern.session import partitions_for
 
-# A query table is broadcast up to this many terms, else joined by shuffle.
-BROADCAST_TERMS = 200_000
+# Queries and documents are scored in blocks of so many rows.
+QUERY_BLOCK, DOC_BLOCK = 1024, 4096
 # Words that the overlap measure and hard-negative mining leave out.
 STOPWORDS = tuple(
     "a about after all an and any are as at be been before being but by can could did do does doing for from had has have how i if in into is it "
@@ -59,23 +63,22 @@ def eval_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
 
 
-def postings(docs: DataFrame, words: Column | None = None) -> DataFrame:
+def postings(docs: DataFrame, words=tokens) -> DataFrame:
     """(id, term, tf, len) of documents (id, text).
 
     Placed by document: what is grouped by document later needs no further shuffle. Null and
     empty texts have none. Repeated ids count as one document with all their words.
     """
-    words = tokens(F.col("text")) if words is None else words
-    d = docs.select("id", words.alias("w")).repartition("id")
-    d = d.select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    d = docs.select("id", "text").repartition("id").select("id", words(F.col("text")).alias("w"))
+    # The outer form, as the plain one makes the optimizer count words before they are spread.
+    d = d.select("id", F.size("w").alias("len"), F.explode_outer("w").alias("term")).filter("term IS NOT NULL")
     return d.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
-def corpus_stats(docs: DataFrame, words: Column | None = None) -> DataFrame:
+def corpus_stats(docs: DataFrame, words=tokens) -> DataFrame:
     """One row: documents, and their mean length in words."""
-    words = tokens(F.col("text")) if words is None else words
-    n = F.coalesce(F.size(words), F.lit(0))
-    return docs.select(F.greatest(n, F.lit(0)).alias("len")).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+    n = F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0))
+    return docs.select("text").select(n.alias("len")).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -103,25 +106,77 @@ def bm25(
     takes pairs out before ranking. Queries without words and k of 0 or less find nothing.
     """
     corpus = docs if corpus is None else corpus
-    q = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    all_post = postings(corpus, words(F.col("text")))
-    stats = corpus_stats(corpus, words(F.col("text")))
-    known = q.select("term").distinct().join(term_stats(all_post), "term")
-    weighted = q.join(known, "term").crossJoin(F.broadcast(stats))  # one row
+    q = queries.select("qid", F.explode_outer(terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
+    q = q.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    all_post = postings(corpus, words)
+    asked = q.select("term").distinct()
+    known = term_stats(all_post.join(asked, "term", "left_semi"))
+    stats = F.broadcast(corpus_stats(corpus, words))  # one row
     weight = idf(F.col("n_docs"), F.col("df")) * (F.col("qtf") if repeat_terms else F.lit(1))
-    weighted = weighted.select("qid", "term", "avg_len", weight.alias("weight"))
-    if queries.count() * QUERY_TERMS <= BROADCAST_TERMS:
-        weighted = F.broadcast(weighted)
-    post = all_post if docs is corpus else postings(docs, words(F.col("text")))
+    weighted = q.join(known, "term").crossJoin(stats).select("qid", "term", weight.alias("x"))
+    post = (all_post if docs is corpus else postings(docs, words)).join(asked, "term", "left_semi")
     tf, size = F.col("tf"), F.col("len")
-    part = F.col("weight") * (tf * (k1 + 1)) / (tf + k1 * ((1 - b) + b * size / F.col("avg_len")))
-    scored = post.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    part = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * size / F.col("avg_len")))
+    post = post.crossJoin(stats).select("id", "term", part.alias("x"))
+    most = k
+    if exclude is not None and k > 0:
+        # As many more are kept as a query may lose.
+        lost = exclude.groupBy("qid").count().agg(F.max("count")).first()[0]
+        most = k + (lost or 0)
+    scored = _best(_blocks(weighted, "qid", QUERY_BLOCK, queries), _blocks(post, "id", DOC_BLOCK, docs), most)
     if exclude is not None:
         scored = scored.join(exclude.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _blocks(entries: DataFrame, key: str, rows: int, counted: DataFrame) -> DataFrame:
+    """Sparse entries (key, term, x) packed by blocks of keys: keys, terms, and per term places and values."""
+    n = partitions_for(counted.count(), rows)
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        place, keys = pd.factorize(g["key"])
+        term, words = pd.factorize(g["term"])
+        order = np.argsort(term, kind="stable")
+        ends = np.cumsum(np.bincount(term, minlength=len(words)))
+        return pd.DataFrame({
+            "keys": [keys.tolist()], "terms": [words.tolist()], "ends": [ends.tolist()],
+            "places": [place[order].astype("i4").tobytes()], "values": [g["x"].to_numpy("f8")[order].tobytes()],
+        })
+
+    e = entries.select(F.col(key).cast("string").alias("key"), "term", F.col("x").cast("double"), block.alias("block"))
+    return e.groupBy("block").applyInPandas(pack, "keys array<string>, terms array<string>, ends array<int>, places binary, values binary")
+
+
+def _best(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): per pair of blocks, the rows that reach a query's k-th best score."""
+    schema = "qid string, id string, score double"
+    if k <= 0:
+        return queries.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                qp, qv = np.frombuffer(r.q_places, "i4"), np.frombuffer(r.q_values)
+                dp, dv = np.frombuffer(r.places, "i4"), np.frombuffer(r.values)
+                q_at = dict(zip(r.q_terms, zip([0, *r.q_ends[:-1]], r.q_ends)))
+                s = np.zeros((len(r.q_keys), len(r.keys)))
+                for t, lo, hi in zip(r.terms, [0, *r.ends[:-1]], r.ends):
+                    if t in q_at:
+                        a, e = q_at[t]
+                        s[np.ix_(qp[a:e], dp[lo:hi])] += np.outer(qv[a:e], dv[lo:hi])
+                s = np.round(s, 9)
+                n = min(k, s.shape[1])
+                least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                i, j = np.nonzero((s >= least) & (s > 0))
+                yield pd.DataFrame({"qid": np.asarray(r.q_keys, dtype=object)[i], "id": np.asarray(r.keys, dtype=object)[j], "score": s[i, j]})
+
+    q = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns})
+    # Blocks of a stated set of queries against all blocks of documents; each is small and bounded.
+    return docs.crossJoin(q).mapInPandas(run, schema)
+
+
 def hard_negatives(queries: DataFrame, docs: DataFrame, gold: DataFrame, k: int = 20) -> DataFrame:
     """The best documents of each query by Okapi BM25 that aren't its gold ones (qid, id)."""
     return bm25(queries, docs, k, k1=1.5, idf=okapi_idf, words=eval_tokens, terms=eval_tokens, repeat_terms=True, exclude=gold)

@@ -18,10 +18,12 @@ from quern.functions.vectors import valid
 from quern.session import partitions_for
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+# Up to so many queries are broadcast to the blocks of rows; more are sent to each block by a join.
+BROADCAST_QUERIES = 4096
 
 
 def _packed(df: DataFrame, block: int, total: int) -> DataFrame:
-    """Rows (space, ids, matrix): vectors of one space in blocks."""
+    """Rows (space, b, ids, matrix): vectors of one space in numbered blocks."""
     n = partitions_for(total, block)
     place = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
@@ -29,9 +31,9 @@ def _packed(df: DataFrame, block: int, total: int) -> DataFrame:
         m = np.array([np.asarray(v, dtype="f8") for v in g["vector"]])
         length = np.sqrt((m * m).sum(1, keepdims=True))
         m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-        return pd.DataFrame({"space": [g["space"].iloc[0]], "ids": [g["id"].tolist()], "matrix": [m.tobytes()]})
+        return pd.DataFrame({"space": [g["space"].iloc[0]], "b": [g["b"].iloc[0]], "ids": [g["id"].tolist()], "matrix": [m.tobytes()]})
 
-    return df.withColumn("b", place).groupBy("space", "b").applyInPandas(pack, "space string, ids array<string>, matrix binary")
+    return df.withColumn("b", place).groupBy("space", "b").applyInPandas(pack, "space string, b int, ids array<string>, matrix binary")
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> DataFrame:
@@ -49,8 +51,17 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
     q, r = keep(queries), keep(rows)
     if k <= 0:
         return q.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    qb = _packed(q, QUERY_BLOCK, queries.count()).withColumnsRenamed({"ids": "qids", "matrix": "qm"})
-    rb = _packed(r, ROW_BLOCK, rows.count())
+    n_queries, n_rows = queries.count(), rows.count()
+    qb = _packed(q, QUERY_BLOCK, n_queries).withColumnsRenamed({"ids": "qids", "matrix": "qm"}).drop("b")
+    # Enough blocks for all cores, whatever the number of rows.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    block = max(1, min(ROW_BLOCK, -(-n_rows // cores)))
+    rb = _packed(r, block, n_rows)
+    if n_queries <= BROADCAST_QUERIES:
+        paired = rb.join(F.broadcast(qb), "space")
+    else:
+        numbers = F.explode(F.sequence(F.lit(0), F.lit(partitions_for(n_rows, block) - 1)))
+        paired = rb.join(qb.withColumn("b", numbers), ["space", "b"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -65,6 +76,6 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
                 i, j = np.nonzero(s >= least)
                 yield pd.DataFrame({"qid": np.asarray(qids, dtype=object)[i], "id": ids[j], "score": s[i, j]})
 
-    parts = qb.join(rb, "space").mapInPandas(score, "qid string, id string, score double")
+    parts = paired.mapInPandas(score, "qid string, id string, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

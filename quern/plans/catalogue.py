@@ -13,7 +13,7 @@ from quern.functions import vectors as V
 from quern.functions.chunking import chunks
 from quern.operators import envelope, evaluation, ledger, lexical, records, retrieval, upsert, vector
 from quern.plans import oracle
-from quern.session import checkpointed, table
+from quern.session import checkpointed, spread, table
 from quern.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,8 @@ def _mem(spark, d):
 def current(spark: SparkSession, d: str) -> DataFrame:
     """The store after all deliveries: one row per scope, kind and content."""
     rows = _mem(spark, d)
-    state = upsert.fold(rows).select("seq", F.col("proof_count").alias("__proof"))
+    # Two numbers per record, written once however often the store is read.
+    state = checkpointed(upsert.fold(rows).select("seq", F.col("proof_count").alias("__proof")))
     return rows.join(state, "seq").withColumn("proof_count", F.col("__proof")).drop("__proof")
 
 
@@ -194,8 +195,7 @@ def stub_embedding(spark, d):
 
 
 def bm25_corpus_stats(spark, d):
-    post = lexical.postings(_docs(current(spark, d)))
-    return lexical.term_stats(post)
+    return lexical.term_stats(lexical.postings(_docs(current(spark, d))))
 
 
 def bm25_topk(spark, d):
@@ -223,7 +223,8 @@ def _legs(spark, d, pool=POOL):
     """Both legs for all evaluation queries over the whole store, each written once."""
     cur = current(spark, d)
     q = _eval_queries(spark, d)
-    qv = q.select(F.col("qid").alias("id"), F.lit("stub-hash").alias("space"), V.stub_embedding(F.col("text")).alias("vector"))
+    # Written once: each use of the column would compute the embedding again.
+    qv = checkpointed(spread(q).select(F.col("qid").alias("id"), F.lit("stub-hash").alias("space"), V.stub_embedding(F.col("text")).alias("vector")))
     rows = cur.filter("embedding IS NOT NULL").select("id", F.col("embedder_name").alias("space"), F.col("embedding").alias("vector"))
     vec = checkpointed(vector.topk(qv, rows, pool))
     lex = checkpointed(lexical.bm25(q, _docs(cur), pool))
@@ -338,7 +339,7 @@ def ledger_credits(spark, d):
 
 
 def screen_records(spark, d):
-    m = _mem(spark, d).select("seq", "id", X.screened(F.col("content"), F.col("trust_tier"), redact_pii=True).alias("s"))
+    m = spread(_mem(spark, d).select("seq", "id", "content", "trust_tier")).select("seq", "id", X.screened(F.col("content"), F.col("trust_tier"), redact_pii=True).alias("s"))
     return m.select("seq", "id", F.col("s.action").alias("action"), F.col("s.trust").alias("trust"), F.size("s.redactions").alias("n_redactions"), F.size("s.markers").alias("n_markers"))
 
 
@@ -354,7 +355,7 @@ def neutralized_payloads(spark, d):
 
 
 def chunk_records(spark, d):
-    m = _mem(spark, d).select("seq", "id", F.posexplode(chunks(F.col("prov_source_file"), F.col("content"))).alias("chunk_index", "chunk"))
+    m = spread(_mem(spark, d).select("seq", "id", "prov_source_file", "content")).select("seq", "id", F.posexplode(chunks(F.col("prov_source_file"), F.col("content"))).alias("chunk_index", "chunk"))
     return m
 
 

@@ -47,3 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     """Number of partitions that keeps each one near ``per_partition`` rows."""
     return max(least, math.ceil(rows / max(1, per_partition)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, if its scan has fewer splits than there are cores.
+
+    For costly functions over small inputs, such as one file of one row group. Inputs with splits enough
+    for the cluster stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

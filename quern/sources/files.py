@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern import schema as S
 from quern.functions import text as X
 from quern.functions.chunking import chunk_file
+from quern.session import spread
 
 # Fixed values.
 SKIP_DIRS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox")
@@ -51,7 +52,7 @@ def ingest(docs: DataFrame, trust: int, kind: str = "raw_fact", scheme: str = "t
                         rows.append((name, scope, i, s.content, s.action, s.trust, s.redactions, len(s.markers), i in cut))
             yield pd.DataFrame(rows, columns=["name", "scope_key", "chunk_index", "content", "action", "trust", "redactions", "n_markers", "is_split"])
 
-    c = docs.select("name", "text", "scope_key").mapInPandas(run, CHUNK)
+    c = spread(docs.select("name", "text", "scope_key")).mapInPandas(run, CHUNK)
     bad = (F.col("action") == "QUARANTINE") | F.col("is_split")
     uri = F.concat(F.lit(scheme), "name")
     out = c.select(
