@@ -82,7 +82,8 @@ def split_oversized(
         lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
     )
     df = df.withColumn("__starts", starts)
-    df = df.select(*kept, "__text", "is_cut", "is_forced", "__starts", F.posexplode("__parts").alias("piece_index", "__part"))
+    # The outer form, as the plain one makes the optimizer cut each text once more to count its parts.
+    df = df.select(*kept, "__text", "is_cut", "is_forced", "__starts", F.posexplode_outer("__parts").alias("piece_index", "__part"))
     start = F.coalesce(F.element_at("__starts", F.col("piece_index") + 1), F.lit(0))
     back = F.when(F.col("piece_index") > 0, F.least(F.lit(overlap), start)).otherwise(F.lit(0))
     return df.select(
