@@ -136,7 +136,7 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical") -> Dat
     with_marks = F.rlike(F.col("token"), F.lit(rf"{MARKS}"))
     found = src.filter(F.col("__t").rlike(MARKS)).select(F.explode(F.regexp_extract_all("__t", F.lit(rf"(?s)[^\p{{Mn}}\p{{Me}}]{MARKS}+"), F.lit(0))).alias("token"))
     clusters = _clusters(spark, found.distinct())
-    tokens = hard.select("__k", "__h", F.posexplode("__x").alias("pos", "token"))
+    tokens = hard.select("__k", "__h", F.posexplode_outer("__x").alias("pos", "token"))
     tokens = tokens.join(table, tokens["token"] == table["cp"], "left").select("__k", "__h", "pos", "token", "one")
     # Only tokens with marks can match here; the others get keys that match nothing and spread evenly.
     want = F.when((F.length("token") > 1) & with_marks, F.col("token")).otherwise(F.concat(F.lit("\x00"), "pos"))
