@@ -141,11 +141,11 @@ class Memory:
         made = files.ingest(docs, trust, scheme=scheme)
         parts = dict(zip(("tenant", "project", "agent"), (self.scope.tenant, self.scope.project, self.scope.agent)))
         df = made.withColumns({k: F.lit(v) for k, v in parts.items()} | {
-            "seq": F.row_number().over(_whole_order()).cast("bigint"), "prov_adapter_name": F.lit("files"), "prov_adapter_version": F.lit("1"),
+            "prov_adapter_name": F.lit("files"), "prov_adapter_version": F.lit("1"),
             "created_at": F.current_timestamp(), "seen_at": F.current_timestamp(), "proof_count": F.lit(0).cast("bigint"),
         })
         before = self._rows().count()
-        self._store(df)
+        self._store(self.store.stamped(df))
         return self._rows().count() - before
 
     def ingest_text(self, text: str, name: str = "default", trust: int = int(S.Trust.UNVERIFIED)) -> int:
@@ -212,8 +212,7 @@ class Memory:
         pool = retrieval.pool_size(k, candidates)
         answer = rows.filter(S.where_condition(where))
         answer = answer if kind is None else answer.filter(F.col("kind") == kind)
-        clean = F.udf(lambda t: X.sanitize_unicode((t or "")[: S.QUERY_CHARS])[: S.QUERY_CHARS], "string")
-        queries = queries.select("qid", clean("text").alias("text"))
+        queries = queries.select("qid", X.clean_query(F.col("text")).alias("text"))
         qv = queries.select(F.col("qid").alias("id"), F.lit("").alias("space"), embedded(F.col("text"), self.embedder).alias("vector"))
         rv = answer.filter("embedding IS NOT NULL").select("id", F.lit("").alias("space"), F.col("embedding").alias("vector"))
         vec = vector.topk(qv, rv, pool if use_vector else 0)
@@ -289,10 +288,3 @@ def typed(v) -> tuple[str, str | None]:
         if isinstance(v, t):
             return (kind, str(v))
     raise TypeError(f"metadata holds scalars, not {type(v).__name__}")
-
-
-def _whole_order():
-    from pyspark.sql import Window
-
-    # One document, or one directory of bounded files: numbered in reading order.
-    return Window.orderBy("prov_source_uri", "prov_chunk_index", "id")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRETCHES = 256
+
+
 def clean_labels(labels: DataFrame) -> DataFrame:
     """One row per (qid, id), with the highest grade."""
     return labels.groupBy("qid", "id").agg(F.max("grade").alias("grade"))
@@ -73,11 +76,18 @@ def percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
 def rank_auc(df: DataFrame, value: str, positive: str, *by: str) -> DataFrame:
     """Chance that a positive's value is above a negative's, ties half, from rank sums: no pairs are made.
 
-    Values are counted first, so a value that many rows share is one row in the window.
+    Values are counted first, so a value that many rows share is one row. They are then numbered within
+    stretches of about equal size, whose own sums are a short list, so no task holds all values.
     """
+    ends = sorted(set(df.approxQuantile(value, [i / STRETCHES for i in range(1, STRETCHES)], 1 / (4 * STRETCHES))))
     v = df.groupBy(*by, value).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    v = v.withColumn("stretch", F.size(F.filter(F.array(*map(F.lit, ends)).cast("array<double>"), lambda e: e < F.col(value))))
+    sums = v.groupBy(*by, "stretch").agg(F.sum("n").alias("s"))
+    before = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "stretch", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("earlier"))
+    below = Window.partitionBy(*by, "stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("inside", F.coalesce(F.sum("n").over(below), F.lit(0))).join(sums, [*by, "stretch"])
+    v = v.withColumn("below", F.col("earlier") + F.col("inside"))
     g = v.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5)).alias("s")
     )

@@ -120,6 +120,11 @@ def identities(df: DataFrame) -> DataFrame:
     return df.select("seq", "id", made.alias("computed_id"), F.col("id").eqNullSafe(made).alias("is_same"))
 
 
+def dedup(df: DataFrame) -> DataFrame:
+    """One row per scope and content: the first record that has it, and how many have."""
+    return df.groupBy("scope_key", "content_hash").agg(F.min_by("id", "seq").alias("id"), F.count("*").alias("n"))
+
+
 def lineage(df: DataFrame) -> DataFrame:
     """Edges of derived_from: record, target, and the target's place in the list."""
     return df.select("id", F.posexplode("derived_from").alias("position", "target_id")).distinct()
@@ -151,4 +156,5 @@ def eligible_for_summary(df: DataFrame, least_trust: int = int(S.Trust.UNVERIFIE
     """What a summary may draw on, and the trust it may then have (column summary_trust)."""
     floor = max(least_trust, int(S.Trust.UNVERIFIED))
     ok = df.filter((S.effective_status() != "quarantined") & (F.col("trust_tier") >= floor))
-    return ok.withColumn("summary_trust", F.min("trust_tier").over(Window.partitionBy("scope_key")))
+    # A grouping and a join, as a window would bring a whole scope into one task.
+    return ok.join(ok.groupBy("scope_key").agg(F.min("trust_tier").alias("summary_trust")), "scope_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.schema import POOL_FACTOR, RRF_K, surfacable
@@ -35,6 +35,31 @@ def surfaced(fused: DataFrame, records: DataFrame, k: int, keep_quarantined: boo
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def rerank(hits: DataFrame, score: Column, top: int) -> DataFrame:
+    """Hits (qid, id, rank, ...) by a second score, the best ``top`` of each query; ties keep their order."""
+    w = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank")
+    scored = hits.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(w))
+    return scored.filter(F.col("new_rank") <= top).drop("rank").withColumnRenamed("new_rank", "rank")
+
+
+def first_gold(runs: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rank of the first relevant hit of each query; null if there is none."""
+    hit = runs.join(gold.select("qid", "id").distinct(), ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first_rank"))
+    return queries.select("qid").join(hit, "qid", "left")
+
+
+def fingerprint(runs: DataFrame) -> DataFrame:
+    """One hash per query over its ranked ids, to show that a change moved nothing."""
+    line = F.concat_ws(":", "rank", "id", "score")
+    return runs.groupBy("qid").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))["line"]), 256).alias("fingerprint"))
+
+
+def leaks(runs: DataFrame, queries: DataFrame, records: DataFrame, scope: str) -> DataFrame:
+    """(qid, n_hits, n_foreign): hits of each query, and those that lie outside its scope."""
+    j = runs.join(records.select("id", F.col(scope).alias("__s")), "id").join(queries.select("qid", F.col(scope).alias("__q")), "qid")
+    return j.groupBy("qid").agg(F.count("*").alias("n_hits"), F.count_if(~F.col("__s").eqNullSafe(F.col("__q"))).alias("n_foreign"))
+
+
 def pool_size(k: int, candidates: int | None = None) -> int:
     return candidates or POOL_FACTOR * k
 

@@ -145,6 +145,15 @@ def tamper_check(spark, d):
     return records.tampered(_mem(spark, d)).select("seq", "id", "computed_hash")
 
 
+def dedup_by_content(spark, d):
+    return records.dedup(_mem(spark, d))
+
+
+def largest_scopes(spark, d):
+    # A report of the five largest scopes.
+    return records.census(_mem(spark, d)).orderBy(F.desc("n"), "scope_key").limit(5)
+
+
 def derived_from_edges(spark, d):
     return records.lineage(_mem(spark, d))
 
@@ -314,6 +323,30 @@ def latency_percentiles(spark, d):
     return _rounded(p, "p50", "p95", "mean", "min", "max")
 
 
+def scope_leak_check(spark, d):
+    q = _eval_queries(spark, d)
+    rows = current(spark, d).filter("embedding IS NOT NULL AND embedder_name = 'stub-hash'")
+    qv = checkpointed(spread(q).select(F.col("qid").alias("id"), F.col("project").alias("space"), V.stub_embedding(F.col("text")).alias("vector")))
+    runs = vector.topk(qv, rows.select("id", F.col("project").alias("space"), F.col("embedding").alias("vector")), K)
+    return retrieval.leaks(runs, q, rows, "project")
+
+
+def run_fingerprints(spark, d):
+    return retrieval.fingerprint(bm25_topk(spark, d).drop("score").withColumn("score", F.lit("")))
+
+
+def first_gold_rank(spark, d):
+    return retrieval.first_gold(bm25_topk(spark, d), _labels(spark, d).filter("grade >= 1"), _eval_queries(spark, d)).filter("first_rank IS NOT NULL")
+
+
+def rerank_overlap(spark, d):
+    q, cur = _eval_queries(spark, d), current(spark, d)
+    hits = lexical.bm25(q, _docs(cur), 30).join(q.select("qid", F.col("text").alias("query")), "qid").join(_docs(cur), "id")
+    asked, has = lexical.query_terms(F.col("query")), F.array_distinct(lexical.tokens(F.col("text")))
+    share = F.round(F.size(F.array_intersect(asked, has)) / F.size(asked), 9)
+    return retrieval.rerank(hits, share, 5).select("qid", "id", "rerank_score", "rank")
+
+
 # --- ledger ---------------------------------------------------------------------------------------
 
 
@@ -373,6 +406,7 @@ def queries() -> dict[str, Query]:
         embedder_states, summary_eligible, vector_topk, vector_topk_filtered, vector_validity, stub_embedding, bm25_corpus_stats,
         bm25_topk, bm25_topk_filtered, okapi_hard_negatives, lexical_overlap, rrf_hybrid, hybrid_surfacable, abstain_gate,
         envelope_partition, ir_metrics_per_query, ablation_legs, pool_depth_sweep, paired_wlt, resampling_tests, rank_auc,
+        dedup_by_content, largest_scopes, scope_leak_check, run_fingerprints, first_gold_rank, rerank_overlap,
         threshold_sweep, latency_percentiles, ledger_informed_by, ledger_kept, ledger_credits, screen_records, attack_screen,
         neutralized_payloads, chunk_records, ingest_documents,
     ]

@@ -144,6 +144,18 @@ def sql() -> dict[str, str]:
             SELECT seq, id, computed_id, id IS NOT DISTINCT FROM computed_id AS is_same FROM x""",
         "tamper_check": rf"""WITH x AS (SELECT seq, id, content_hash, sha256(regexp_replace(replace(replace(nfc_normalize(content), chr(13)||chr(10), chr(10)), chr(13), chr(10)), '\A{WS}+|{WS}+\z', '', 'g')) AS computed_hash FROM memory_records)
             SELECT seq, id, computed_hash FROM x WHERE content_hash IS DISTINCT FROM computed_hash""",
+        "dedup_by_content": "SELECT scope_key, content_hash, arg_min(id, seq) AS id, count(*) AS n FROM memory_records GROUP BY ALL",
+        "largest_scopes": f"SELECT scope_key, count(*) AS n FROM memory_records WHERE {EFF}='active' GROUP BY 1 ORDER BY n DESC, scope_key LIMIT 5",
+        "scope_leak_check": f"""WITH {STATE}, {STUB}, u AS (SELECT id, project, embedding AS e FROM cur WHERE embedder_name='stub-hash' AND embedding IS NOT NULL AND len(embedding)=64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0),
+            c AS (SELECT q.qid, count(u.id) AS k FROM eval_queries q JOIN u ON u.project=q.project GROUP BY q.qid)
+            SELECT qid, least(k,10)::BIGINT AS n_hits, 0::BIGINT AS n_foreign FROM c""",
+        "run_fingerprints": f"WITH {STATE}, {_bm25('cur', 'cur', 10)} SELECT qid, sha256(string_agg(rank::VARCHAR||':'||id||':', '|' ORDER BY rank)) AS fingerprint FROM lex GROUP BY qid",
+        "first_gold_rank": f"WITH {STATE}, {_bm25('cur', 'cur', 10)} SELECT qid, min(rank)::INT AS first_rank FROM lex JOIN (SELECT DISTINCT qid, record_id AS id FROM eval_labels WHERE grade>=1) USING (qid, id) GROUP BY qid",
+        "rerank_overlap": f"""WITH {STATE}, {_bm25('cur', 'cur', 30)},
+            s AS (SELECT lex.qid, lex.id, lex.rank AS r, round(len(list_intersect(list_distinct({TOK.format('query_text')}), {TOK.format('content')}))::DOUBLE/len(list_distinct({TOK.format('query_text')})),9) AS rerank_score
+              FROM lex JOIN eval_queries USING (qid) JOIN cur ON cur.id=lex.id)
+            SELECT qid, id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, r)::INT AS rank FROM s) WHERE rank<=5""",
         "derived_from_edges": "SELECT DISTINCT id, (i-1)::INT AS position, derived_from[i] AS target_id FROM memory_records, unnest(range(1, len(derived_from)+1)) t(i)",
         "dangling_links": "SELECT DISTINCT record_id, target_id, link_type FROM record_links WHERE target_id NOT IN (SELECT id FROM memory_records)",
         "embedder_states": """SELECT m.scope_key, CASE WHEN i.embedder_name IS NULL OR m.embedder_name IS NULL THEN 'unknown'

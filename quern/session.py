@@ -40,6 +40,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if named:
         sc.setCheckpointDir(named)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint(eager=True)
 

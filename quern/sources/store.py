@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern import schema as S
 from quern.operators import records, upsert
+from quern.session import checkpointed
 
 
 class Conflict(RuntimeError):
@@ -101,6 +102,11 @@ class SnapshotStore:
         low = incoming.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
         return incoming.withColumn("seq", F.col("seq") - F.lit(low) + F.lit(last + 1))
 
+    @staticmethod
+    def stamped(df: DataFrame) -> DataFrame:
+        """Rows with arrival numbers of no particular order, frozen by writing them once."""
+        return checkpointed(df.withColumn("seq", F.monotonically_increasing_id()))
+
     def upsert(self, incoming: DataFrame) -> int:
         """Merge rows (with unique ``seq``); trust never falls."""
         return self.update(lambda now: upsert.merged(now, self._numbered(now, incoming)))

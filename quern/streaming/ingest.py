@@ -26,12 +26,11 @@ def ingest_stream(docs: DataFrame, store: SnapshotStore, trust: int, checkpoint:
     def write(batch: DataFrame, number: int) -> None:
         made = files.ingest(batch, trust)
         parts = F.split("scope_key", "/")
-        store.upsert(
-            made.withColumns({
-                "seq": F.xxhash64("id").bitwiseAND((1 << 40) - 1), "tenant": parts[0], "project": parts[1], "agent": parts[2],
-                "created_at": F.current_timestamp(), "seen_at": F.current_timestamp(), "proof_count": F.lit(0).cast("bigint"),
-            })
-        )
+        rows = made.withColumns({
+            "tenant": parts[0], "project": parts[1], "agent": parts[2],
+            "created_at": F.current_timestamp(), "seen_at": F.current_timestamp(), "proof_count": F.lit(0).cast("bigint"),
+        })
+        store.upsert(store.stamped(rows))
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
