@@ -69,7 +69,8 @@ class SnapshotStore:
         token = self.spark.sql("SELECT uuid()").first()[0]
         data = f"data/v{base + 1}-{token}"
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RECORD.fields]
-        df.select(*cols).repartition("scope_key", "kind", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("scope_key", "kind").parquet(f"{self.path}/{data}")
+        # Rebalanced at run time: a large scope is split over tasks, small ones share them.
+        df.select(*cols).hint("rebalance", "scope_key", "kind").write.partitionBy("scope_key", "kind").parquet(f"{self.path}/{data}")
         manifest = self._path(f"{self.path}/manifests/v{base + 1}.json")
         self._fs.mkdirs(manifest.getParent())
         try:
