@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quern.session import checkpointed, partitions_for
 
-BLOCK_DOCS = 4_000
+# A block holds about so many pages, and about so many bytes of text.
+BLOCK_DOCS, BLOCK_BYTES = 4_000, 16_000_000
 
 LEAST_WORDS = 8  # shorter pages aren't judged
 GRAMMAR_SHARE = 0.20  # below this share of grammar words a page has no sentences
@@ -126,7 +127,8 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     count as pages of their own; other columns are dropped. An empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    blocks = partitions_for(docs.count(), BLOCK_DOCS)
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    blocks = max(partitions_for(size["rows"], BLOCK_DOCS), partitions_for(size["bytes"], BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("block")), F.lit(blocks)).cast("int")
     placed = docs.select(block.alias("block"), F.col(key).alias("k"), F.col(text).alias("t"))
 
