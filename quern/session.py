@@ -24,6 +24,20 @@ def get_spark(master: str = "local[*]", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Needed where it is neither installed nor on the workers' path; on a cluster the folder must be
+    shared, or the package installed.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
