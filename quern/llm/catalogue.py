@@ -21,7 +21,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(_vectors(spark, d))
+    return neighbours.nearest(_vectors(spark, d), whole=True)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,9 @@ neighbours. Candidates within the Hamming bound are then compared by their float
 
 Only codes are shuffled to the indexes. Exact copies of a vector are one class first, so a group
 of copies never meets in a bucket; its members are listed again at the end.
+
+Rows to which the index gives fewer than k neighbours can be ranked exactly instead: blocks of
+them are multiplied with blocks of all rows of their space, and only the best of each are kept.
 """
 
 from __future__ import annotations
@@ -34,6 +37,11 @@ ROTATION_STEPS = 8
 CLASS_BYTES = 12  # of the hash that names a vector's class
 BUCKET_ROWS = 120_000  # index entries a task holds at once
 PAIR_BLOCK = 500_000  # candidate pairs a task holds at once
+# Exact ranking: rows of a block at most, bytes of its vectors, and blocks of all rows that a task takes.
+QUERY_BLOCK, QUERY_BYTES = 2048, 1 << 19
+ROW_BLOCK, ROW_BYTES = 8192, 1 << 21
+TASK_BLOCKS = 32
+ROUNDING = 1e-5  # more than float32 products of unit vectors are off
 
 
 def usable(vector: Column, dim: Column) -> Column:
@@ -227,13 +235,16 @@ def _substrings(code: np.ndarray, sub: int, n_sub: int) -> np.ndarray:
 
 def nearest(
     df: DataFrame, id: str = "id", name: str = "embedder_name", dim: str = "embedder_dim",
-    vector: str = "embedding", k: int = K, min_similarity: float = MIN_SIMILARITY, recall: float = RECALL,
+    vector: str = "embedding", k: int = K, min_similarity: float = MIN_SIMILARITY, recall: float = RECALL, whole: bool = False,
 ) -> DataFrame:
     """Rows (id, other, similarity): of each id, up to ``k`` nearest ids of cosine ``min_similarity`` or more.
 
+    With ``whole``, ids with fewer than ``k`` such neighbours get their ``k`` nearest of any similarity, ranked
+    exactly, or all others of their space if these are fewer.
+
     Ids meet only within an equal name and dimension. Rows whose vector isn't usable are left out, so are
     null ids; of an id delivered several times, the least vector counts. Equal similarities rank by
-    id. Neighbours below ``min_similarity`` aren't listed. Other columns are dropped.
+    id. Without ``whole``, neighbours below ``min_similarity`` aren't listed. Other columns are dropped.
     """
     src = df.select(F.col(id).alias("id"), F.col(name).alias("name"), F.col(dim).alias("dim"), F.col(vector).cast("array<double>").alias("vector"))
     src = src.filter(F.col("id").isNotNull() & usable(F.col("vector"), F.col("dim")))
@@ -260,6 +271,14 @@ def nearest(
     both = scored.unionByName(scored.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "similarity"))
     near = Window.partitionBy("class_a").orderBy(F.desc("similarity"), "class_b")
     near = both.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k).drop("n")
+    if whole:
+        near = checkpointed(near)
+        have = near.groupBy(F.col("class_a").alias("class")).agg(F.count("*").alias("found"))
+        sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))
+        few = checkpointed(sizes.join(have, "class", "left").filter(F.col("copies") + F.coalesce("found", F.lit(0)) < k).select("class"))
+        rows = coded.groupBy("class").agg(F.min(F.struct("space", "unit")).alias("v")).select("class", "v.*")
+        exact = _exact(few, checkpointed(rows), k)
+        near = near.join(few.withColumnRenamed("class", "class_a"), "class_a", "left_anti").unionByName(exact)
     # Members of a class are alike: each lists the first ids of its own class and of the near ones.
     first = Window.partitionBy("class").orderBy("id")
     heads = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
@@ -288,3 +307,93 @@ def _rerank(pairs: DataFrame, units: DataFrame, min_similarity: float) -> DataFr
 
     s = both.mapInArrow(cosine, "class_a binary, class_b binary, similarity double")
     return s.filter(F.col("similarity") >= min_similarity)
+
+
+def _blocks(rows: DataFrame, most: int, size: int, per_task: int) -> DataFrame:
+    """Rows (space, width, classes, units): vectors of one space in blocks, ``per_task`` blocks a partition."""
+    rows = rows.withColumn("width", F.octet_length("unit"))
+    # Blocks are numbered through all spaces, so that each partition gets as many as it should.
+    spaces = rows.groupBy("space", "width").agg(F.count("*").alias("n"))
+    spaces = spaces.withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(most), F.floor(size / F.col("width"))))).cast("int"))
+    w = Window.orderBy("space", "width").rowsBetween(Window.unboundedPreceding, -1)
+    spaces = checkpointed(spaces.withColumn("start", F.coalesce(F.sum("blocks").over(w), F.lit(0)).cast("int")).drop("n"))
+    total = spaces.agg(F.sum("blocks")).first()[0] or 1
+    placed = rows.join(F.broadcast(spaces), ["space", "width"])
+    placed = placed.withColumn("b", F.col("start") + F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        one = t.slice(0, 1)
+        joined = [pa.array([b"".join(t.column(c).to_pylist())], pa.binary()) for c in ("class", "unit")]
+        return pa.table([one.column("space"), one.column("width"), one.column("b"), *joined], names=["space", "width", "b", "classes", "units"])
+
+    packed = placed.groupBy("space", "width", "b").applyInArrow(pack, "space int, width int, b int, classes binary, units binary")
+    return checkpointed(packed.repartitionById(partitions_for(total, per_task), F.floor(F.col("b") / per_task).cast("int")).drop("b"))
+
+
+def _exact(few: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Rows (class_a, class_b, similarity): of each class of ``few``, the ``k`` most similar others among ``rows``.
+
+    Every pair of a block of queries and a block of rows is one task's product; blocks are read
+    where they are and aren't shuffled. What a task gives is at most k rows a query and ``TASK_BLOCKS`` blocks.
+    """
+    queries = _blocks(rows.join(few, "class"), QUERY_BLOCK, QUERY_BYTES, 1).withColumnsRenamed({"classes": "ca", "units": "ua"})
+    others = _blocks(rows, ROW_BLOCK, ROW_BYTES, TASK_BLOCKS).withColumnsRenamed({"classes": "cb", "units": "ub"})
+    paired = queries.join(others.hint("shuffle_replicate_nl"), ["space", "width"]).select("width", "ca", "ua", "cb", "ub")
+    parts = paired.mapInArrow(best_of_blocks(k), "class_a binary, class_b binary, similarity double")
+    best = Window.partitionBy("class_a").orderBy(F.desc("similarity"), "class_b")
+    return parts.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
+
+
+def best_of_blocks(k: int):
+    """Function of one task's pairs of blocks giving the ``k`` best rows of each query, itself left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for b in batches:
+            for width, ca, ua, cb, ub in zip(*(b.column(c) for c in ("width", "ca", "ua", "cb", "ub"))):
+                name = ca.as_buffer().to_pybytes()
+                if name != now:
+                    if best is not None:
+                        yield best.out()
+                    now, best = name, _Best(name, _matrix(ua, width.as_py()), k)
+                best.add(np.frombuffer(cb.as_buffer(), dtype=f"V{CLASS_BYTES}"), _matrix(ub, width.as_py()))
+        if best is not None:
+            yield best.out()
+
+    return run
+
+
+def _matrix(units: pa.Scalar, width: int) -> np.ndarray:
+    return np.frombuffer(units.as_buffer(), dtype="f4").reshape(-1, width // 4)
+
+
+class _Best:
+    """The best rows so far of each query of a block; float32 products choose, float64 ones decide."""
+
+    def __init__(self, names: bytes, x: np.ndarray, k: int):
+        self.names, self.x, self.k = np.frombuffer(names, dtype=f"V{CLASS_BYTES}"), x, k
+        self.at, self.cls, self.sim = np.empty(0, "i8"), np.empty(0, f"V{CLASS_BYTES}"), np.empty(0)
+        self.least = np.full(len(x), -np.inf, dtype="f4")
+
+    def add(self, names: np.ndarray, y: np.ndarray) -> None:
+        s = self.x @ y.T
+        least = self.least
+        # A query itself is among the rows, so one more than k is asked for.
+        if len(y) > self.k + 1 and np.isinf(least).any():
+            least = np.maximum(least, np.partition(s, len(y) - self.k - 1, axis=1)[:, len(y) - self.k - 1])
+        i, j = np.divmod(np.flatnonzero(s >= (least - np.float32(ROUNDING))[:, None]), len(y))
+        other = self.names[i] != names[j]
+        i, j = i[other], j[other]
+        sim = np.concatenate([np.einsum("ij,ij->i", self.x[i[n : n + PAIR_BLOCK]].astype("f8"), y[j[n : n + PAIR_BLOCK]].astype("f8")) for n in range(0, len(i), PAIR_BLOCK)] or [np.empty(0)])
+        at, cls, sim = np.r_[self.at, i], np.concatenate([self.cls, names[j]]), np.r_[self.sim, sim]
+        # Equal similarities rank by class.
+        order = np.lexsort((*cls.view(">u4").reshape(-1, CLASS_BYTES // 4).T[::-1], -sim, at))
+        at, cls, sim = at[order], cls[order], sim[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at, "left")
+        self.at, self.cls, self.sim = at[rank < self.k], cls[rank < self.k], sim[rank < self.k]
+        last = rank == self.k - 1
+        self.least[at[last]] = sim[last]
+
+    def out(self) -> pa.RecordBatch:
+        a, b = ([x.tobytes() for x in c] for c in (self.names[self.at], self.cls))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(self.sim, pa.float64())], names=["class_a", "class_b", "similarity"])

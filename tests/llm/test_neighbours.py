@@ -53,6 +53,29 @@ def test_copies_are_listed_by_id_and_bounded(spark):
     assert sorted(by["near"]) == [f"c{i:03d}" for i in range(5)]
 
 
+def test_every_row_gets_its_k_nearest(spark, monkeypatch):
+    # Several blocks on both sides, and several tasks a query block.
+    for name, n in (("QUERY_BLOCK", 300), ("ROW_BLOCK", 100), ("TASK_BLOCKS", 3)):
+        monkeypatch.setattr(N, name, n)
+    m = data(n=700)
+    copies = [("v1", "e", 32, m[0].tolist()), ("v2", "e", 32, m[0].tolist())]
+    other = [(f"s{i}", "f", 16, x.tolist()) for i, x in enumerate(data(n=200, dim=16)[:4])]
+    df = spark.createDataFrame([(f"{i:05d}", "e", 32, x.tolist()) for i, x in enumerate(m)] + copies + other, SCHEMA)
+    by: dict = {}
+    for r in N.nearest(df, whole=True).collect():
+        by.setdefault(r.id, {})[r.other] = r.similarity
+    ids = [f"{i:05d}" for i in range(len(m))] + ["v1", "v2"]
+    u = np.vstack([m, m[:1], m[:1]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for i, name in enumerate(ids):
+        assert len(by[name]) == N.K and name not in by[name]
+        assert sorted(by[name].values()) == pytest.approx(np.sort(s[i])[-N.K :], abs=1e-6)
+    assert {k: set(by[k]) for k in by if k[0] == "s"} == {f"s{i}": {f"s{j}" for j in range(4) if j != i} for i in range(4)}
+    assert N.nearest(df.limit(0), whole=True).count() == 0
+
+
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.nearest(df).count() == 0
