@@ -48,6 +48,12 @@ FORMATS = {
 }
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# A line of key material, after what may stand before it: breaks (also escaped), quotes, comment signs, header lines.
+KEY_LINE = re.compile(
+    r"(?:\\[rnt]|[\s'\"`,\\]|\+(?=[\s'\"`])|(?<=[\n \t])(?:[#;>*|]|//|--)(?=[ \t])|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)[ \t]*:[^\r\n\\'\"]*)*+"
+    r"(?P<v>[A-Za-z0-9+/]+={0,2})(?P<whole>(?=[ \t]*(?:\\[rn]|[\r\n'\"`]|\Z)))?"
+)
+FULL_LINE = 40
 STRUCTURED = re.compile("(?<![0-9A-Za-z_])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()) + r")(?![0-9A-Za-z])")
 # What stands for a value instead of being one.
 STAND_IN = re.compile(
@@ -136,19 +142,42 @@ def plausible(value: str, name: str = "") -> bool:
 REST = re.compile(r"[ \t]*\+?[ \t]*(?:\\\r?\n|\r?\n)?[ \t]*[rbuRBU]{0,2}(['\"`])((?:(?!\1)[^\r\n])+)\1")
 
 
+def key_lines(text: str, at: int, stop: int) -> list[tuple[int, int]]:
+    """Lines of key material that follow a header without an end line, up to the first that isn't any."""
+    out: list[tuple[int, int]] = []
+    while m := KEY_LINE.match(text, at, stop):
+        v = m["v"]
+        mixed = re.search(r"[0-9]", v) and re.search(r"[A-Za-z]", v) or not (v.islower() or v.isupper() or v.istitle())
+        if len(v) < FULL_LINE:
+            # The last line is shorter. A plain word or a mark such as EOT is none.
+            last = out and m["whole"] is not None and (v.endswith("=") or mixed and (len(v) >= 16 or m.end("v") == len(text)))
+            if not (last or not out and mixed and len(v) >= 16):
+                break
+        out.append(m.span("v"))
+        at = m.end("v")
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, value, kind) of each literal in a credential's place; kind 'format' needs no confirmation.
 
-    The rest of a literal that goes on in a second one has kind 'rest' and no value.
+    The rest of a literal that goes on in a second one has kind 'rest' and no value, and so have the lines of
+    a private key without an end line.
     """
     out = []
     for m in KEY_BLOCK.finditer(text):
         # A header alone isn't a key: material must follow.
         end = KEY_END.search(text, m.end())
-        body = text[m.end() : end.start() if end else m.end() + 4000]
+        after = KEY_BLOCK.search(text, m.end())
+        if end and after and after.start() < end.start():
+            end = None  # it ends another key
+        stop = after.start() if after else len(text)
+        body = text[m.end() : end.start() if end else min(stop, m.end() + 4000)]
         letters = re.sub(r"\\n|\s|['\"+,\\]", "", body)
         if len(re.findall(r"[A-Za-z0-9+/=]", letters)) >= 20 and not STAND_IN.search(letters[:40]):
             out.append((m.start(), end.end() if end else m.end(), "", "format"))
+            if not end:
+                out += [(s, e, "", "rest") for s, e in key_lines(text, m.end(), stop)]
     blocks = [(s, e) for s, e, _, _ in out]
     if any(x in text for x in PREFIXES):
         for m in STRUCTURED.finditer(text):
