@@ -108,11 +108,12 @@ PLACES = [
     _rx(rf"{KEY}[ \t]+(?:\*\*|`)(?P<v>[^\s`]{{4,200}}?)(?:\*\*|`)(?![*])"),
     _rx(rf"\blogin:[ \t]*\S{{1,60}}[ \t]*/[ \t]*(?P<v>\S{{4,200}})[ \t]+\({KEY}\)"),
 ]
-# A credential's place always has one of these on its line or on one of the two lines before.
+# Every match of PLACES has one of these, in lower case, on its first line or on the line its value starts on
+# or one between. Each of NAME's words holds one; a test matches every pattern and word against them.
 HINTS = (
-    "pass", "pwd", "pw=", "contrase", "mot_de", "motdepasse", "kennwort", "clave", "secret", "token", "api", "access", "_key", "-key",
-    '"key"', "'key'", "credential", "sendgrid", "jwt", "bearer", "basic ", "auth", "://", "login", ".init(", ".configure(", ".connect(",
-    "identified", "mysql", "curl", "echo ", "<<", "?key=", "&key=", "sig=",
+    "pass", "pwd", "pw", "contrase", "mot_de", "motde", "kennwort", "clave", "secret", "token", "key", "access", "credential", "sendgrid", "jwt", "bearer",
+    "basic", "auth", "://", "login", ".init(", ".configure(", ".connect(", "identified", "mysql", "psql", "mongo", "redis-cli", "curl", "echo", "<<", "machine",
+    "?sig", "&sig", "?code=", "&code=",
 )
 PREFIXES = ("AKIA", "ASIA", "gh", "gl", "hvs.", "sk-", "k_live_", "k_test_", "xox", "SG.", "AIza", "npm_", "eyJ", "qlk_")
 REACH = 3  # lines

@@ -114,3 +114,27 @@ def test_private_key_without_end_counts_once(spark):
     places = C.find(df)
     assert {(r.k, r.line) for r in places.collect()} == {(1, 2)}
     assert C.redact(df, places).first().redacted == f"x\n{M}\n{M}\n{M}\ny = 1"
+
+
+# One text for each pattern of PLACES, in their order.
+SAMPLES = [
+    ['const signingKey = "Uy8rac5n1"', 'pw = "Uy8rac5n1"', '"pw": "Uy8rac5n1"'], ["pw: Uy8rac5n1", "AccountKey=Uy8rac5n1", "masterKey: Uy8rac5n1"], ["x: {appKey: Uy8rac5n1}"],
+    ["; stripeKey Uy8rac5n1"], ["encryptionKey: >-\n  Uy8rac5n1"], ["name: privateKey\nvalue: Uy8rac5n1"], ['key: "pw", value: "Uy8rac5n1"'], ["<pw>Uy8rac5n1</pw>"], ['("appKey", "Uy8rac5n1")'],
+    ['cfg["appKey"] = "Uy8rac5n1"'], ['process.env.PW || "Uy8rac5n1"'], ['auth=("svc", "Uy8rac5n1")'], ['sdk.init("Uy8rac5n1")', 'api.connect("Uy8rac5n1")'], ["IDENTIFIED BY 'Uy8rac5n1'", "PASSWORD 'Uy8rac5n1'"],
+    ["redis://svc:Uy8rac5n1@h.example"], ["/cb?code=Uy8rac5n1", "/cb?x=1&signature=Uy8rac5n1", "/cb?key=Uy8rac5n1", "/cb?sig=Uy8rac5n1"], ["Basic\tUy8rac5n1x"], ["curl -u svc:Uy8rac5n1 h"],
+    ["redis-cli -h h -a Uy8rac5n1", "psql -p Uy8rac5n1", "mongo -u svc -p Uy8rac5n1", "mysql -p Uy8rac5n1"], ["x --signingkey Uy8rac5n1"], ["echo\tUy8rac5n1 | docker --x-stdin"], ["machine h login u password Uy8rac5n1"],
+    ["cat <<EOT\nUy8rac5n1\nEOT"], ["The appKey is `Uy8rac5n1`"], ["the pw **Uy8rac5n1**"], ["login: svc / Uy8rac5n1 (pw)"],
+]
+
+
+def test_every_place_passes_the_hints():
+    assert len(SAMPLES) == len(C.PLACES)
+    for rx, texts in zip(C.PLACES, SAMPLES):
+        for text in texts:
+            text = f"x\ny\nz\n\n{text}\n"
+            assert (m := rx.search(text)), text
+            assert any(a <= m.start() and m.end() <= b for a, b in C.windows(text)), text
+            assert "Uy8rac5n1" in [v[:9] for _, _, v, _ in C.candidates(text)], text
+    words = "pass password passwort passwd passphrase passcode pwd pw contraseña contrasena mot_de_passe motdepasse kennwort clave secret token apikey accesskey signingkey encryptionkey accountkey masterkey privatekey authkey appkey stripekey credential sendgrid x_access xaccess jwt bearer oauth2bearer"
+    for w in words.split():
+        assert C.candidates(f'{w} = "Uy8rac5n1"') and C.candidates(f'{w.upper()} = "Uy8rac5n1"'), w
