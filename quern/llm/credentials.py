@@ -62,28 +62,29 @@ STAND_IN = re.compile(
     r"|\A(?i:true|false|yes|no|on|off|required|optional|missing|string|str|bytes|int|bool|password|passwd|secret|token|api_?key|auth_?token|getpass|process|os|self|config|settings|req|request|args|env|nil|never|stored|value)\Z"
     r"|\A(?:process\.env|os\.|sys\.|self\.|config\.|settings\.|args\.|req\.|env\.|store/|getpass\(|os\.getenv|vault |\w+\()"
 )
-QUOTED = r"[rbuRBU]{0,2}(?P<q>['\"`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,400}?)(?P=q)"
+QUOTED = r"[rbuRBU]{0,2}(?P<q>['\"`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,})(?P=q)"
 
 
 def _rx(p: str, flags: int = 0) -> re.Pattern:
     return re.compile(p, flags | re.IGNORECASE | re.MULTILINE)
 
 
-# Each pattern has the value as its group v, or as group h if it is a header value.
+# Each pattern has the value as its group v, or as group h if it is a header value. Values are of any length, up to
+# their delimiter.
 PLACES = [
     # key = "value", "key": "value", key: str = r"value", key = ("value", cfg.Key = `value`, key="value" attributes
     _rx(rf"{KEY}['\"]?\]?\s{{0,4}}(?::\s*(?:str|string|bytes|&str|String)\s*)?(?::=|=>|=|:)\s{{0,4}}\(?\s{{0,4}}{QUOTED}"),
     # key=value, key: value on lines of their own, also commented out
-    _rx(rf"^[ \t]*(?:[#;/*-]+[ \t]*)?(?:(?:TODO|FIXME|XXX)\b[^\r\n=:]{{0,20}}[ \t])?(?:export[ \t]+|set[ \t]+)?(?P<k>{KEY})[ \t]*[:=][ \t]*(?P<v>[^\s'\"`{{\[(<|>][^\s]{{3,400}}?)[,;]?(?:[ \t]+[#;/][^\r\n]*)?[ \t]*\r?$"),
+    _rx(rf"^[ \t]*(?:[#;/*-]+[ \t]*)?(?:(?:TODO|FIXME|XXX)\b[^\r\n=:]{{0,20}}[ \t])?(?:export[ \t]+|set[ \t]+)?(?P<k>{KEY})[ \t]*[:=][ \t]*(?P<v>[^\s'\"`{{\[(<|>][^\s]{{3,}}?)[,;]?(?:[ \t]+[#;/][^\r\n]*)?[ \t]*\r?$"),
     # flow mappings and ini comments: {key: value}, "; key value"
-    _rx(rf"[{{,][ \t]*(?P<k>{KEY})[ \t]*:[ \t]*(?P<v>[^\s'\"{{}},]{{6,400}})[ \t]*[,}}]"),
-    _rx(rf"^[ \t]*[;#][ \t]*(?P<k>{KEY})[ \t]+(?P<v>[^\s=:]{{6,200}})[ \t]*\r?$"),
+    _rx(rf"[{{,][ \t]*(?P<k>{KEY})[ \t]*:[ \t]*(?P<v>[^\s'\"{{}},]{{6,}})[ \t]*[,}}]"),
+    _rx(rf"^[ \t]*[;#][ \t]*(?P<k>{KEY})[ \t]+(?P<v>[^\s=:]{{6,}})[ \t]*\r?$"),
     # block scalars: the value starts on the next line
-    _rx(rf"^[ \t]*(?:-[ \t]+)?['\"]?(?P<k>{KEY})['\"]?:[ \t]*[>|][+-]?[ \t]*\r?\n[ \t]+(?P<v>[^\s]{{5,400}})[ \t]*\r?$"),
+    _rx(rf"^[ \t]*(?:-[ \t]+)?['\"]?(?P<k>{KEY})['\"]?:[ \t]*[>|][+-]?[ \t]*\r?\n[ \t]+(?P<v>[^\s]{{5,}})[ \t]*\r?$"),
     # names and values side by side
-    _rx(rf"name['\"]?\s*[:=]\s*['\"]?{KEY}['\"]?\s*,?\s*['\"]?value['\"]?\s*[:=]\s*(?P<q>['\"]?)(?P<v>[^\s'\"]{{5,400}})(?P=q)"),
+    _rx(rf"name['\"]?\s*[:=]\s*['\"]?{KEY}['\"]?\s*,?\s*['\"]?value['\"]?\s*[:=]\s*(?P<q>['\"]?)(?P<v>[^\s'\"]{{5,}})(?P=q)"),
     _rx(rf"\bkey['\"]?\s*[:=]\s*['\"]{KEY}['\"]\s*,?\s*['\"]?value['\"]?\s*[:=]\s*{QUOTED}"),
-    _rx(rf"<(?P<k>{KEY})>\s*(?P<v>[^\s<>]{{5,400}})\s*</"),
+    _rx(rf"<(?P<k>{KEY})>\s*(?P<v>[^\s<>]{{5,}})\s*</"),
     _rx(rf"\(\s*['\"](?:x-)?{KEY}['\"]\s*,\s*{QUOTED}"),
     _rx(rf"\[['\"]{KEY}['\"]\]\s*=\s*{QUOTED}"),
     _rx(rf"process\.env\.{KEY}\s*(?:\|\||\?\?)\s*{QUOTED}"),
@@ -92,21 +93,21 @@ PLACES = [
     _rx(rf"\b(?:sdk|client|api)\.(?:init|login|configure|connect)\(\s*{QUOTED}"),
     _rx(rf"\b(?:IDENTIFIED\s+BY|PASSWORD)\s+{QUOTED}"),
     # connection strings: the part between user and host
-    _rx(r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@'\"`<>]{0,60}:(?P<v>[^\s@'\"`<>]{3,200}(?:@(?![\w.-]+\.(?:example|test|invalid)))?)@[\w.-]+"),
-    _rx(rf"[?&](?:{KEY}|key|sig|signature|code|access)=(?P<v>[^\s&'\"`<>#]{{6,400}})"),
+    _rx(r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@'\"`<>]{0,60}:(?P<v>[^\s@'\"`<>]{3,}+(?:@(?![\w.-]+\.(?:example|test|invalid)))?)@[\w.-]+"),
+    _rx(rf"[?&](?:{KEY}|key|sig|signature|code|access)=(?P<v>[^\s&'\"`<>#]{{6,}})"),
     # headers
-    _rx(r"\b(?:Bearer|Basic|Token)[ \t]+(?P<h>[A-Za-z0-9+/=_.!#$%^&*~-]{6,600})"),
+    _rx(r"\b(?:Bearer|Basic|Token)[ \t]+(?P<h>[A-Za-z0-9+/=_.!#$%^&*~-]{6,})"),
     # command lines
-    _rx(r"\bcurl\b[^\r\n]{0,80}?\s(?:-u|--user)[ \t]*['\"]?[^\s:'\"]{1,60}:(?P<v>[^\s'\"`]{4,200})"),
-    _rx(r"\b(?:mysql|mysqldump|psql|sshpass|mongo|redis-cli)\b[^\r\n]{0,80}?\s-[pa][ \t]?(?P<q>['\"]?)(?P<v>(?!(?:app|svc|root)\b)[^\s'\"]{4,200})(?P=q)"),
-    _rx(rf"--[a-z0-9-]{{0,30}}(?:{NAME})[= \t](?P<q>['\"]?)(?P<v>[^\s'\"]{{4,400}})(?P=q)"),
-    _rx(r"\becho[ \t]+(?:-n[ \t]+)?['\"]?(?P<v>[^\s'\"]{5,400})['\"]?[ \t]*\|[^\r\n]{0,60}\b(?:login|passwd|stdin)"),
-    _rx(r"\bmachine[ \t]+\S+[ \t]+login[ \t]+\S+[ \t]+password[ \t]+(?P<v>\S{4,200})"),
-    _rx(r"<<-?[ \t]*['\"]?(?P<e>[A-Z]{2,10})['\"]?[ \t]*\r?\n(?P<v>\S{5,400})[ \t]*\r?\n(?P=e)\b"),
+    _rx(r"\bcurl\b[^\r\n]{0,80}?\s(?:-u|--user)[ \t]*['\"]?[^\s:'\"]{1,60}:(?P<v>[^\s'\"`]{4,})"),
+    _rx(r"\b(?:mysql|mysqldump|psql|sshpass|mongo|redis-cli)\b[^\r\n]{0,80}?\s-[pa][ \t]?(?P<q>['\"]?)(?P<v>(?!(?:app|svc|root)\b)[^\s'\"]{4,})(?P=q)"),
+    _rx(rf"--[a-z0-9-]{{0,30}}(?:{NAME})[= \t](?P<q>['\"]?)(?P<v>[^\s'\"]{{4,}})(?P=q)"),
+    _rx(r"\becho[ \t]+(?:-n[ \t]+)?['\"]?(?P<v>[^\s'\"]{5,})['\"]?[ \t]*\|[^\r\n]{0,60}\b(?:login|passwd|stdin)"),
+    _rx(r"\bmachine[ \t]+\S+[ \t]+login[ \t]+\S+[ \t]+password[ \t]+(?P<v>\S{4,})"),
+    _rx(r"<<-?[ \t]*['\"]?(?P<e>[A-Z]{2,10})['\"]?[ \t]*\r?\n(?P<v>\S{5,})[ \t]*\r?\n(?P=e)\b"),
     # prose
-    _rx(rf"{KEY}[ \t]+(?:is|was|ist|es|est|lautet)[ \t]*:?[ \t]*[`'\"](?P<v>[^\s`'\"]{{4,200}})[`'\"]"),
-    _rx(rf"{KEY}[ \t]+(?:\*\*|`)(?P<v>[^\s`]{{4,200}}?)(?:\*\*|`)(?![*])"),
-    _rx(rf"\blogin:[ \t]*\S{{1,60}}[ \t]*/[ \t]*(?P<v>\S{{4,200}})[ \t]+\({KEY}\)"),
+    _rx(rf"{KEY}[ \t]+(?:is|was|ist|es|est|lautet)[ \t]*:?[ \t]*[`'\"](?P<v>[^\s`'\"]{{4,}})[`'\"]"),
+    _rx(rf"{KEY}[ \t]+(?:\*\*|`)(?P<v>[^\s`]{{4,}}?)(?:\*\*|`)(?![*])"),
+    _rx(rf"\blogin:[ \t]*\S{{1,60}}[ \t]*/[ \t]*(?P<v>\S{{4,}})[ \t]+\({KEY}\)"),
 ]
 # Every match of PLACES has one of these, in lower case, on its first line or on the line its value starts on
 # or one between. Each of NAME's words holds one; a test matches every pattern and word against them.
@@ -234,7 +235,6 @@ def line_of(text: str, at: int) -> int:
 
 SPANS = "k bigint, start int, stop int, line int, value string, kind string"
 ANCHOR = 8  # bytes; a value is looked for by its last so many
-LONGEST = 600
 LEAST_BITS, MOST_BITS = 16, 27
 BLOCK_BITS = 16
 

@@ -1,5 +1,6 @@
 import ast
 import json
+import time
 
 import pytest
 
@@ -138,3 +139,18 @@ def test_every_place_passes_the_hints():
     words = "pass password passwort passwd passphrase passcode pwd pw contraseña contrasena mot_de_passe motdepasse kennwort clave secret token apikey accesskey signingkey encryptionkey accountkey masterkey privatekey authkey appkey stripekey credential sendgrid x_access xaccess jwt bearer oauth2bearer"
     for w in words.split():
         assert C.candidates(f'{w} = "Uy8rac5n1"') and C.candidates(f'{w.upper()} = "Uy8rac5n1"'), w
+
+
+def test_values_of_any_length():
+    long = "LS0tLS1CRUdJTiBQ" * 190
+    for rx, texts in zip(C.PLACES, SAMPLES):
+        for text in texts:
+            text = text.replace("Uy8rac5n1", long)
+            assert long not in redact(text) and M in redact(text) and "LS0t" not in redact(text).replace(M, ""), text[:60]
+
+
+def test_long_texts_stay_quick():
+    for piece in ("http://a:8", "token=", 'token: "', "token: x", "Bearer x ", "?key=", "curl -u a:", "pw", "{pw:", "<<EOT\n"):
+        start = time.process_time()
+        C.candidates(piece * (50_000 // len(piece)))
+        assert time.process_time() - start < 20, piece
