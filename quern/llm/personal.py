@@ -34,15 +34,34 @@ _word = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"(?i)\b(?:{_word})(?:[ ,-]{{1,2}}(?:{_word})){{5,14}}\b")
 SPELLED_WORD = re.compile(rf"(?i){_word}")
 
+
+def may_be_spelled(low: str) -> bool:
+    """Whether a lower-case text has enough words of digits for a run. The first and last of a run may touch other signs."""
+    return sum(map(SPELLED.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 4
+
+
+
 # --- patterns over normalised text ---------------------------------------------------------------
-_at = r"(?:[ ]?@[ ]?|[ ]?[\[({<][ ]?(?:at|ät|arroba|arobase)[ ]?[\])}>][ ]?|[ ](?:at|arroba|arobase)[ ](?=[\w-]+[ ](?:dot|punkt|point|punto)[ ]))"
-_dot = r"(?:\.|[ ]?[\[({<][ ]?(?:dot|punkt|point|punto)[ ]?[\])}>][ ]?|[ ](?:dot|punkt|point|punto)[ ])"
+AT_WORDS, BARE_AT_WORDS, DOT_WORDS = ("at", "ät", "arroba", "arobase"), ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
+_any_at, _bare_at, _any_dot = "|".join(AT_WORDS), "|".join(BARE_AT_WORDS), "|".join(DOT_WORDS)
+_at = rf"(?:[ ]?@[ ]?|[ ]?[\[({{<][ ]?(?:{_any_at})[ ]?[\])}}>][ ]?|[ ](?:{_bare_at})[ ](?=[\w-]+[ ](?:{_any_dot})[ ]))"
+_dot = rf"(?:\.|[ ]?[\[({{<][ ]?(?:{_any_dot})[ ]?[\])}}>][ ]?|[ ](?:{_any_dot})[ ])"
 EMAIL = re.compile(
     rf"(?i)(?<![\w.+%-])(?P<local>[a-z0-9][\w.+%'-]{{0,63}}){_at}(?P<host>[a-z0-9][a-z0-9-]{{0,62}}(?:{_dot}[a-z0-9][a-z0-9-]{{0,62}}){{0,6}}{_dot}(?P<tld>[a-z]{{2,24}}))(?![\w-]|\.\w)"
 )
-AT_HINTS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "ät)", "ät]", "arroba", "arobase", " dot ", " punkt ", " punto ")
+AT_HINTS = ("@", *(f"{o}{gap}{w}" for o in "[({<" for gap in ("", " ") for w in AT_WORDS))
+BARE_AT_HINTS, DOT_HINTS = tuple(f" {w} " for w in BARE_AT_WORDS), tuple(f" {w} " for w in DOT_WORDS)
+
+
+def may_have_email(low: str) -> bool:
+    """Whether a lower-case text has what stands for an @ in one of the ways of EMAIL."""
+    return any(h in low for h in AT_HINTS) or any(h in low for h in DOT_HINTS) and any(h in low for h in BARE_AT_HINTS)
+
+
 # Runs of digits long enough for a phone or identity number.
 NUMBER_HINT = re.compile(r"\d[\d ().,/+-]{4,}\d|[A-Z]\d\d[A-Z]\d")
+# Six digits among letters, as far apart as they can be in an identity number after its cue.
+MIXED_HINT = re.compile(r"\d(?:(?:[ ./-]?[A-Za-z]){0,13}[ ./-]?\d){5}")
 # Endings of file names, which no mail host has.
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "ts", "json", "md", "py", "txt", "html", "yaml", "yml", "toml", "lock", "tgz", "zip"}
 LOGIN_BEFORE = re.compile(r"(?i)(?:\b(?:ssh|scp|sftp|rsync|mosh|ssh-copy-id|git clone)\b(?:[ ]+-{1,2}\S+(?:[ ]+[\w./~]+)?){0,4}[ ]+|://[^\s/\"'<>]{0,200})\Z")
@@ -78,30 +97,37 @@ NATIONAL = [
 ID_HINT = re.compile(rf"(?i)\d{{3}}[- ]\d{{2}}[- ]\d{{4}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-D]\b|\d \d\d \d\d \d|\d\d \d{{3}} \d{{3}}|\b[A-Z]?-?\d{{7,8}}-?[A-Z]?\b|\b[A-Z]\d\d[A-Z]\d|{ID_CUE}")
 
 _cap = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*"
+# Words for streets, as the address patterns have them; the English and German ones in this letter case only.
+STREETS_EN = "Court|Road|Lane|Blvd|Boulevard|Dr|Drive|Close|Terrace|Street|St|Avenue|Ave|Way|Place|Square|Crescent|Rd|Ct|Ln|Row|Mews|Gardens|Grove|Hill|Walk|Parkway|Pkwy|Highway|Circle"
+STREETS_DE = r"straße|strasse|str\.|weg|allee|platz|gasse|ufer|damm|ring|steig|pfad"
+STREETS_FR = r"rue|avenue|av\.|impasse|boulevard|bd|chemin|place|allée|quai|route|cours|square|passage"
+STREETS_ES = r"avenida|avda\.?|calle|c/|plaza|paseo|camino|carrera|ronda"
 ADDRESS = [
     re.compile(
         rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite)[ ]\w{{1,5}},[ ])?(?<![\w.,-])(?<![.,]\d)\d{{1,5}}[A-Za-z]?[ ](?:[NSEW]\.?[ ])?(?:{_cap}[ ]){{1,3}}"
-        r"(?:Court|Road|Lane|Blvd|Boulevard|Dr|Drive|Close|Terrace|Street|St|Avenue|Ave|Way|Place|Square|Crescent|Rd|Ct|Ln|Row|Mews|Gardens|Grove|Hill|Walk|Parkway|Pkwy|Highway|Circle)\b\.?"
+        rf"(?:{STREETS_EN})\b\.?"
         rf"(?:,[ ](?:Suite|Apt\.?|Unit|Floor|Flat)[ ]\w{{1,5}})?(?:,[ ]{_cap}(?:[ ]{_cap})?(?:[ ][A-Z]{{1,2}}\d[\dA-Z]?[ ]\d[A-Z]{{2}})?)?"
     ),
-    re.compile(rf"\b{_cap}(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|damm|ring|steig|pfad)[ ]\d{{1,4}}[a-z]?\b(?:,[ ](?:D-)?\d{{5}}[ ]{_cap})?"),
+    re.compile(rf"\b{_cap}(?:{STREETS_DE})[ ]\d{{1,4}}[a-z]?\b(?:,[ ](?:D-)?\d{{5}}[ ]{_cap})?"),
     re.compile(
-        rf"(?i:\b\d{{1,4}}(?:[ ]?(?:bis|ter|quater))?,?[ ](?:rue|avenue|av\.|impasse|boulevard|bd|chemin|place|allée|quai|route|cours|square|passage)[ ](?:de la |de l'|de l’|des |du |de |d'|d’)?){_cap}"
+        rf"(?i:\b\d{{1,4}}(?:[ ]?(?:bis|ter|quater))?,?[ ](?:{STREETS_FR})[ ](?:de la |de l'|de l’|des |du |de |d'|d’)?){_cap}"
         rf"(?:[ -]{_cap})*(?:,[ ](?:\d{{5}}[ ])?{_cap}(?:-[\wÀ-ÿ]+)*)?"
     ),
     re.compile(
-        rf"(?i:\b(?:avenida|avda\.?|calle|c/|plaza|paseo|camino|carrera|ronda)[ ]?(?:del |de la |de las |de los |de |las |los |la |el )?){_cap}(?:[ ]{_cap})*,?[ ](?:n\.?[ºo][ ]?)?\d{{1,4}}"
+        rf"(?i:\b(?:{STREETS_ES})[ ]?(?:del |de la |de las |de los |de |las |los |la |el )?){_cap}(?:[ ]{_cap})*,?[ ](?:n\.?[ºo][ ]?)?\d{{1,4}}"
         rf"(?:,[ ]\d{{1,2}}\.?[ºo]?[ ]?[A-Z]?)?(?:,[ ]{_cap}(?:[ ](?:del[ ]|de[ ])?{_cap})*)?"
     ),
 ]
-# One of these is in every address the patterns find.
-ADDRESS_HINTS = (
-    "Court", "Road", "Lane", "Blvd", "Boulevard", "Dr", "Close", "Terrace", "Street", " St", "Ave", "Way", "Place", "Square", "Crescent",
-    " Rd", " Ct", " Ln", "Row", "Mews", "Gardens", "Grove", "Hill", "Walk", "Parkway", "Pkwy", "Highway", "Circle",
-    "straße ", "strasse ", "str. ", "weg ", "allee ", "platz ", "gasse ", "ufer ", "damm ", "ring ", "steig ", "pfad ",
-    "rue ", "venue ", "venida ", "vda", "impasse ", "chemin ", "allée ", "quai ", "route ", "cours ", "alle ", "C/", "c/", "laza ", "aseo ", "amino ",
-    "RUE ", "AVENUE ", "AVENIDA ", "CALLE ", "bd ", "av. ", "passage ", "place ", "square ", "boulevard ", "carrera ", "ronda ",
-)
+# One of these is in every address the patterns find: as written, or in lower case.
+ADDRESS_HINTS = tuple(f" {w}" for w in STREETS_EN.split("|")) + tuple(f"{w} " for w in STREETS_DE.replace("\\", "").split("|"))
+LOW_ADDRESS_HINTS = tuple(f" {w} " for w in STREETS_FR.replace("\\", "").split("|")) + tuple(STREETS_ES.replace("\\.?", "").split("|"))
+
+
+def may_have_address(t: str) -> bool:
+    """Whether a text has a street's word of ADDRESS."""
+    low = t.lower()
+    return any(h in t for h in ADDRESS_HINTS) or any(h in low for h in LOW_ADDRESS_HINTS)
+
 
 # Forms of address before a family name.
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Fr|Hr|Monsieur|Madame|Mademoiselle|Mme|Mlle|M|Sra?|Srta|Señora?|Señorita|Don|Doña)"
@@ -225,7 +251,7 @@ def normalised(text: str) -> tuple[str, list[int] | None]:
                     where.append(i)
             text = "".join(chars)
         text = text.translate(_same_length())
-    if any(w in text.lower() for w in ("zero", "null", "cero", "zéro", "five", "fünf", "cinq", "cinco")) and SPELLED_RUN.search(text):
+    if may_be_spelled(text.lower()) and SPELLED_RUN.search(text):
         out, src, at = [], [], 0
         for m in SPELLED_RUN.finditer(text):
             out += [text[at : m.start()], "+"]
@@ -250,7 +276,7 @@ def _free(spans: list[tuple[int, int, str]], s: int, e: int) -> bool:
 def _emails(t: str) -> list[tuple[int, int, str]]:
     out = []
     low = t.lower()
-    if any(h in low for h in AT_HINTS):
+    if may_have_email(low):
         for m in EMAIL.finditer(t):
             s, e = m.span()
             if m["tld"].lower() in FILE_ENDINGS or LOGIN_BEFORE.search(t, max(0, s - 260), s):
@@ -328,9 +354,9 @@ def find_in(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     t, where = normalised(text)
     found = _emails(t)
     if DIGIT.search(t):
-        if NUMBER_HINT.search(t):
+        if NUMBER_HINT.search(t) or MIXED_HINT.search(t) and ID_HINT.search(t):
             found += _numbers(t, found)
-        if any(h in t for h in ADDRESS_HINTS):
+        if may_have_address(t):
             for rx in ADDRESS:
                 found += [(m.start(), m.end(), "street_address") for m in rx.finditer(t) if _free(found, *m.span())]
     found += _names(t, names, found)

@@ -60,6 +60,31 @@ def test_spelled_digits(names):
     assert kinds("call zero two zero seven nine four six zero one two three", names) == {"phone"}
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["call six one four seven two eight nine three one two", "call (oh two one seven oh six four nine three one).", "Tel. un-deux-trois-quatre-six-sept-huit-neuf-un-deux", "llame DOS, TRES, SEIS, SIETE, OCHO, NUEVE, UNO, DOS, TRES"],
+)
+def test_spelled_digits_without_nought_or_five(text, names):
+    assert kinds(text, names) == {"phone"}
+
+
+def test_gates_let_every_word_of_the_patterns_through(names):
+    for word in P.AT_WORDS:
+        for o, c in ("[]", "()", "{}", "<>"):
+            for gap in ("", " "):
+                assert kinds(f"mail bob {o}{gap}{word.upper()}{gap}{c} foo.example now", names) == {"email"}
+    for word in P.BARE_AT_WORDS:
+        for dot in P.DOT_WORDS:
+            assert kinds(f"mail bob {word} foo {dot} example now", names) == {"email"}
+    streets = [f"12 Pinder {w}, Northwick" for w in P.STREETS_EN.split("|")] + [f"Hafen{w} 12, 75001 Neuhafen".replace("\\", "") for w in P.STREETS_DE.split("|")]
+    for way in (str.lower, str.upper, str.capitalize):
+        streets += [f"12 {way(w)} Victor Hugo, 75001 Paris".replace("\\", "") for w in P.STREETS_FR.split("|")]
+        streets += [f"{way(w)} Encina 47, Robledal".replace("\\.?", "") for w in P.STREETS_ES.split("|")]
+    for text in streets:
+        assert kinds(f"an {text}.", names) == {"street_address"}, text
+    assert kinds("passport no. A1B2C3D4E5F6.", names) == {"national_id"}
+
+
 def test_everything_else_is_unchanged(names):
     text = "ünï​ ｗide mail a.b@foo.example énd"
     assert P.replaced(text, P.find_in(text, names)) == "ünï​ ｗide mail [EMAIL] énd"
