@@ -100,7 +100,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     pages = stuffing.features(table(spark, d, "documents").select("doc_id", "text"))
-    return pages.filter(stuffing.is_stuffed()).select("doc_id").distinct()
+    return stuffing.stuffed(pages).select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Keyword-stuffed and link-list pages.
 
 Corpus counts of words and of neighbouring words give each page the mean pointwise mutual
-information of its neighbouring words, its own occurrences left out. Text that people write
-joins words that belong together by words of grammar; pages of keywords do without grammar, and
-are then either incoherent (word salad: low mutual information), or made of collocations that they
-repeat to excess, or of links and tags.
-
-Pages are placed in blocks by a hash of their id. A block looks up the counts of its distinct
-neighbour pairs once, so what is shuffled besides the pages grows with distinct pairs a block,
-not with words; pairs are added up inside each block before.
+information of its neighbouring words, its own occurrences left out and normalised to -1..1. How
+high that is depends on the words as well, so the same mean over the page's own words in a
+random order is its background: what remains, the page's lift, is what the order of its words
+says. Sentences join words that belong together, in any language; in word salad, and in lists of
+keywords, neighbours are as good as random. A page is stuffed if its lift is far below that of
+the corpus's typical page, or below it while the page repeats the same few collocations or links.
+There is no list of words, and all measures stay the same if every count doubles.
+
+Pages are placed in blocks by a hash of their id and read once: a block gives the counts of its
+distinct neighbour pairs, and its pages as word numbers, which the second step needs. What is
+shuffled besides the pages grows with distinct pairs a block, not with words.
 """
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -26,30 +30,20 @@ from quern.session import checkpointed, partitions_for
 # A block holds about so many pages, and about so many bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 4_000, 16_000_000
 
-LEAST_WORDS = 8  # shorter pages aren't judged
-GRAMMAR_SHARE = 0.20  # below this share of grammar words a page has no sentences
-LOOSE_GRAMMAR_SHARE = 0.33
-INCOHERENT = 3.3  # mean mutual information (nats) below which neighbours don't belong together
-REPEATED = 0.05  # share of a page in content collocations that it has three times or more
-EXCESSIVE, LOOPED = 0.35, 0.30  # the same for pages with some grammar, and of its six most frequent pairs
-LINKED = 0.15  # share of links, addresses and tags in the page's strings
-
-# Frequent words of grammar in English, German, French and Spanish.
-GRAMMAR = frozenset(
-    "the a an of to in on for and or is are was were be been that this these those it its as at by with from not no but if so we our you your "
-    "they he she one which who why what when how has have had do does did must should would could can will after before than then there their "
-    "into about over under up out only also each every more most "
-    "der die das den dem des ein eine einen einem einer und oder ist sind war waren wird werden nicht auf aus bei mit nach von vor zu zum zur im "
-    "am wir ihr sie es wie dass für um noch nur auch wenn weil obwohl durch über unter "
-    "le la les l un une de du d et ou est sont était que qui ne pas plus dans sur pour par avec sans ce cette ces nous vous il elle se s au aux n "
-    "y en si mais à "
-    "el los las del al lo o son fue por para con sin su sus como más pero cuando entre hasta desde esta este una".split()
-)
+BACKGROUND = 32  # pairs of a page's words, drawn by hash, whose mean information is its background
+LEAST_WORDS = 8  # shorter pages are judged by their links only
+LEAST_SEEN = 20  # occurrences on other pages from which a word's neighbours are known
+LEAST_KNOWN = 0.5  # share of neighbour pairs of such words below which a page's order isn't judged
+FAR_BELOW, BELOW = 2 / 3, 0.8  # of the typical page's lift
+REPEATED, ALL_REPEATED = 0.7, 0.9  # share of a page in pairs that it has three times or more
+LINKED, LINKS_ONLY = 0.15, 0.5  # share of links, addresses and tags in the page's strings
+
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d\w*|[^\W\d_]\w*")
 NOISE = re.compile(r"https?://\S+|www\.\S+|\[/?url[^\]]*\]|<[^<>]{0,500}>")
 LINK = re.compile(r"\S*(?:https?://|www\.|\[/?url|href=|\]\()\S*|(?<!\S)#+\w\S*|(?<!\S)[\w.-]+\.[a-z]{2,10}/\S+")
 LINK_HINTS = ("://", "www.", "[url", "href=", "](")
 TAG_HINT = re.compile(r"#\w|\.[a-z]{2,10}/")
+PAIR, IS_WORD, PAGES = 0, 1, 2
 
 
 def words_of(text: str) -> list[str]:
@@ -66,110 +60,155 @@ def link_share(text: str) -> float:
     return len(LINK.findall(text)) / max(1, len(text.split()))
 
 
-class Block:
-    """Words of a block of pages as numbers, and its neighbour pairs by page."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers spread evenly."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-    def __init__(self, texts: list[str | None]):
+
+class Block:
+    """Words of a block of pages as numbers, with their neighbour pairs and pairs of any two words of a page."""
+
+    def __init__(self, n: np.ndarray, code: np.ndarray, hashes: np.ndarray, links: np.ndarray):
+        self.n, self.code, self.hash, self.links = n, code, hashes, links
+        self.page = np.repeat(np.arange(len(n)), n)
+        first = np.flatnonzero(self.page[1:] == self.page[:-1])
+        # Places of the background's pairs follow from a page's words alone.
+        start = np.cumsum(n) - n
+        own = np.add.reduceat(np.append(hashes[code], np.uint64(0)), start) if len(n) else np.zeros(0, "u8")
+        several = np.flatnonzero(n >= 2)
+        draw = lambda salt: _mixed(own[several, None] + _mixed(np.arange(salt, salt + BACKGROUND, dtype="u8"))[None, :])
+        size = n[several, None].astype("u8")
+        one = draw(1) % size
+        two = (one + 1 + draw(1 + BACKGROUND) % (size - np.uint64(1))) % size
+        at = start[several, None].astype("u8")
+        places = [(first, first + 1), ((at + one).ravel().astype("i8"), (at + two).ravel().astype("i8"))]
+        self.places = [np.concatenate(x) for x in zip(*places)]
+        self.n_real = len(first)
+        a, b = (hashes[code[x]] for x in self.places)
+        self.pair = (_mixed(a) ^ (b + np.uint64(0x7F4A7C15))).astype("i8")
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Block:
         lists = [words_of(t) if t else [] for t in texts]
-        self.n = np.array([len(x) for x in lists], dtype="i8")
         flat = np.array([w for x in lists for w in x], dtype=object)
         code, vocabulary = pd.factorize(flat) if len(flat) else (np.zeros(0, "i8"), np.zeros(0, object))
-        digit = np.array([any(c.isdigit() for c in w) for w in vocabulary], dtype=bool)
-        self.words = np.where(digit, "0", vocabulary) if len(vocabulary) else vocabulary
-        self.hash = pd.util.hash_array(self.words.astype(object), categorize=False) if len(vocabulary) else np.zeros(0, "u8")
-        self.grammar = np.array([w in GRAMMAR for w in vocabulary], dtype=bool)
-        self.page = np.repeat(np.arange(len(texts)), self.n)
-        self.code = code.astype("i8")
-        same = self.page[1:] == self.page[:-1] if len(code) else np.zeros(0, bool)
-        self.a, self.b, self.at = self.code[:-1][same], self.code[1:][same], self.page[1:][same]
-        h = self.hash
-        self.pair = (h[self.a] * np.uint64(0x9E3779B97F4A7C15) ^ (h[self.b] + np.uint64(0x7F4A7C15))).astype("i8") if len(self.a) else np.zeros(0, "i8")
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs and their numbers, distinct words (by hash) and theirs."""
-        p, pn = np.unique(self.pair, return_counts=True)
-        w, wn = np.unique(self.hash[self.code].astype("i8") if len(self.code) else np.zeros(0, "i8"), return_counts=True)
-        return p, pn, w, wn
-
-    def features(self, keys: np.ndarray, numbers: np.ndarray, word_keys: np.ndarray, word_numbers: np.ndarray, total: float) -> pd.DataFrame:
-        """Per page: words, grammar share, mean mutual information, repeated share, looped share."""
-        pages = len(self.n)
-        n_pairs = np.bincount(self.at, minlength=pages) if len(self.at) else np.zeros(pages)
-        grammar = np.bincount(self.page, weights=self.grammar[self.code], minlength=pages) if len(self.code) else np.zeros(pages)
-        mean, repeated, looped = np.zeros(pages), np.zeros(pages), np.zeros(pages)
-        if len(self.pair):
-            which, own_id = np.unique(self.pair, return_inverse=True)
-            both = self.at.astype("i8") * len(which) + own_id
-            one, first, own = np.unique(both, return_index=True, return_counts=True)
-            page, pid = one // len(which), one % len(which)
-            a, b = self.a[first], self.b[first]
-            count = numbers[np.minimum(np.searchsorted(keys, which), len(keys) - 1)][pid]
-            by_word = word_numbers[np.minimum(np.searchsorted(word_keys, self.hash.astype("i8")), len(word_keys) - 1)]
-            # The page's own pairs are left out, with a tenth for what was never seen elsewhere.
-            info = np.log((np.maximum(count - own, 0) + 0.1) * total / (by_word[a].astype("f8") * by_word[b]))
-            mean = np.bincount(page, weights=info * own, minlength=pages) / np.maximum(n_pairs, 1)
-            content = ~self.grammar[a] & ~self.grammar[b] & (own >= 3)
-            repeated = np.bincount(page, weights=own * content, minlength=pages) / np.maximum(n_pairs, 1)
-            order = np.lexsort((-own, page))
-            start = np.searchsorted(page[order], np.arange(pages))
-            rank = np.arange(len(order)) - start[page[order]]
-            looped = np.bincount(page[order], weights=own[order] * (rank < 6), minlength=pages) / np.maximum(n_pairs, 1)
+        plain = np.array(["0" if any(c.isdigit() for c in w) else w for w in vocabulary], dtype=object)
+        hashes = pd.util.hash_array(plain, categorize=False) if len(plain) else np.zeros(0, "u8")
+        # Words with digits share a hash, so each hash gets one number.
+        hashes, again = np.unique(hashes, return_inverse=True)
+        links = np.array([link_share(t) if t else 0.0 for t in texts], dtype="f8")
+        return cls(np.array([len(x) for x in lists], dtype="i8"), again[code].astype("i4") if len(code) else np.zeros(0, "i4"), hashes, links)
+
+    def packed(self) -> bytes:
+        f = io.BytesIO()
+        np.savez(f, n=self.n, code=self.code, hash=self.hash, links=self.links)
+        return zlib.compress(f.getvalue(), 1)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Block:
+        z = np.load(io.BytesIO(zlib.decompress(raw)))
+        return cls(z["n"], z["code"], z["hash"], z["links"])
+
+    def counts(self) -> pd.DataFrame:
+        """Numbers of distinct pairs and words (by hash); pairs of the background only have 0."""
+        ids, keys = pd.factorize(self.pair)
+        n = np.bincount(ids[: self.n_real], minlength=len(keys))
+        w = np.bincount(self.code, minlength=len(self.hash))
+        return pd.DataFrame({
+            "what": np.r_[np.full(len(keys), PAIR), np.full(len(w), IS_WORD)].astype("i1"),
+            "key": np.r_[keys, self.hash.astype("i8")], "n": np.r_[n, w],
+        })
+
+    def features(self, pairs: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], total: float) -> pd.DataFrame:
+        """Per page, from the corpus numbers of (sorted) keys: words, known share, information, lift, repeated share."""
+        pages, m = len(self.n), self.n_real
+        if not len(self.pair):
+            none = np.zeros(pages)
+            return pd.DataFrame({"n_words": self.n, "known_share": none, "mean_npmi": none, "lift": none, "repeated_share": none, "link_share": self.links})
+        word = words[1][np.searchsorted(words[0], self.hash.astype("i8"))].astype("f8")
+        # Whether a word comes often enough on other pages.
+        own, _ = pd.factorize(self.page * len(self.hash) + self.code)
+        known = word[self.code] - np.bincount(own)[own] >= LEAST_SEEN
+        ids, keys = pd.factorize(self.pair)
+        a, b = self.places
+        page = self.page[a]
+        here, _ = pd.factorize(page * len(keys) + ids)
+        here = np.bincount(here[:m], minlength=here.max() + 1)[here]
+        n = np.maximum(pairs[1][np.searchsorted(pairs[0], keys)][ids] - here, 0).astype("f8")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            info = np.log(n * total / (word[self.code[a]] * word[self.code[b]])) / -np.log(n / total)
+        info = np.where(n > 0, np.clip(info, -1, 1), -1.0)
+        told = known[a] & known[b]
+
+        def mean(x: np.ndarray, part: slice, by: np.ndarray | None = None) -> np.ndarray:
+            n = np.bincount(page[part], weights=None if by is None else by[part], minlength=pages)
+            return np.bincount(page[part], weights=x[part], minlength=pages) / np.maximum(n, 1)
+
+        real, mock = slice(0, m), slice(m, None)
+        info = info * told
+        score = mean(info, real, told)
         return pd.DataFrame({
-            "n_words": self.n, "grammar_share": grammar / np.maximum(self.n, 1), "mean_pmi": mean,
-            "repeated_share": repeated, "looped_share": looped,
+            "n_words": self.n, "known_share": np.minimum(mean(told, real), mean(told, mock)), "mean_npmi": score,
+            "lift": score - mean(info, mock, told), "repeated_share": mean(here >= 3, real), "link_share": self.links,
         })
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per page (key, n_words, grammar_share, mean_pmi, repeated_share, looped_share, link_share).
+    """Per page (key, n_words, known_share, mean_npmi, lift, repeated_share, link_share).
 
     Null and empty texts have no words and shares of 0. Texts of any length count whole; repeated rows
-    count as pages of their own; other columns are dropped. An empty table gives no rows.
+    count as pages of their own; a null key is kept; other columns are dropped. An empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     blocks = max(partitions_for(size["rows"], BLOCK_DOCS), partitions_for(size["bytes"], BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("block")), F.lit(blocks)).cast("int")
-    placed = docs.select(block.alias("block"), F.col(key).alias("k"), F.col(text).alias("t"))
+    # The text takes part, so that rows that share a key (or have none) don't share a block.
+    block = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(blocks)).cast("int")
+    placed = docs.select(block.alias("block"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
-        p, pn, w, wn = Block(g["t"].tolist()).counts()
-        return pd.DataFrame({
-            "block": g["block"].iloc[0], "is_word": np.r_[np.zeros(len(p), bool), np.ones(len(w), bool)],
-            "key": np.r_[p, w], "n": np.r_[pn, wn],
-        })
+        b = Block.of(g["t"].tolist())
+        out = b.counts()
+        pages = pd.DataFrame({"what": [PAGES], "key": [0], "n": [0], "keys": [g["k"].tolist()], "pages": [b.packed()]})
+        out = pd.concat([out.assign(keys=None, pages=None).astype({"keys": object, "pages": object}), pages], ignore_index=True)
+        out.insert(0, "block", g["block"].iloc[0])
+        return out
 
-    own = checkpointed(placed.groupBy("block").applyInPandas(count, "block int, is_word boolean, key bigint, n bigint"))
-    sums = own.groupBy("is_word", "key").agg(F.sum("n").alias("total"))
-    total = own.filter("is_word").agg(F.sum("n")).first()[0] or 1
-    looked_up = own.select("block", "is_word", "key").join(sums, ["is_word", "key"])
+    shape = "block int, what tinyint, key bigint, n bigint, keys array<string>, pages binary"
+    own = checkpointed(placed.repartitionById(blocks, "block").groupBy("block").applyInPandas(count, shape))
+    counted = own.filter(F.col("what") != PAGES).select("block", "what", "key", "n")
+    sums = counted.groupBy("what", "key").agg(F.sum("n").alias("total"))
+    total = counted.filter(F.col("what") == IS_WORD).agg(F.sum("n")).first()[0] or 1
+    looked_up = counted.drop("n").join(sums, ["what", "key"]).repartitionById(blocks, "block")
+    pages = own.filter(F.col("what") == PAGES).select(F.col("block").alias("b"), "keys", "pages").repartitionById(blocks, "b")
 
-    def score(pages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def score(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("key")
-        w, p = known[known["is_word"]], known[~known["is_word"]]
-        if not len(p):
-            p = pd.DataFrame({"key": [0], "total": [0]})
-        if not len(w):
-            w = pd.DataFrame({"key": [0], "total": [1]})
-        out = Block(pages["t"].tolist()).features(
-            p["key"].to_numpy(), p["total"].to_numpy(), w["key"].to_numpy(), w["total"].to_numpy(), float(total)
-        )
-        out["link_share"] = [link_share(t) if t else 0.0 for t in pages["t"]]
-        out.insert(0, "k", pages["k"].to_numpy())
+        tables = [known[known["what"] == w] for w in (PAIR, IS_WORD)]
+        pairs, words = ((t["key"].to_numpy(), t["total"].to_numpy()) for t in tables)
+        out = Block.unpacked(own["pages"].iloc[0]).features(pairs, words, float(total))
+        out.insert(0, "k", own["keys"].iloc[0])
         return out
 
-    scored = placed.groupBy("block").cogroup(looked_up.groupBy("block")).applyInPandas(
-        score,
-        f"k {kind}, n_words bigint, grammar_share double, mean_pmi double, repeated_share double, looped_share double, link_share double",
+    scored = pages.groupBy("b").cogroup(looked_up.groupBy("block")).applyInPandas(
+        score, "k string, n_words bigint, known_share double, mean_npmi double, lift double, repeated_share double, link_share double"
     )
-    return scored.withColumnRenamed("k", key)
+    return scored.withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
 
 
-def is_stuffed():
-    """Condition over the features: no sentences, and incoherent, repetitive or made of links; or looped."""
-    bare = (F.col("grammar_share") < GRAMMAR_SHARE) & (
-        (F.col("mean_pmi") < INCOHERENT) | (F.col("repeated_share") >= REPEATED) | (F.col("link_share") >= LINKED)
-    )
-    loops = (F.col("grammar_share") < LOOSE_GRAMMAR_SHARE) & (F.col("repeated_share") >= EXCESSIVE) & (F.col("looped_share") >= LOOPED)
-    # A page of links alone has few words besides them.
-    return (F.col("n_words") >= LEAST_WORDS) & (bare | loops) | (F.col("link_share") >= 0.5)
+def stuffed(pages: DataFrame) -> DataFrame:
+    """Rows of :func:`features` that are stuffed.
+
+    The typical lift is the median over all pages whose order can be judged. The others are judged
+    by their links, and by repetition if they hold hardly anything else.
+    """
+    pages = checkpointed(pages)
+    enough = F.col("n_words") >= LEAST_WORDS
+    judged = enough & (F.col("known_share") >= LEAST_KNOWN)
+    typical = pages.filter(judged).agg(F.percentile_approx("lift", 0.5, 10_000).alias("typical"))
+    low = F.col("lift") < FAR_BELOW * F.col("typical")
+    spammy = (F.col("lift") < BELOW * F.col("typical")) & ((F.col("repeated_share") >= REPEATED) | (F.col("link_share") >= LINKED))
+    loops = enough & ~judged & (F.col("repeated_share") >= ALL_REPEATED)
+    hit = F.coalesce(judged & (low | spammy), F.lit(False)) | loops | (F.col("link_share") >= LINKS_ONLY)
+    return pages.crossJoin(F.broadcast(typical)).filter(hit).drop("typical")  # one row

@@ -24,8 +24,7 @@ def test_spam_is_told_from_prose(spark):
     good, bad = corpus()
     rows = [(i, t) for i, t in enumerate(good)] + [(10_000 + i, t) for i, t in enumerate(bad)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {r.doc_id for r in P.features(df).filter(P.is_stuffed()).collect()}
-    assert found == {10_000 + i for i in range(len(bad))}
+    assert {r.doc_id for r in P.stuffed(P.features(df)).collect()} == {10_000 + i for i in range(len(bad))}
 
 
 def test_counts_don_t_depend_on_blocks(spark, monkeypatch):
@@ -39,18 +38,49 @@ def test_counts_don_t_depend_on_blocks(spark, monkeypatch):
         assert all(abs(a - b) < 1e-9 for a, b in zip(one[k], many[k]))
 
 
-def test_mean_pmi_is_that_of_plain_counts(spark):
+def test_mean_information_is_that_of_plain_counts(monkeypatch):
     import math
 
+    monkeypatch.setattr(P, "LEAST_SEEN", 0)
     docs = ["a b c a b", "a b d", "c a b e"]
-    got = {r.doc_id: r for r in P.features(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()}
+    block = P.Block.of(docs)
+    n = block.counts().sort_values("key")
+    of = lambda what: (n["key"][n["what"] == what].to_numpy(), n["n"][n["what"] == what].to_numpy())
+    got = block.features(of(P.PAIR), of(P.IS_WORD), 12.0)["mean_npmi"]
     words = [d.split() for d in docs]
     uni = {w: sum(d.count(w) for d in words) for d in words for w in d}
     total = sum(uni.values())
+    assert total == 12
     pairs = [list(zip(d, d[1:])) for d in words]
     for i, own in enumerate(pairs):
-        info = [math.log((sum(p.count(x) for p in pairs) - own.count(x) + 0.1) * total / (uni[x[0]] * uni[x[1]])) for x in own]
-        assert abs(got[i].mean_pmi - sum(info) / len(info)) < 1e-9
+        info = []
+        for x in own:
+            n = sum(p.count(x) for p in pairs) - own.count(x)
+            info.append(max(-1.0, min(1.0, math.log(n * total / (uni[x[0]] * uni[x[1]])) / -math.log(n / total))) if n else -1.0)
+        assert abs(got[i] - sum(info) / len(info)) < 1e-9
+
+
+def test_verdicts_stay_as_the_corpus_grows(spark):
+    good, bad = corpus()
+    page, rest = bad[0], good + bad[1:]
+
+    def lift(others):
+        df = spark.createDataFrame(list(enumerate([page, good[0], *others])), "doc_id bigint, text string")
+        return {r.doc_id: r.lift for r in P.features(df).collect() if r.doc_id < 2}
+
+    one, two = lift(rest), lift(rest + rest)
+    # Only the pages' own words don't double.
+    assert all(abs(one[k] - two[k]) < 0.05 for k in one)
+
+
+def test_a_rare_language_isnt_spam(spark):
+    good, bad = corpus()
+    rng = random.Random(3)
+    who, does, what = ["Il lettore", "La scheda", "Il gruppo"], ["resta più lento del", "non dipende dal", "segue sempre il"], ["vecchio archivio", "nuovo ciclo", "primo carico"]
+    rare = [" ".join(f"{rng.choice(who)} {rng.choice(does)} {rng.choice(what)}." for _ in range(8)) for _ in range(12)]
+    single = "Tylko jedna strona w tym języku mówi o zapisie danych i o tym, jak długo trwa odczyt"
+    df = spark.createDataFrame(list(enumerate(rare + [single] + good + bad)), "doc_id bigint, text string")
+    assert {r.doc_id for r in P.stuffed(P.features(df)).collect()} == set(range(13 + len(good), 13 + len(good + bad)))
 
 
 def test_edges(spark):
@@ -60,3 +90,8 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 3), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0), (5, 150_000)]
     assert P.features(df.limit(0)).count() == 0
     assert P.features(df.filter("text IS NULL")).count() == 1
+    assert P.stuffed(P.features(df.limit(0))).count() == 0
+    # The order of words can't be judged here.
+    assert [r.doc_id for r in P.stuffed(P.features(df)).collect()] == [5]
+    share = spark.createDataFrame([(7, "same key")] * 30, "doc_id bigint, text string")
+    assert P.features(share).count() == 30
