@@ -9,9 +9,9 @@ keywords, neighbours are as good as random. A page is stuffed if its lift is far
 the corpus's typical page, or below it while the page repeats the same few collocations or links.
 There is no list of words, and all measures stay the same if every count doubles.
 
-Pages are placed in blocks by a hash of their id and read once: a block gives the counts of its
-distinct neighbour pairs, and its pages as word numbers, which the second step needs. What is
-shuffled besides the pages grows with distinct pairs a block, not with words.
+Pages are taken in blocks where they lie, and read once: a block gives the counts of its distinct
+neighbour pairs, and its pages as word numbers, which the second step needs. Texts aren't
+shuffled; what is grows with distinct pairs a block, not with words.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from __future__ import annotations
 import io
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import checkpointed, partitions_for
+from quern.session import checkpointed, spread
 
-# A block holds about so many pages, and about so many bytes of text.
+# A block holds at most so many pages, and about so many characters of text.
 BLOCK_DOCS, BLOCK_BYTES = 4_000, 16_000_000
 
 BACKGROUND = 32  # pairs of a page's words, drawn by hash, whose mean information is its background
@@ -154,6 +156,21 @@ class Block:
         })
 
 
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """Keys and texts of one block after the other."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for k, t in zip(batch["k"], batch["t"]):
+            if keys and (len(keys) >= BLOCK_DOCS or size >= BLOCK_BYTES):
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys.append(k)
+            texts.append(t)
+            size += len(t or "")
+    if keys:
+        yield keys, texts
+
+
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per page (key, n_words, known_share, mean_npmi, lift, repeated_share, link_share).
 
@@ -161,27 +178,26 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     count as pages of their own; a null key is kept; other columns are dropped. An empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
-    blocks = max(partitions_for(size["rows"], BLOCK_DOCS), partitions_for(size["bytes"], BLOCK_BYTES))
-    # The text takes part, so that rows that share a key (or have none) don't share a block.
-    block = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(blocks)).cast("int")
-    placed = docs.select(block.alias("block"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
-
-    def count(g: pd.DataFrame) -> pd.DataFrame:
-        b = Block.of(g["t"].tolist())
-        out = b.counts()
-        pages = pd.DataFrame({"what": [PAGES], "key": [0], "n": [0], "keys": [g["k"].tolist()], "pages": [b.packed()]})
-        out = pd.concat([out.assign(keys=None, pages=None).astype({"keys": object, "pages": object}), pages], ignore_index=True)
-        out.insert(0, "block", g["block"].iloc[0])
-        return out
-
-    shape = "block int, what tinyint, key bigint, n bigint, keys array<string>, pages binary"
-    own = checkpointed(placed.repartitionById(blocks, "block").groupBy("block").applyInPandas(count, shape))
+    placed = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    placed = spread(placed)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, (keys, texts) in enumerate(_filled(batches)):
+            b = Block.of(texts)
+            out = b.counts().assign(pages=None, keys=None).astype({"pages": object, "keys": object})
+            out.loc[len(out)] = [PAGES, 0, 0, b.packed(), keys]
+            # Blocks are written once, so a number that is unique in this run will do.
+            out.insert(0, "block", (TaskContext.get().partitionId() << 32) + number)
+            yield out
+
+    own = checkpointed(placed.mapInPandas(count, "block bigint, what tinyint, key bigint, n bigint, pages binary, keys array<string>"))
+    pages = own.filter(F.col("what") == PAGES).select(F.col("block").alias("b"), "keys", "pages")
+    parts = max(1, pages.count())
     counted = own.filter(F.col("what") != PAGES).select("block", "what", "key", "n")
     sums = counted.groupBy("what", "key").agg(F.sum("n").alias("total"))
     total = counted.filter(F.col("what") == IS_WORD).agg(F.sum("n")).first()[0] or 1
-    looked_up = counted.drop("n").join(sums, ["what", "key"]).repartitionById(blocks, "block")
-    pages = own.filter(F.col("what") == PAGES).select(F.col("block").alias("b"), "keys", "pages").repartitionById(blocks, "b")
+    looked_up = counted.drop("n").join(sums, ["what", "key"]).repartition(parts, "block")
+    pages = pages.repartition(parts, "b")
 
     def score(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("key")

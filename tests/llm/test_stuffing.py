@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from quern.llm import stuffing as P
 
 SUBJECT = ["The scan", "A reader", "The store", "The index", "Our team"]
@@ -27,12 +29,12 @@ def test_spam_is_told_from_prose(spark):
     assert {r.doc_id for r in P.stuffed(P.features(df)).collect()} == {10_000 + i for i in range(len(bad))}
 
 
-def test_counts_don_t_depend_on_blocks(spark, monkeypatch):
+def test_counts_don_t_depend_on_blocks(spark):
     good, bad = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id bigint, text string")
-    one = {r.doc_id: tuple(r) for r in P.features(df).collect()}
-    monkeypatch.setattr(P, "BLOCK_DOCS", 40)
-    many = {r.doc_id: tuple(r) for r in P.features(df).collect()}
+    one = {r.doc_id: tuple(r) for r in P.features(df.coalesce(1)).collect()}
+    many = {r.doc_id: tuple(r) for r in P.features(df.repartition(9)).collect()}
+    assert [len(k) for k, _ in P._filled([pd.DataFrame({"k": range(9_000), "t": ["x"] * 9_000})])] == [4_000, 4_000, 1_000]
     assert one.keys() == many.keys()
     for k in one:
         assert all(abs(a - b) < 1e-9 for a, b in zip(one[k], many[k]))
