@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 
 from quern.session import checkpointed
 
-MANY_OWNERS = 25  # a shapeless literal in this many scopes is a placeholder
+MANY_OWNERS = 0.02  # a shapeless literal in this share of all scopes, and in FEW_OWNERS at least, is a placeholder
+FEW_OWNERS = 5
 LEAST_LENGTH = 6
 
 # Words that name a credential, as part of an identifier.
 NAME = (
     r"(?:pass(?:wor[dt]|wd|phrase|code)?|pwd|pw|contrase[nñ]a|mot_?de_?passe|kennwort|clave|secret|token|"
-    r"api[_-]?key|access[_-]?key(?:[_-]?id)?|(?:quill|stripe|signing|encryption|account|master|private|auth|app)[_-]?key|"
+    r"api[_-]?key|access[_-]?key(?:[_-]?id)?|(?:stripe|signing|encryption|account|master|private|auth|app)[_-]?key|"
     r"credentials?|sendgrid|x[_-]?access|jwt|bearer|oauth2?[_-]?bearer)"
 )
 # An identifier ending in such a word, or in one followed by a plain qualifier.
@@ -44,8 +46,10 @@ FORMATS = {
     "google": r"AIza[0-9A-Za-z_-]{33,}",
     "npm": r"npm_[0-9A-Za-z]{30,}",
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "quill": r"qlk_[0-9a-z]{24,}",
 }
+# A token by its structure: a short name, then many letters and digits of no pattern.
+SHAPED = re.compile(r"(?<![0-9A-Za-z_/.+-])(?!pk)[a-z][a-z0-9]{1,11}(?:[_-][a-z]{2,8}){0,2}[_-](?P<v>[0-9A-Za-z]{20,})(?![0-9A-Za-z_/.+=-])")
+LEAST_ENTROPY = 3.4  # bits a character
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 # A line of key material, after what may stand before it: breaks (also escaped), quotes, comment signs, header lines.
@@ -69,7 +73,7 @@ def _rx(p: str, flags: int = 0) -> re.Pattern:
     return re.compile(p, flags | re.IGNORECASE | re.MULTILINE)
 
 
-# Each pattern has the value as its group v, or as group h if it is a header value. Values are of any length, up to
+# Each pattern has the value as its group v, as group h if it is a header value, or as group r if it must be random. Values are of any length, up to
 # their delimiter.
 PLACES = [
     # key = "value", "key": "value", key: str = r"value", key = ("value", cfg.Key = `value`, key="value" attributes
@@ -88,12 +92,14 @@ PLACES = [
     _rx(rf"\(\s*['\"](?:x-)?{KEY}['\"]\s*,\s*{QUOTED}"),
     _rx(rf"\[['\"]{KEY}['\"]\]\s*=\s*{QUOTED}"),
     _rx(rf"process\.env\.{KEY}\s*(?:\|\||\?\?)\s*{QUOTED}"),
+    # keys of any other name, if the value is random
+    _rx(r"(?<![A-Za-z0-9])[A-Za-z0-9_.-]{0,40}[A-Za-z0-9][_-]?key['\"]?\]?[ \t]*(?::=|=>|=|:)[ \t]*\(?[ \t]*(?P<q>['\"`]?)(?P<r>[0-9A-Za-z_-]{10,})(?P=q)(?![^\s,;)}\]])"),
     # calls and statements
     _rx(rf"\bauth\s*=\s*\(\s*['\"][^'\"]{{1,60}}['\"]\s*,\s*{QUOTED}"),
     _rx(rf"\b(?:sdk|client|api)\.(?:init|login|configure|connect)\(\s*{QUOTED}"),
     _rx(rf"\b(?:IDENTIFIED\s+BY|PASSWORD)\s+{QUOTED}"),
-    # connection strings: the part between user and host
-    _rx(r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@'\"`<>]{0,60}:(?P<v>[^\s@'\"`<>]{3,}+(?:@(?![\w.-]+\.(?:example|test|invalid)))?)@[\w.-]+"),
+    # connection strings: the part between user and host; a value with an at-sign ends at the last one before the host
+    _rx(r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@'\"`<>]{0,60}:(?P<v>[^\s@'\"`<>]{3,}+(?:@[^\s/@'\"`<>]*(?=@))*)@[\w.-]+"),
     _rx(rf"[?&](?:{KEY}|key|sig|signature|code|access)=(?P<v>[^\s&'\"`<>#]{{6,}})"),
     # headers
     _rx(r"\b(?:Bearer|Basic|Token)[ \t]+(?P<h>[A-Za-z0-9+/=_.!#$%^&*~-]{6,})"),
@@ -107,7 +113,7 @@ PLACES = [
     # prose
     _rx(rf"{KEY}[ \t]+(?:is|was|ist|es|est|lautet)[ \t]*:?[ \t]*[`'\"](?P<v>[^\s`'\"]{{4,}})[`'\"]"),
     _rx(rf"{KEY}[ \t]+(?:\*\*|`)(?P<v>[^\s`]{{4,}}?)(?:\*\*|`)(?![*])"),
-    _rx(rf"\blogin:[ \t]*\S{{1,60}}[ \t]*/[ \t]*(?P<v>\S{{4,}})[ \t]+\({KEY}\)"),
+    _rx(rf"\blogin:[ \t]*\S{{1,60}}[ \t]*/[ \t]*(?P<v>\S{{4,}})[ \t]+\((?:{KEY}|[\w-]{{1,40}}key)\)"),
 ]
 # Every match of PLACES has one of these, in lower case, on its first line or on the line its value starts on
 # or one between. Each of NAME's words holds one; a test matches every pattern and word against them.
@@ -116,8 +122,8 @@ HINTS = (
     "basic", "auth", "://", "login", ".init(", ".configure(", ".connect(", "identified", "mysql", "psql", "mongo", "redis-cli", "curl", "echo", "<<", "machine",
     "?sig", "&sig", "?code=", "&code=",
 )
-PREFIXES = ("AKIA", "ASIA", "gh", "gl", "hvs.", "sk-", "k_live_", "k_test_", "xox", "SG.", "AIza", "npm_", "eyJ", "qlk_")
-REACH = 3  # lines
+PREFIXES = ("AKIA", "ASIA", "gh", "gl", "hvs.", "sk-", "k_live_", "k_test_", "xox", "SG.", "AIza", "npm_", "eyJ")
+REACH = 3  # lines that aren't blank, the hint's own included
 # Names that hold something about a credential rather than one.
 ABOUT = re.compile(r"(?i)(?:_|-|\b)(?:ref|file|path|hash|hashes|count|timeout|min|max|length|len|url|uri|type|name|policy|ttl|expiry|limit|field|env|var)(?:_|\b)|public|(?:tokeni[sz]e)")
 
@@ -140,6 +146,15 @@ def plausible(value: str, name: str = "") -> bool:
     return not re.fullmatch(r"\d{1,5}|[\d.]+|v?\d+(\.\d+)+", value)
 
 
+def is_random(value: str, least: int = 3) -> bool:
+    """Whether letters and digits (so many at least) are mixed as in a generated value; hexadecimal digests and ids aren't."""
+    digits = sum(map(str.isdigit, value))
+    if digits < least or len(value) - digits < 5 or re.fullmatch(r"(?i)[0-9a-f]+", value):
+        return False
+    n = [value.count(c) / len(value) for c in set(value)]
+    return -sum(x * math.log2(x) for x in n) >= min(LEAST_ENTROPY, 0.8 * math.log2(len(value)))
+
+
 # The rest of a literal that goes on in another one, on the same or the next line.
 REST = re.compile(r"[ \t]*\+?[ \t]*(?:\\\r?\n|\r?\n)?[ \t]*[rbuRBU]{0,2}(['\"`])((?:(?!\1)[^\r\n])+)\1")
 
@@ -174,7 +189,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         if end and after and after.start() < end.start():
             end = None  # it ends another key
         stop = after.start() if after else len(text)
-        body = text[m.end() : end.start() if end else min(stop, m.end() + 4000)]
+        body = text[m.end() : end.start() if end else stop]
         letters = re.sub(r"\\n|\s|['\"+,\\]", "", body)
         if len(re.findall(r"[A-Za-z0-9+/=]", letters)) >= 20 and not STAND_IN.search(letters[:40]):
             out.append((m.start(), end.end() if end else m.end(), "", "format"))
@@ -185,13 +200,15 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         for m in STRUCTURED.finditer(text):
             if plausible(m.group()):
                 out.append((m.start(), m.end(), m.group(), "format"))
+    if "_" in text or "-" in text:
+        out += [(m.start(), m.end(), m.group(), "place") for m in SHAPED.finditer(text) if is_random(m["v"]) and plausible(m.group())]
     for a, b in windows(text):
         for rx in PLACES:
             for m in rx.finditer(text, a, b):
                 g = m.groupdict()
-                group = "h" if g.get("h") else "v"
+                group = next(x for x in "hrv" if g.get(x))
                 s, e = m.span(group)
-                if any(x <= s < y for x, y in blocks):
+                if any(x <= s < y for x, y in blocks) or (group == "r" and not is_random(g["r"], 2)):
                     continue
                 name = g.get("k") or (text[m.start() : s] if group == "v" else "")
                 names = [x for x in re.split(r"[^\w-]+", name) if x]
@@ -218,7 +235,11 @@ def windows(text: str) -> list[tuple[int, int]]:
         starts.append(starts[-1] + len(x) + 1)
     for n, x in enumerate(lines):
         if any(h in x for h in here):
-            a, b = starts[n], min(starts[min(n + REACH, len(lines))], len(text))
+            end, left = n + 1, REACH - 1
+            while end < len(lines) and left:
+                left -= bool(lines[end].strip())
+                end += 1
+            a, b = starts[n], min(starts[end], len(text))
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], b)
             else:
@@ -234,9 +255,11 @@ def line_of(text: str, at: int) -> int:
 # --- over a whole table -------------------------------------------------------------------------
 
 SPANS = "k bigint, start int, stop int, line int, value string, kind string"
-ANCHOR = 8  # bytes; a value is looked for by its last so many
+ANCHOR = 8  # bytes; a value is looked for by its last so many, and where it has them by as many before
+SHORT = (6, 7)  # bytes of shorter values that are looked for as well, if they are structured
 LEAST_BITS, MOST_BITS = 16, 27
 BLOCK_BITS = 16
+MOST_ANCHORS = 1 << 24  # in one bit table; more are looked for in several passes
 
 
 def spans(files: DataFrame) -> DataFrame:
@@ -255,46 +278,62 @@ def spans(files: DataFrame) -> DataFrame:
     return files.select("k", "content").mapInPandas(run, SPANS)
 
 
-def confirmed(found: DataFrame, owners: DataFrame, many: int = MANY_OWNERS) -> DataFrame:
-    """Values that are credentials: of a token format, or in a credential's place of fewer than ``many`` owners.
+def confirmed(found: DataFrame, owners: DataFrame, many: float = MANY_OWNERS) -> DataFrame:
+    """Values that are credentials: of a token format, or in a credential's place of few owners.
 
-    ``found`` has (k, value, kind), ``owners`` (k, owner).
+    ``found`` has (k, value, kind), ``owners`` (k, owner). Few is less than the share ``many`` of all
+    owners, or than ``FEW_OWNERS``.
     """
     named = found.filter("value <> ''").join(owners, "k").select("value", "kind", "owner")
     # Counted in two steps, so that a placeholder of a third of all files meets itself early.
     once = named.groupBy("value", "owner").agg(F.max(F.col("kind") == "format").alias("shaped"))
     by = once.groupBy("value").agg(F.count("*").alias("n_owners"), F.max("shaped").alias("shaped"))
-    return by.filter(F.col("shaped") | (F.col("n_owners") < many)).select("value", "n_owners", "shaped")
+    most = max(FEW_OWNERS, math.ceil(many * owners.select("owner").distinct().count()))
+    return by.filter(F.col("shaped") | (F.col("n_owners") < most)).select("value", "n_owners", "shaped")
 
 
-def _anchor(value: bytes) -> int:
-    return int.from_bytes(value[-ANCHOR:], "little", signed=True)
+def _number(raw: bytes) -> int:
+    return int.from_bytes(raw[-ANCHOR:], "little", signed=True)
 
 
-def _slots(anchors, bits: int):
-    import numpy as np
-
-    return (anchors.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+def structured(value: str) -> bool:
+    """Whether a short value has letters, digits and, besides, capitals or signs, as ordinary words and numbers don't."""
+    return bool(re.search(r"[a-z]", value) and re.search(r"[0-9]", value) and re.search(r"[^a-z0-9]", value))
 
 
 def anchored(values: DataFrame) -> DataFrame:
-    """Values of ``ANCHOR`` bytes or more with the number that their last bytes make."""
+    """(value, anchor, before, length): the numbers that the last bytes of a value and those before them make.
 
-    @F.pandas_udf("bigint")
-    def anchor(s: pd.Series) -> pd.Series:
-        return pd.Series([_anchor(v.encode()) for v in s], dtype="int64")
+    ``before`` is null for values under two anchors. ``length`` is that of the anchor in bytes. Values under
+    ``ANCHOR`` bytes are looked for only if they are structured: any other would be found in texts that mean
+    something else.
+    """
+    shape = "anchor bigint, before bigint, length int"
+
+    @F.pandas_udf(shape)
+    def anchor(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in s:
+            raw = v.encode()
+            if len(raw) >= ANCHOR:
+                rows.append((_number(raw), _number(raw[:-ANCHOR]) if len(raw) >= 2 * ANCHOR else None, ANCHOR))
+            else:
+                rows.append((_number(raw), None, len(raw) if len(raw) in SHORT and structured(v) else None))
+        return pd.DataFrame(rows, columns=["anchor", "before", "length"]).astype({"before": "Int64", "length": "Int32"})
 
-    return values.filter(F.octet_length("value") >= ANCHOR).select("value", anchor("value").alias("anchor"))
+    return values.select("value", anchor("value").alias("a")).select("value", "a.*").filter("length IS NOT NULL")
 
 
-def anchor_filter(anchors: DataFrame):
-    """Bit table of all anchors, of a size that follows their number up to 2^27 bits (16 MB).
+def _slots(anchors, bits: int):
+    import numpy as np
 
-    Beyond that it lets more positions through to the join, which decides in any case.
-    """
+    return (anchors.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def anchor_filter(anchors: DataFrame, n: int):
+    """Bit table of ``n`` anchors, of a size that follows their number, 2^27 bits (16 MB) at most."""
     import numpy as np
 
-    n = anchors.count()
     bits = max(LEAST_BITS, min(MOST_BITS, (64 * max(n, 1)).bit_length()))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +346,7 @@ def anchor_filter(anchors: DataFrame):
         t[g["slot"].to_numpy()] = 1
         return pd.DataFrame({"block": [g["block"].iloc[0]], "bits": [np.packbits(t).tobytes()]})
 
-    rows = anchors.mapInPandas(blocks, "block int, slot int").distinct().groupBy("block").applyInPandas(table, "block int, bits binary").collect()
+    rows = anchors.select("anchor").mapInPandas(blocks, "block int, slot int").distinct().groupBy("block").applyInPandas(table, "block int, bits binary").collect()
     out = np.zeros((1 << bits) >> 3, dtype="u1")
     size = (1 << BLOCK_BITS) >> 3
     for r in rows:
@@ -316,34 +355,61 @@ def anchor_filter(anchors: DataFrame):
 
 
 def likely_files(files: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(k, value) of files that hold a value's last bytes somewhere."""
+    """(k, value) of files that hold a value's last bytes, and those before, at the end of a word somewhere.
+
+    Files are read once per ``MOST_ANCHORS`` values, so that the bit table never fills up.
+    """
+    n = anchors.count()
+    passes = max(1, -(-n // MOST_ANCHORS))
+    out = None
+    for i in range(passes):
+        part = anchors if passes == 1 else anchors.filter(F.pmod(F.xxhash64("anchor"), F.lit(passes)) == i)
+        found = _likely_files(files, part, n // passes)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _likely_files(files: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     import numpy as np
 
-    bits, found = anchor_filter(anchors)
+    bits, found = anchor_filter(anchors, n)
     shared = files.sparkSession.sparkContext.broadcast(found)
+    lengths = sorted(r.length for r in anchors.select("length").distinct().collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
+        # Bytes of ASCII words; a value ends where a word does.
+        word = np.zeros(256, dtype=bool)
+        word[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
         for b in batches:
             raw = [(t or "").encode() for t in b["content"]]
             ends = np.cumsum([len(r) for r in raw])
-            flat = b"".join(raw)
-            keys, hits = [], []
+            # One more number before each text than it has, so that a first one has something before it.
+            flat = b"\0" * ANCHOR + b"".join(raw)
+            inside = word[np.frombuffer(flat, "u1")]
+            stop = np.append(~(inside[:-1] & inside[1:]), True)
+            starts = np.cumsum([0, *(len(r) for r in raw)])
+            stop[starts[1:] + ANCHOR - 1] = True
+            out = []
             for o in range(ANCHOR):
-                n = (len(flat) - o) // ANCHOR
-                if n <= 0:
-                    continue
-                a = np.frombuffer(flat, "<i8", n, o)
-                s = _slots(a, bits)
-                yes = np.nonzero((known[s >> np.uint64(3)] >> (np.uint64(7) - (s & np.uint64(7))).astype("u1")) & 1)[0]
-                keys.append(np.searchsorted(ends, yes * ANCHOR + o, "right"))
-                hits.append(a[yes])
-            if keys:
-                out = pd.DataFrame({"k": b["k"].to_numpy()[np.concatenate(keys)], "anchor": np.concatenate(hits)})
-                yield out.drop_duplicates()
-
-    at = files.select("k", "content").mapInPandas(run, "k bigint, anchor bigint")
-    return at.join(anchors, "anchor").select("k", "value").distinct()
+                m = (len(flat) - o) // ANCHOR
+                a = np.frombuffer(flat, "<i8", m, o)
+                at = np.flatnonzero(stop[o + ANCHOR - 1 :: ANCHOR][:m])
+                for size in lengths:
+                    x = a[at] if size == ANCHOR else (a[at].view("u8") >> np.uint64(8 * (ANCHOR - size))).astype("i8")
+                    s = _slots(x, bits)
+                    yes = ((known[s >> np.uint64(3)] >> (np.uint64(7) - (s & np.uint64(7))).astype("u1")) & 1).astype(bool)
+                    hit = at[yes]
+                    k = np.searchsorted(ends, np.maximum(hit * ANCHOR + o - 1, 0), "right")
+                    before = np.where(hit > 0, a[np.maximum(hit - 1, 0)], 0)
+                    out.append(pd.DataFrame({"k": b["k"].to_numpy()[np.minimum(k, len(raw) - 1)], "anchor": x[yes], "before": before, "length": size}))
+            if out:
+                yield pd.concat(out).drop_duplicates()
+
+    at = files.select("k", "content").mapInPandas(run, "k bigint, anchor bigint, before bigint, length int")
+    long = at.join(anchors.filter("before IS NOT NULL"), ["anchor", "before", "length"])
+    short = at.drop("before").join(anchors.filter("before IS NULL").drop("before"), ["anchor", "length"])
+    return long.select("k", "value").unionByName(short.select("k", "value")).distinct()
 
 
 def rescan(files: DataFrame, values: DataFrame) -> DataFrame:
@@ -377,7 +443,7 @@ def rescan(files: DataFrame, values: DataFrame) -> DataFrame:
     return todo.mapInPandas(run, "k bigint, start int, stop int, line int")
 
 
-def find(df: DataFrame, key: str = "seq", text: str = "content", owner: str = "scope_key", many: int = MANY_OWNERS) -> DataFrame:
+def find(df: DataFrame, key: str = "seq", text: str = "content", owner: str = "scope_key", many: float = MANY_OWNERS) -> DataFrame:
     """Places of credentials: rows (k, start, stop, line), positions in code points of the whole text.
 
     ``key`` must be a unique number. Null and empty texts have none. Texts of any length are scanned

@@ -66,7 +66,7 @@ MIXED_HINT = re.compile(r"\d(?:(?:[ ./-]?[A-Za-z]){0,13}[ ./-]?\d){5}")
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "ts", "json", "md", "py", "txt", "html", "yaml", "yml", "toml", "lock", "tgz", "zip"}
 LOGIN_BEFORE = re.compile(r"(?i)(?:\b(?:ssh|scp|sftp|rsync|mosh|ssh-copy-id|git clone)\b(?:[ ]+-{1,2}\S+(?:[ ]+[\w./~]+)?){0,4}[ ]+|://[^\s/\"'<>]{0,200})\Z")
 
-PHONE = [
+PHONE = [(rx, None) for rx in [
     # international
     re.compile(r"(?<![\w+])(?:\+|00[ ])\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,5}(?:[ ]?(?:ext\.?|x)[ ]?\d{1,6})?(?![\w]|[.,]\d)"),
     # three, three, four digits
@@ -78,23 +78,45 @@ PHONE = [
     re.compile(r"(?<![\w.+/:-])(?<!\d[ ])[67]\d{2}[ ]\d{2}[ ]\d{2}[ ]\d{2}(?![\w]|[.-]\d)"),
     # any seven or more digits right after a word that announces a number
     re.compile(r"(?i)\b(?:tel|tél|telefon|telephone|téléphone|teléfono|phone|mobile|mobil|handy|cell|pager|fax|rückruf)\b[.:]?[ ]{0,2}(?P<v>\(?\d(?:[ ./()-]{0,2}\d){6,14})(?![\w]|[.-]\d)"),
-]
+]]
 # Words that announce an identity number.
 ID_CUE = (
-    r"(?:identity on file|the form listed|scan shows|verified with|user pasted|le dossier mentionne|im formular stand|en el formulario constaba|angaben zur person|"
-    r"identité relevée|identidad indicada|ssn|social security(?: (?:no|number))?|social insurance|ni number|national insurance(?: (?:no|number))?|nir|numéro de sécurité sociale|"
+    r"(?:ssn|social security(?: (?:no|number))?|social insurance|ni number|national insurance(?: (?:no|number))?|nir|numéro de sécurité sociale|"
     r"dni|nie|nif|steuer-?id(?:entifikationsnummer)?|steuernummer|ausweis(?:nummer|nr)?|personalausweis|passport(?: (?:no|number))?|reisepass(?:nummer)?|passeport|pasaporte|tax id|tin)"
 )
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def right_letter(v: str) -> bool:
+    """Whether a Spanish number ends in the letter that its digits give."""
+    v = v.replace("-", "")
+    return DNI_LETTERS[int(str("XYZ".find(v[0])) + v[1:-1] if v[0] in "XYZ" else v[:-1]) % 23] == v[-1]
+
+
+def right_key(v: str) -> bool:
+    """Whether a French number of 15 digits ends in its key; without the key it can't be told."""
+    v = v.replace(" ", "").replace("2A", "19").replace("2B", "18")
+    return len(v) == 15 and v.isdigit() and 97 - int(v[:13]) % 97 == int(v[13:])
+
+
+def right_digit(v: str) -> bool:
+    """Whether a German tax number of 11 digits ends in its check digit."""
+    d, p = [int(x) for x in v.replace(" ", "")], 10
+    for x in d[:10]:
+        p = ((x + p) % 10 or 10) * 2 % 11
+    return d[0] > 0 and (11 - p) % 10 == d[10]
+
+
+# After a word that announces one, any form counts; alone, a form that hardly anything else has, or right check digits.
 NATIONAL = [
-    re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)"),
-    re.compile(r"(?<![\w.-])[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D](?![\w])"),
-    re.compile(r"(?<![\w.-])(?<!\d[ ])[1-478][ ]\d{2}[ ]\d{2}[ ]\d[\dAB][ ]\d{3}[ ]\d{3}(?:[ ]\d{2})?(?![\w]|[ ]?\d)"),
-    re.compile(r"(?<![\w.-])(?:\d{8}-?[TRWAGMYFPDXBNJZSQVHLCKE]|[XYZ]-?\d{7}-?[TRWAGMYFPDXBNJZSQVHLCKE])(?![\w])"),
-    re.compile(r"(?<![\w.-])(?<!\d[ ])\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}(?![\w]|[ ]?\d)"),
-    re.compile(r"(?<![\w.-])[CFGHJKLMNPRTVWXYZ]\d{2}[CFGHJKLMNPRTVWXYZ]\d{5,6}(?![\w])"),
-    re.compile(rf"(?i)\b{ID_CUE}\b[.:#]{{0,2}}[ ]{{0,2}}(?:(?:no|nr|number|nummer)\b[.:]?[ ]?)?(?P<v>[A-Z]{{0,2}}\d(?:[ ./-]?[A-Z0-9]){{5,18}}?)(?=[\s.,;:!?)\]\"']|\Z)(?![ ]\d)"),
+    (re.compile(rf"(?i)\b{ID_CUE}\b[.:#]{{0,2}}[ ]{{0,2}}(?:(?:no|nr|number|nummer)\b[.:]?[ ]?)?(?P<v>[A-Z]{{0,2}}[ ]?\d(?:[ ./-]?[A-Z0-9]){{5,18}}?)(?=[\s.,;:!?)\]\"']|\Z)(?![ ]\d)"), None),
+    (re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)"), None),
+    (re.compile(r"(?<![\w.-])[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D](?![\w])"), None),
+    (re.compile(r"(?<![\w.-])(?<!\d[ ])[1-478][ ]\d{2}[ ]\d{2}[ ]\d[\dAB][ ]\d{3}[ ]\d{3}(?:[ ]\d{2})?(?![\w]|[ ]?\d)"), right_key),
+    (re.compile(rf"(?<![\w.-])(?:\d{{8}}-?[{DNI_LETTERS}]|[XYZ]-?\d{{7}}-?[{DNI_LETTERS}])(?![\w])"), right_letter),
+    (re.compile(r"(?<![\w.-])(?<!\d[ ])\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}(?![\w]|[ ]?\d)"), right_digit),
 ]
-ID_HINT = re.compile(rf"(?i)\d{{3}}[- ]\d{{2}}[- ]\d{{4}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-D]\b|\d \d\d \d\d \d|\d\d \d{{3}} \d{{3}}|\b[A-Z]?-?\d{{7,8}}-?[A-Z]?\b|\b[A-Z]\d\d[A-Z]\d|{ID_CUE}")
+ID_HINT = re.compile(rf"(?i)\d{{3}}-\d{{2}}-\d{{4}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-D]\b|\d \d\d \d\d \d|\d\d \d{{3}} \d{{3}}|\b[XYZ]?-?\d{{7,8}}-?[A-Z]\b|{ID_CUE}")
 
 _cap = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*"
 # Words for streets, as the address patterns have them; the English and German ones in this letter case only.
@@ -293,9 +315,11 @@ def _numbers(t: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     for kind, rules, hint in (("national_id", NATIONAL, ID_HINT), ("phone", PHONE, None)):
         if hint is not None and not hint.search(t):
             continue
-        for rx in rules:
+        for rx, right in rules:
             for m in rx.finditer(t):
                 s, e = m.span("v") if "v" in rx.groupindex else m.span()
+                if right is not None and not right(t[s:e]):
+                    continue
                 if not _free(taken, s, e) or not _free(out, s, e):
                     continue
                 digits = sum(c.isdigit() for c in t[s:e])
@@ -382,10 +406,11 @@ def _whole(text: str, end: int) -> int:
 
 
 def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
-    """Text with each span replaced by its type's placeholder; overlapping spans take the first's."""
+    """Text with each span replaced by its type's placeholder; overlapping spans become one, of the first's type."""
     out, at = [], 0
     for s, e, kind in found:
         if s < at:
+            at = max(at, e)
             continue
         out += [text[at:s], f"[{kind.upper()}]"]
         at = e

@@ -121,7 +121,7 @@ def test_private_key_without_end_counts_once(spark):
 SAMPLES = [
     ['const signingKey = "Uy8rac5n1"', 'pw = "Uy8rac5n1"', '"pw": "Uy8rac5n1"'], ["pw: Uy8rac5n1", "AccountKey=Uy8rac5n1", "masterKey: Uy8rac5n1"], ["x: {appKey: Uy8rac5n1}"],
     ["; stripeKey Uy8rac5n1"], ["encryptionKey: >-\n  Uy8rac5n1"], ["name: privateKey\nvalue: Uy8rac5n1"], ['key: "pw", value: "Uy8rac5n1"'], ["<pw>Uy8rac5n1</pw>"], ['("appKey", "Uy8rac5n1")'],
-    ['cfg["appKey"] = "Uy8rac5n1"'], ['process.env.PW || "Uy8rac5n1"'], ['auth=("svc", "Uy8rac5n1")'], ['sdk.init("Uy8rac5n1")', 'api.connect("Uy8rac5n1")'], ["IDENTIFIED BY 'Uy8rac5n1'", "PASSWORD 'Uy8rac5n1'"],
+    ['cfg["appKey"] = "Uy8rac5n1"'], ['process.env.PW || "Uy8rac5n1"'], ['cache_key = "Uy8rac5n1z77"', "vendorKey: Uy8rac5n1z77"], ['auth=("svc", "Uy8rac5n1")'], ['sdk.init("Uy8rac5n1")', 'api.connect("Uy8rac5n1")'], ["IDENTIFIED BY 'Uy8rac5n1'", "PASSWORD 'Uy8rac5n1'"],
     ["redis://svc:Uy8rac5n1@h.example"], ["/cb?code=Uy8rac5n1", "/cb?x=1&signature=Uy8rac5n1", "/cb?key=Uy8rac5n1", "/cb?sig=Uy8rac5n1"], ["Basic\tUy8rac5n1x"], ["curl -u svc:Uy8rac5n1 h"],
     ["redis-cli -h h -a Uy8rac5n1", "psql -p Uy8rac5n1", "mongo -u svc -p Uy8rac5n1", "mysql -p Uy8rac5n1"], ["x --signingkey Uy8rac5n1"], ["echo\tUy8rac5n1 | docker --x-stdin"], ["machine h login u password Uy8rac5n1"],
     ["cat <<EOT\nUy8rac5n1\nEOT"], ["The appKey is `Uy8rac5n1`"], ["the pw **Uy8rac5n1**"], ["login: svc / Uy8rac5n1 (pw)"],
@@ -154,3 +154,45 @@ def test_long_texts_stay_quick():
         start = time.process_time()
         C.candidates(piece * (50_000 // len(piece)))
         assert time.process_time() - start < 20, piece
+
+
+def test_tokens_are_told_by_structure():
+    found = lambda t: [v for _, _, v, _ in C.candidates(t)]
+    assert "zzq_m9lgze2ynn52gwz2f42qy19igyv352" in found("see zzq_m9lgze2ynn52gwz2f42qy19igyv352 in the log")
+    for plain in ("rk_0123456789abcdef01234567", "sha256-aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=", "pk_live_m9lgze2ynn52gwz2f42qy19igyv352", "very_long_function_nameofnoparticularmeaning", "sort_key = created_at_desc"):
+        assert not found(plain)
+
+
+def test_values_with_at_signs_end_before_the_host():
+    assert [v for _, _, v, _ in C.candidates("redis://svc:Uy8r@c5n1@db.internal:6379/0 mail a@b.org")] == ["Uy8r@c5n1"]
+
+
+def _found(spark, rows):
+    df = spark.createDataFrame([(i, o, t) for i, (o, t) in enumerate(rows)], "seq bigint, scope_key string, content string")
+    return sorted((r.k, r.line) for r in C.find(df).select("k", "line").distinct().collect())
+
+
+def test_confirmed_values_are_found_anywhere(spark):
+    rows = [("a", 'password = "x7!Q2zu"'), ("b", "then\nit said x7!Q2zu again"), ("c", 'password = "lower12"'), ("d", "lower12 is a word here"), ("e", "ax7!Q2zu")]
+    assert _found(spark, rows) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_common_endings_dont_meet(spark):
+    ends = [f"Value{i:04d}x7Qz-common-ending-of-all" for i in range(60)]
+    rows = [("a", f'secret = "{v}"') for v in ends] + [("b", f"log {v}") for v in ends] + [("c", "log other-common-ending-of-all")]
+    assert _found(spark, rows) == [(i, 1) for i in range(120)]
+
+
+def test_shared_values_are_placeholders_by_their_share_of_owners(spark):
+    shared, own = "hunterZ2forall", "Uy8rac5n1zz"
+    few = [(f"o{i}", f'password = "{shared}"') for i in range(C.FEW_OWNERS - 1)]
+    assert len(_found(spark, few)) == C.FEW_OWNERS - 1
+    many = [(f"o{i}", f'password = "{shared}"') for i in range(12)] + [("x", f'password = "{own}"')]
+    assert _found(spark, many) == [(12, 1)]
+
+
+def test_several_passes_find_the_same(spark, monkeypatch):
+    rows = [("a", f'secret = "Uy8rac5n{i:03d}"') for i in range(30)] + [("b", f"log Uy8rac5n{i:03d}") for i in range(30)]
+    want = _found(spark, rows)
+    monkeypatch.setattr(C, "MOST_ANCHORS", 8)
+    assert _found(spark, rows) == want and len(want) == 60
