@@ -35,14 +35,42 @@ SHOWS_NOTHING = [
     (0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164),
     (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF),
 ]
-# Tokens: a base with marks, a run of ASCII that no mark follows, or any other code point.
-MARKS = r"[\p{Mn}\p{Me}&&[^͏឴឵᠋-᠏︀-️\x{e0100}-\x{e01ef}]]"
-TOKEN = rf"(?s)[^\p{{Mn}}\p{{Me}}]{MARKS}+|[\x00-\x7f]+(?!{MARKS})|."
 # Control characters show nothing, but for tab and line feed; a carriage return before a line feed
 # belongs to the line end.
 ASCII_NOTHING = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
+# Code points that can have a canonical decomposition or a look-alike.
+PLANES = [range(0x80, 0x3400), range(0xA000, 0xD800), range(0xF900, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000)]
+
+
+@cache
+def _tokens() -> tuple[str, str]:
+    """Pattern of a base with marks, and of any token: that, a run of ASCII that no mark follows, or a code point.
+
+    Marks are combining ones that show, and all others that compose with what is before them. Between a base
+    and its marks may stand what shows nothing. Letters that make one Hangul syllable are a token too.
+    """
+    hidden, marks = set(), set()
+    for cp in (x for r in PLANES for x in r):
+        ch = chr(cp)
+        if shows_nothing(ch):
+            hidden.add(cp)
+        d = unicodedata.normalize("NFD", ch)
+        if not 0xAC00 <= cp <= 0xD7A3:
+            marks.update(ord(c) for c in d[1:] if unicodedata.category(c) == "Mc")
+
+    def one(cps: set[int]) -> str:
+        firsts, lasts = sorted(x for x in cps if x - 1 not in cps), sorted(x for x in cps if x + 1 not in cps)
+        return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(firsts, lasts))
+
+    nothing = f"[{one(hidden)}]"
+    mark = rf"[\p{{Mn}}\p{{Me}}{one(marks)}&&[^{one(hidden)}]]"
+    base = rf"[^\p{{Mn}}\p{{Me}}{one(marks | hidden)}]"
+    whole = rf"(?:{base}(?:{nothing}*{mark})+|[\x{{1100}}-\x{{1112}}][\x{{1161}}-\x{{1175}}][\x{{11a8}}-\x{{11c2}}]?)"
+    return rf"(?s){whole}", rf"(?s){whole}|[\x00-\x7f]+(?!{nothing}*{mark})|."
+
+
 @cache
 def _letters() -> dict[str, str]:
     return {c: latin for latin, all_ in SAME_SHAPE.items() for c in all_} | SAME_MARK
@@ -72,8 +100,7 @@ def apart(ch: str) -> str:
 def mapping() -> list[tuple[str, str, str, int]]:
     """(code point, decomposed form, composed form, combining class) of all that change or are marks."""
     out = []
-    # Ideographs and private planes change nothing here.
-    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xD800), *range(0xF900, 0x20000), *range(0xE0000, 0xE1000)]:
+    for cp in (x for r in PLANES for x in r):
         ch = chr(cp)
         plain = not unicodedata.decomposition(ch) and unicodedata.category(ch) in ("Lo", "Ll", "Lu", "So", "Sm", "Cn", "Nd", "Po")
         if plain and not 0xAC00 <= cp <= 0xD7A3 and ch not in _letters() and not shows_nothing(ch):
@@ -107,8 +134,8 @@ def _clusters(spark: SparkSession, tokens: DataFrame) -> DataFrame:
         "token", F.struct(F.coalesce("class", F.lit(0)).alias("class"), "at", "sub", "cp").alias("p")
     )
     d = cps.groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_set("p")), lambda p: p["cp"]), "").alias("d"))
-    # Compose the base with as many of its marks as have a composed form: two, or one.
-    for n in (3, 2):
+    # Compose the base with as many of its marks as have a composed form: three at most.
+    for n in (4, 3, 2):
         d = _compose(d, whole, n)
     return d.select("token", F.col("d").alias("mapped"))
 
@@ -128,13 +155,14 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical") -> Dat
     Other columns are dropped, whatever their names.
     """
     spark = df.sparkSession
+    whole_pattern, token_pattern = _tokens()
     src = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).withColumn("__h", F.md5("__t"))
     plain = F.col("__t").isNull() | ~F.col("__t").rlike(r"[^\x00-\x7f]")
     easy = src.filter(plain).select("__k", "__h", F.regexp_replace("__t", ASCII_NOTHING, "").alias(out))
-    hard = src.filter(~plain).select("__k", "__h", F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0)).alias("__x"))
+    hard = src.filter(~plain).select("__k", "__h", F.regexp_extract_all("__t", F.lit(token_pattern), F.lit(0)).alias("__x"))
     table = F.broadcast(spark.createDataFrame(mapping(), "cp string, parts string, one string, class int").select("cp", "one"))
-    with_marks = F.rlike(F.col("token"), F.lit(rf"{MARKS}"))
-    found = src.filter(F.col("__t").rlike(MARKS)).select(F.explode(F.regexp_extract_all("__t", F.lit(rf"(?s)[^\p{{Mn}}\p{{Me}}]{MARKS}+"), F.lit(0))).alias("token"))
+    with_marks = F.rlike(F.col("token"), F.lit(rf"\A{whole_pattern}\z"))
+    found = src.filter(~plain).select(F.explode(F.regexp_extract_all("__t", F.lit(whole_pattern), F.lit(0))).alias("token"))
     clusters = _clusters(spark, found.distinct())
     tokens = hard.select("__k", "__h", F.posexplode_outer("__x").alias("pos", "token"))
     tokens = tokens.join(table, tokens["token"] == table["cp"], "left").select("__k", "__h", "pos", "token", "one")
@@ -149,16 +177,39 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical") -> Dat
     return easy.distinct().unionByName(built).select(F.col("__k").alias(key), F.col("__h").alias("text_hash"), out)
 
 
+def _forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text hash, form hash) of the texts whose form another text has too."""
+    c = canonical(df, key, text).filter("canonical IS NOT NULL")
+    c = checkpointed(c.select(F.col(key).alias("key"), F.unhex("text_hash").alias("text_hash"), F.unhex(F.md5("canonical")).alias("form_hash")))
+    several = c.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi").select("form_hash")
+    return c.join(several, "form_hash", "left_semi")
+
+
+def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, class, n_texts): keys whose texts print like others, with the least key of their class.
+
+    A class is all keys of one consistent form, if it has two different texts at least. Nothing grows with
+    the square of a class.
+    """
+    c = _forms(df, key, text)
+    once = c.groupBy("form_hash", "text_hash").agg(F.min("key").alias("key"))
+    heads = once.groupBy("form_hash").agg(F.min("key").alias("class"), F.count("*").alias("n_texts"))
+    return c.join(heads, "form_hash").select("key", "class", "n_texts")
+
+
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (key_a < key_b) of keys whose texts differ but have the same consistent form.
 
-    Keys must name one text each; null texts pair with nothing. Only hashes are shuffled, and only
-    forms that more than one distinct text has.
+    Keys must name one text each; null texts pair with nothing. Different texts of a form are paired
+    first, and only then listed by their keys. Only hashes are shuffled, and only forms that more than one
+    distinct text has.
     """
-    c = canonical(df, key, text).filter("canonical IS NOT NULL")
-    c = checkpointed(c.select(F.col(key).alias("key"), F.unhex("text_hash").alias("text_hash"), F.unhex(F.md5("canonical")).alias("form_hash")))
-    several = c.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi").select("form_hash")
-    c = c.join(several, "form_hash", "left_semi")
-    a = c.select("form_hash", F.col("key").alias("key_a"), F.col("text_hash").alias("ta"))
-    b = c.select("form_hash", F.col("key").alias("key_b"), F.col("text_hash").alias("tb"))
-    return a.join(b, "form_hash").filter("key_a < key_b AND ta <> tb").select("key_a", "key_b").distinct()
+    c = _forms(df, key, text)
+    texts = c.select("form_hash", "text_hash").distinct()
+    a = texts.select("form_hash", F.col("text_hash").alias("ta"))
+    b = texts.select("form_hash", F.col("text_hash").alias("tb"))
+    unlike = a.join(b, "form_hash").filter("ta < tb")
+    one = c.select("form_hash", F.col("text_hash").alias("ta"), F.col("key").alias("ka"))
+    two = c.select("form_hash", F.col("text_hash").alias("tb"), F.col("key").alias("kb"))
+    pairs = unlike.join(one, ["form_hash", "ta"]).join(two, ["form_hash", "tb"])
+    return pairs.filter("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

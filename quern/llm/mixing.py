@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import with_token_counts
@@ -97,27 +97,24 @@ def _thresholds(docs: DataFrame, rest: dict[str, float]) -> dict[str, int]:
         shift = PLACE_BITS - LEVEL_BITS * (level + 1)
         if not left:
             break
-        at = spark.createDataFrame([(s, low[s] >> (shift + LEVEL_BITS)) for s in left], "source string, high bigint")
+        at = spark.createDataFrame([(s, low[s] >> (shift + LEVEL_BITS), float(left[s])) for s in left], "source string, high bigint, open double")
         part = docs.withColumn("high", F.shiftright("place", shift + LEVEL_BITS)).join(F.broadcast(at), ["source", "high"])
-        sums = part.groupBy("source", F.shiftright("place", shift).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
-        by: dict[str, list] = {}
-        for r in sums:
-            by.setdefault(r.source, []).append((r.b, r.n, r.k))
+        sums = part.groupBy("source", "open", F.shiftright("place", shift).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+        upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        # At most 1,024 sums a source; of these, only the one in which the budget ends comes to the driver.
+        ends = sums.withColumn("upto", F.sum("n").over(upto)).filter((F.col("upto") > F.col("open")) & (F.col("upto") - F.col("n") <= F.col("open")))
+        found = {r.source: r for r in ends.collect()}
         for s in list(left):
             end = low[s] + (1 << (shift + LEVEL_BITS))
-            for b, n, k in sorted(by.get(s, [])):
-                if n <= left[s]:
-                    left[s] -= n
-                    continue
-                if k == 1 or shift == 0:
+            if (r := found.get(s)) is None:
+                del left[s]
+            else:
+                left[s] -= r.upto - r.n
+                end = r.b << shift
+                if r.k == 1 or shift == 0:
                     # One row is the boundary: take it if that comes nearer to the target.
-                    end = (b + 1) << shift if n - left[s] < left[s] else b << shift
+                    end = (r.b + 1) << shift if r.n - left[s] < left[s] else end
                     del left[s]
-                else:
-                    end = b << shift
-                break
-            else:
-                del left[s]
             low[s] = end
     return low
 

@@ -11,7 +11,9 @@ Only codes are shuffled to the indexes. Exact copies of a vector are one class f
 of copies never meets in a bucket; its members are listed again at the end.
 
 Rows to which the index gives fewer than k neighbours can be ranked exactly instead: blocks of
-them are multiplied with blocks of all rows of their space, and only the best of each are kept.
+them are multiplied with blocks of all rows of their space, and only the best of each are kept. So
+are rows of a crowd, a group of near copies that share index entries far beyond chance: the index
+would give all pairs of them, while each needs k.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ ROTATION_STEPS = 8
 CLASS_BYTES = 12  # of the hash that names a vector's class
 BUCKET_ROWS = 120_000  # index entries a task holds at once
 PAIR_BLOCK = 500_000  # candidate pairs a task holds at once
+# An index entry is crowded if it has so many rows, and so many times what chance gives it; a row is if such a share of its entries are.
+CROWD_ROWS, CROWD, CROWDED = 2_000, 16, 0.25
 # Exact ranking: rows of a block at most, bytes of its vectors, and blocks of all rows that a task takes.
 QUERY_BLOCK, QUERY_BYTES = 2048, 1 << 19
 ROW_BLOCK, ROW_BYTES = 8192, 1 << 21
@@ -57,7 +61,7 @@ def flip_rate(similarity: float) -> float:
 
 def index_shape(rows: int, min_similarity: float, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a substring, near log2(rows) in steps of four, and how many substrings reach the recall."""
-    bits = max(8, min(28, 4 * round((math.log2(max(2, rows)) - 1) / 4)))
+    bits = max(8, min(32, 4 * round((math.log2(max(2, rows)) - 1) / 4)))
     p = flip_rate(min_similarity)
     near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-near))) if near < 1 else 1
@@ -164,7 +168,11 @@ def _bits(column: pa.Array, bits: int) -> np.ndarray:
 
 
 def bucket_pairs(bits: int, sub: int, bound: int):
-    """Function of one partition's index entries giving candidate pairs (class_a < class_b), each once."""
+    """Function of one partition's index entries giving candidate pairs (class_a < class_b), each once.
+
+    Rows are (entry, cell, dense, class, code). Dense rows meet others, but not each other; in cells but the
+    first, rows that aren't dense have met each other elsewhere.
+    """
     half, n_sub = sub // 2, bits // sub
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +180,20 @@ def bucket_pairs(bits: int, sub: int, bound: int):
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        t = t.take(pa.compute.sort_indices(t, sort_keys=[("entry", "ascending")])).combine_chunks()
-        entry = t.column("entry").to_numpy()
+        t = t.take(pa.compute.sort_indices(t, sort_keys=[("entry", "ascending"), ("cell", "ascending")])).combine_chunks()
+        entry, cell = t.column("entry").to_numpy(), t.column("cell").to_numpy()
         raw = np.frombuffer(b"".join(t.column("class").to_pylist()), dtype=f"V{CLASS_BYTES}")
         code = _bits(t.column("code").combine_chunks(), bits)
         words = np.packbits(np.pad(code, ((0, 0), (0, -bits % 64))), axis=1).view("u8")
         where = (entry >> 16) & 0xFFFF
         other = code.reshape(len(code), bits // half, half)[np.arange(len(code)), where ^ 1].astype("i8") @ (1 << np.arange(half, dtype="i8"))
         # Rows of one bucket, sorted by the other half, so that a probe is a range.
-        new = np.r_[True, entry[1:] != entry[:-1]]
+        new = np.r_[True, (entry[1:] != entry[:-1]) | (cell[1:] != cell[:-1])]
         bucket = np.cumsum(new) - 1
         key = (bucket.astype("i8") << half) + other
         order = np.argsort(key, kind="stable")
-        key, sub_at, other, is_second = key[order], (where >> 1)[order], other[order], (where & 1)[order]
-        raw, words, bucket = raw[order], words[order], bucket[order]
+        key, sub_at, is_second, cell = key[order], (where >> 1)[order], (where & 1)[order], cell[order]
+        raw, words, dense = raw[order], words[order], t.column("dense").to_numpy(zero_copy_only=False).astype(bool)[order]
         subs = _substrings(code[order], sub, n_sub)
 
         def flush(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
@@ -202,13 +210,7 @@ def bucket_pairs(bits: int, sub: int, bound: int):
                 [pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["class_a", "class_b"]
             )
 
-        idx = np.arange(len(key))
-        for flip in [-1, *range(half)]:
-            # Equal halves on both sides are probed in the first half only; a flip is probed from its lower side.
-            rows = idx[is_second == 0] if flip < 0 else idx[(other >> flip) & 1 == 0]
-            probe = key[rows] + (0 if flip < 0 else 1 << flip)
-            lo = rows + 1 if flip < 0 else np.searchsorted(key, probe, "left")
-            hi = np.searchsorted(key, probe, "right")
+        def meet(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, to: np.ndarray) -> Iterator[pa.RecordBatch]:
             n = np.maximum(hi - lo, 0)
             rows, lo, n = rows[n > 0], lo[n > 0], n[n > 0]
             # Blocks of bounded memory; a single row's range is cut as well if it's longer.
@@ -217,15 +219,46 @@ def bucket_pairs(bits: int, sub: int, bound: int):
                 r, s, c = rows[:upto], lo[:upto], np.minimum(n[:upto], PAIR_BLOCK)
                 a = np.repeat(r, c)
                 b = np.repeat(s - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
-                if (out := flush(a, b)) is not None:
+                if (out := flush(a, to[b])) is not None:
                     yield out
                 rest = n[:upto] > c
                 rows = np.r_[rows[:upto][rest], rows[upto:]]
                 lo, n = np.r_[(s + c)[rest], lo[upto:]], np.r_[(n[:upto] - c)[rest], n[upto:]]
 
+        plain, crowd = np.flatnonzero(~dense), np.flatnonzero(dense)
+        once = np.flatnonzero(~dense & (cell == 0))
+        for flip in [-1, *range(half)]:
+            # Equal halves on both sides are probed in the first half only; a flip is probed from its lower side.
+            rows = once[is_second[once] == 0] if flip < 0 else once[(key[once] >> flip) & 1 == 0]
+            probe = key[rows] + (0 if flip < 0 else 1 << flip)
+            to = key[once]
+            lo = np.searchsorted(once, rows) + 1 if flip < 0 else np.searchsorted(to, probe, "left")
+            yield from meet(rows, lo, np.searchsorted(to, probe, "right"), once)
+            if len(crowd):
+                rows = plain[is_second[plain] == 0] if flip < 0 else plain
+                probe = key[rows] ^ (0 if flip < 0 else 1 << flip)
+                to = key[crowd]
+                yield from meet(rows, np.searchsorted(to, probe, "left"), np.searchsorted(to, probe, "right"), crowd)
+
     return run
 
 
+def _crowded(entries: DataFrame, classes: DataFrame, half: int, places: int) -> tuple[DataFrame, DataFrame] | None:
+    """(entry, cells) of crowded index entries, and the (class) of dense rows; None if there are none.
+
+    Crowded entries are few, as each has many times its share of the rows of its space: under 2^half / ``CROWD``
+    for each place of a half.
+    """
+    sizes = F.broadcast(classes.groupBy(F.col("space").cast("bigint").alias("s")).agg(F.count("*").alias("all")))
+    n = entries.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD_ROWS).withColumn("s", F.shiftright("entry", 32))
+    hot = n.join(sizes, "s").filter(F.col("n") > F.col("all") * min(CROWD / 2**half, 0.25))
+    hot = checkpointed(hot.select("entry", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("cells")))
+    if hot.isEmpty():
+        return None
+    times = entries.join(F.broadcast(hot), "entry").groupBy("class").agg(F.count("*").alias("n"))
+    return hot, checkpointed(times.filter(F.col("n") >= CROWDED * places).select("class"))
+
+
 def _substrings(code: np.ndarray, sub: int, n_sub: int) -> np.ndarray:
     out = np.zeros((len(code), n_sub), dtype="u4")
     for i in range(sub):
@@ -263,7 +296,17 @@ def nearest(
     classes = coded.groupBy("class").agg(F.min(F.struct("space", "code")).alias("v")).select("class", "v.*")
     entries = classes.select("space", "class", "code").mapInArrow(index_entries(bits, sub), "entry bigint, class binary, code binary")
     parts = partitions_for(total * n_sub * 2, BUCKET_ROWS, 1)
-    pairs = entries.repartition(parts, "entry").mapInArrow(
+    # Rows of a crowd (near copies, all alike) are ranked exactly, as the index would give all pairs of them.
+    crowd = _crowded(entries, classes, sub // 2, 2 * n_sub)
+    entries = entries.withColumn("cell", F.lit(0)).withColumn("dense", F.lit(False))
+    if crowd is not None:
+        hot, dense = crowd
+        entries = entries.drop("cell", "dense").join(F.broadcast(hot), "entry", "left").join(dense.withColumn("is", F.lit(True)), "class", "left")
+        one = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
+        cells = F.when(F.col("cells").isNull(), F.array(F.lit(0))).when(F.col("is"), F.array(one)).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
+        entries = entries.select("entry", F.explode(cells).alias("cell"), F.coalesce("is", F.lit(False)).alias("dense"), "class", "code")
+    entries = entries.select("entry", "cell", "dense", "class", "code")
+    pairs = entries.repartition(parts, "entry", "cell").mapInArrow(
         bucket_pairs(bits, sub, hamming_bound(bits, min_similarity)), "class_a binary, class_b binary"
     )
     units = coded.groupBy("class").agg(F.min("unit").alias("unit"))
@@ -271,13 +314,18 @@ def nearest(
     both = scored.unionByName(scored.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "similarity"))
     near = Window.partitionBy("class_a").orderBy(F.desc("similarity"), "class_b")
     near = both.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k).drop("n")
+    rows = None
+    if crowd is not None or whole:
+        rows = checkpointed(coded.groupBy("class").agg(F.min(F.struct("space", "unit")).alias("v")).select("class", "v.*"))
+    if crowd is not None:
+        exact = _exact(dense, rows, k).filter(F.col("similarity") >= min_similarity)
+        near = near.join(dense.withColumnRenamed("class", "class_a"), "class_a", "left_anti").unionByName(exact)
     if whole:
         near = checkpointed(near)
         have = near.groupBy(F.col("class_a").alias("class")).agg(F.count("*").alias("found"))
         sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))
         few = checkpointed(sizes.join(have, "class", "left").filter(F.col("copies") + F.coalesce("found", F.lit(0)) < k).select("class"))
-        rows = coded.groupBy("class").agg(F.min(F.struct("space", "unit")).alias("v")).select("class", "v.*")
-        exact = _exact(few, checkpointed(rows), k)
+        exact = _exact(few, rows, k)
         near = near.join(few.withColumnRenamed("class", "class_a"), "class_a", "left_anti").unionByName(exact)
     # Members of a class are alike: each lists the first ids of its own class and of the near ones.
     first = Window.partitionBy("class").orderBy("id")

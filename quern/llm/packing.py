@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with items.
 
 First-fit decreasing inside randomised groups of items. Only (id, size) pairs are shuffled, by
-a hash of the id, so a group is a fair sample of all sizes and no source or key can make one
-group large. Inside a group a tournament tree over the free space of the open containers finds
+a hash of the id and a row number, so a group is a fair sample of all sizes and no source or key can
+make one group large. Inside a group a tournament tree over the free space of the open containers finds
 the first one an item fits into in logarithmic time.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import with_token_counts
-from quern.session import partitions_for
+from quern.session import checkpointed, partitions_for
 
 CAPACITY = 8192
 GROUP_ROWS = 20_000
@@ -71,12 +71,11 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    groups = partitions_for(df.count() if rows is None else rows, group_rows)
     s = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
-    items = df.select(
-        F.col(key).cast("string").alias("key"), s.alias("size"),
-        F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("pack")), F.lit(groups)).alias("grp"),
-    )
+    # Written once, with a number for each row: rows that share a key, or have none, are spread as well.
+    items = checkpointed(df.select(F.col(key).cast("string").alias("key"), s.alias("size"), F.monotonically_increasing_id().alias("n")))
+    groups = partitions_for(items.count() if rows is None else rows, group_rows)
+    items = items.select("key", "size", F.pmod(F.xxhash64("key", "n", F.lit("pack")), F.lit(groups)).cast("int").alias("grp")).repartition(groups, "grp")
     # Keys travel as text, so that a null among them doesn't turn numbers into floats.
     kind = df.schema[key].dataType.simpleString()
 
@@ -108,4 +107,4 @@ def pack(
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents by the token count of their whole texts."""
     sized = with_token_counts(docs.select("doc_id", "text"), "text").drop("text")
-    return pack(sized, capacity=capacity, rows=docs.count())
+    return pack(sized, capacity=capacity)

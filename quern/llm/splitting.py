@@ -3,7 +3,7 @@
 Each text is cut by one bounded-quantifier regular expression whose alternatives are ordered
 by the strength of the boundary they end on: end of text, blank line, line, sentence, white
 space, and at last any character. The matches tile the text exactly, so joining them gives it
-back. The overlap is looked up by offset in the text before each match. Everything is built-in
+back. The overlap is looked up in the matches before, and time grows in proportion to the text. Everything is built-in
 SQL on one row at a time: no shuffle, and no Python.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 LIMITS = {".py": 2000, ".md": 1500, ".markdown": 1500}
 OTHER_LIMIT = 800
 OVERLAP = 100
+STRIDE = 64  # parts whose lengths are added at once
 
 # White space as Unicode has it.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,7 +60,9 @@ def split_oversized(
     with null piece; text of white space only gives one row with an empty piece. Repeated rows
     are cut alike, each on its own. All other columns pass through.
     """
-    made = ["piece", "piece_index", "piece_start", "piece_overlap", "is_cut", "is_forced", "__text", "__limit", "__parts", "__part", "__starts"]
+    if not 0 <= overlap <= min(OTHER_LIMIT, *LIMITS.values()) // 3:
+        raise ValueError("the overlap must be at most a third of every limit")
+    made = ["piece", "piece_index", "piece_start", "piece_overlap", "is_cut", "is_forced", "__text", "__limit", "__parts", "__lengths", "__sums", "__pieces", "__piece"]
     kept = [c for c in df.columns if c not in made]
     t, limit = F.col("__text"), F.col("__limit")
     df = df.select(
@@ -72,22 +75,26 @@ def split_oversized(
         pieces = F.when(cut & (limit == n), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(pieces)
         forced = F.when(cut & (limit == n), t.rlike(rf"(?:\A|[{WHITE}])[^{WHITE}]{{{n + 1}}}")).otherwise(forced)
     df = df.select(
-        *kept, "__text", F.coalesce(cut, F.lit(False)).alias("is_cut"),
+        *kept, F.coalesce(cut, F.lit(False)).alias("is_cut"),
         F.coalesce(forced, F.lit(False)).alias("is_forced"), pieces.alias("__parts"),
     )
-    # Start of each part: running sum of the lengths before it.
-    starts = F.aggregate(
-        F.transform("__parts", lambda p: F.length(p)),
-        F.array(F.lit(0)),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+    df = df.withColumn("__lengths", F.transform("__parts", lambda p: F.length(p)))
+    # Running sums by groups of parts, as a list that grows by one part at a time would be copied each time.
+    groups = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("__parts") - 1) / STRIDE).cast("int")), lambda g: F.aggregate(F.slice("__lengths", g * STRIDE + 1, STRIDE), F.lit(0), lambda x, n: x + n)
     )
-    df = df.withColumn("__starts", starts)
+    sums = F.aggregate(groups, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    df = df.withColumn("__sums", sums)
+
+    def piece(part: Column, i: Column) -> Column:
+        g = F.floor(i / STRIDE).cast("int")
+        start = F.element_at("__sums", g + 1) + F.aggregate(F.slice("__lengths", g * STRIDE + 1, i % STRIDE), F.lit(0), lambda x, n: x + n)
+        # After a part shorter than the overlap comes one that is longer, so two hold it.
+        before = F.concat(F.coalesce(F.get("__parts", i - 2), F.lit("")), F.coalesce(F.get("__parts", i - 1), F.lit("")))
+        back = F.when(F.length(before) > overlap, F.substring(before, F.length(before) - overlap + 1, F.lit(overlap))).otherwise(before)
+        return F.struct(F.coalesce(start, F.lit(0)).alias("piece_start"), F.length(back).alias("piece_overlap"), F.concat(back, part).alias("piece"))
+
+    df = df.withColumn("__pieces", F.transform("__parts", piece))
     # The outer form, as the plain one makes the optimizer cut each text once more to count its parts.
-    df = df.select(*kept, "__text", "is_cut", "is_forced", "__starts", F.posexplode_outer("__parts").alias("piece_index", "__part"))
-    start = F.coalesce(F.element_at("__starts", F.col("piece_index") + 1), F.lit(0))
-    back = F.when(F.col("piece_index") > 0, F.least(F.lit(overlap), start)).otherwise(F.lit(0))
-    return df.select(
-        *kept, "is_cut", "is_forced", "piece_index", start.alias("piece_start"), back.alias("piece_overlap"),
-        F.when(back > 0, F.concat(F.substring(F.col("__text"), start - back + 1, back), F.col("__part")))
-        .otherwise(F.col("__part")).alias("piece"),
-    )
+    df = df.select(*kept, "is_cut", "is_forced", F.posexplode_outer("__pieces").alias("piece_index", "__piece"))
+    return df.select(*kept, "is_cut", "is_forced", "piece_index", "__piece.piece_start", "__piece.piece_overlap", "__piece.piece")

@@ -50,3 +50,16 @@ def test_pairs_and_edges(spark):
 @pytest.mark.parametrize("ch", ["­", "͏", "‍", "️", "\U000e0061", "⁣"])
 def test_shows_nothing(ch):
     assert L.apart(ch) == ""
+
+
+def test_composed_whole(spark):
+    cases = ["\u1f92", "\u03b7\u0313\u0300\u0345", "e\u200b\u0301", "e\u034f\u0301", "\U0002f800", "\uac01", "\u1100\u1161\u11a8", "\u0bca", "\u0bc6\u0bbe", "\u00e9"]
+    got = forms(spark, cases)
+    assert [got[i] for i in range(len(cases))] == [L.canonical_text(t) for t in cases]
+    assert got[0] == got[1] and got[2] == got[3] == got[9] and got[5] == got[6] and got[7] == got[8]
+
+
+def test_classes(spark):
+    rows = [("a", "x é"), ("b", "x e\u0301"), ("c", "x é"), ("d", None), ("e", "y"), ("f", "y")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    assert {tuple(r) for r in L.alike_classes(df, "id", "content").collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "a", 2)}

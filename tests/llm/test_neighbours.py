@@ -89,3 +89,26 @@ def test_index_shape():
         p = N.flip_rate(0.9)
         near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
         assert bits % 2 == 0 and 1 - (1 - near) ** subs >= N.RECALL
+
+
+def test_a_crowd_of_near_copies_is_ranked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWD_ROWS", 60)
+    monkeypatch.setattr(N, "BUCKET_ROWS", 500)
+    rng = np.random.default_rng(5)
+    m = np.vstack([data(n=500), rng.normal(size=32) + rng.normal(size=(700, 32)) * 0.04])
+    sizes: list = []
+    exact = N._exact
+    monkeypatch.setattr(N, "_exact", lambda few, rows, k: sizes.append(few.count()) or exact(few, rows, k))
+    df = spark.createDataFrame([(f"{i:05d}", "e", 32, x.tolist()) for i, x in enumerate(m)], SCHEMA)
+    by: dict = {}
+    for r in N.nearest(df).collect():
+        by.setdefault(int(r.id), {})[int(r.other)] = r.similarity
+    assert sizes and 650 <= sizes[0] <= 800
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    full = 0
+    for i in range(len(m) - 700, len(m)):
+        full += sorted(by[i].values()) == pytest.approx(np.sort(s[i])[-N.K :], abs=1e-6)
+    assert full >= 690
+    assert sum(len(by.get(i, ())) for i in range(700)) >= 0.97 * 2 * len([p for p in brute(m[:700], 0.9)])
