@@ -88,7 +88,8 @@ def split_oversized(
 
     def piece(part: Column, i: Column) -> Column:
         g = F.floor(i / STRIDE).cast("int")
-        start = F.element_at("__sums", g + 1) + F.aggregate(F.slice("__lengths", g * STRIDE + 1, i % STRIDE), F.lit(0), lambda x, n: x + n)
+        # Named twice, or the optimizer would add all lengths again for each piece.
+        start = F.coalesce(F.get("__sums", g), F.element_at("__sums", -1)) + F.aggregate(F.slice("__lengths", g * STRIDE + 1, i % STRIDE), F.lit(0), lambda x, n: x + n)
         # After a part shorter than the overlap comes one that is longer, so two hold it.
         before = F.concat(F.coalesce(F.get("__parts", i - 2), F.lit("")), F.coalesce(F.get("__parts", i - 1), F.lit("")))
         back = F.when(F.length(before) > overlap, F.substring(before, F.length(before) - overlap + 1, F.lit(overlap))).otherwise(before)
