@@ -45,7 +45,7 @@ def ingest(docs: DataFrame, trust: int, kind: str = "raw_fact", scheme: str = "t
                 pieces = chunk_file(name, text)
                 if len(pieces) > S.MAX_CHUNKS:
                     raise ValueError(f"{name}: more than {S.MAX_CHUNKS} chunks")
-                cut = X.screen_pieces(pieces) if trust <= S.Trust.UNVERIFIED else {}
+                cut = X.split_markers(pieces) if trust <= S.Trust.UNVERIFIED else {}
                 for i, p in enumerate(pieces):
                     s = X.screen(p, trust)
                     if X.normalize_content(s.content):
