@@ -14,18 +14,9 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.shapes import SAME_SHAPE
 from quern.session import checkpointed
 
-# Letters whose usual shape equals that of a Latin letter, by that letter.
-SAME_SHAPE = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ",
-    "I": "ΙІӀᏆ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ",
-    "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ",
-    "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іιɩ", "j": "јϳ", "k": "κ",
-    "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝա",
-    "x": "хχ", "y": "уүγ",
-}
 # Marks other than letters that print alike.
 SAME_MARK = {"‐": "-", "‑": "-", " ": "\n", " ": "\n"}
 # Format characters that do show something.
