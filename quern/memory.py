@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quern import schema as S
 from quern.functions import text as X
 from quern.functions.vectors import Embedder, StubEmbedder, embedded
-from quern.operators import envelope, lexical, records, retrieval, vector
+from quern.operators import envelope, lexical, records, retrieval, upsert, vector
+from quern.session import checkpointed
 from quern.sources import files
 from quern.sources.store import SnapshotStore
 
@@ -86,15 +87,11 @@ class Memory:
     # --- state ---
 
     def _rows(self, version: int | None = None) -> DataFrame:
-        return records.scoped(self.store.read(version), self.scope.key())
+        return self.store.read(version, self.scope.key())
 
-    def identity_state(self, rows: DataFrame | None = None) -> str:
-        """Whether stored vectors come from this embedder: unknown, match or mismatch."""
-        name, dim, _ = self.embedder.identity()
-        found = (self._rows() if rows is None else rows).filter("embedding IS NOT NULL").select("embedder_name", "embedder_dim").distinct().limit(2).collect()
-        if not found:
-            return "unknown"
-        return "match" if all((r[0], r[1]) == (name, dim) for r in found) else "mismatch"
+    def identity_state(self, version: int | None = None) -> str:
+        """Whether stored vectors come from this embedder as configured: unknown, match or mismatch."""
+        return S.identity_state(self.store.identity(self.scope.key(), version), tuple(self.embedder.identity()))
 
     # --- writes ---
 
@@ -104,6 +101,8 @@ class Memory:
             s = X.screen(content, trust, self.redact_pii)
             if not X.normalize_content(s.content):
                 raise ValueError("nothing is left of the content")
+            if len(s.content) > S.CONTENT_CHARS:
+                raise ValueError(f"more than {S.CONTENT_CHARS} characters after sanitising")
             tier = s.trust
             md = {**meta, "redactions": len(s.redactions), "injection_flags": len(s.markers)} if s.redactions or s.markers else meta
             hashed = X.content_hash(s.content)
@@ -117,10 +116,20 @@ class Memory:
         return out
 
     def _store(self, df: DataFrame) -> None:
-        if self.identity_state() != "mismatch":
+        """Upsert rows, with vectors unless the scope holds another embedder's.
+
+        Then rows that are stored already keep the vectors they have.
+        """
+        version = self.store.version()
+        state = self.identity_state(version)
+        if state == "mismatch":
+            df = upsert.carried(df.withColumns({n: F.lit(None).cast(S.RECORD[n].dataType) for n in ("embedding", "embedder_name", "embedder_dim")}), self._rows(version))
+        else:
             name, dim, _ = self.embedder.identity()
             df = df.withColumn("embedding", embedded(F.col("content"), self.embedder)).withColumn("embedder_name", F.lit(name)).withColumn("embedder_dim", F.lit(dim))
         self.store.upsert(df)
+        if state == "unknown":
+            self.store.set_identity(self.scope.key(), tuple(self.embedder.identity()))
 
     def remember(self, content: str, kind: str = "raw_fact", trust: int | None = None, source: str = "memory://note", metadata: dict | None = None, board: str | None = None) -> str:
         """Store one text; its id."""
@@ -160,28 +169,38 @@ class Memory:
         docs = files.read_files(self.spark, path, names, self.scope.key())
         unread = docs.filter("text IS NULL").count()
         new = self._ingest(docs.filter("text IS NOT NULL"), trust, "file://") if len(names) > unread else 0
-        return {"files": len(names) - unread, "new": new, "skipped": unread, **skipped, "total": self._rows().count()}
+        refused = files.rejected(docs).count()
+        rows = self._rows()
+        stored = rows.filter(F.col("metadata")["redactions"]["value"].cast("int") > 0).filter(F.col("prov_adapter_name") == "files").count()
+        return {"files": len(names) - unread - refused, "new": new, "skipped": unread + refused, **skipped, "redacted": stored, "total": rows.count()}
 
     def forget(self, *ids: str) -> int:
         return self.store.delete(self.scope.key(), list(ids))
 
     def resolve(self, *ids: str) -> int:
         """Mark board entries as superseded; how many moved."""
-        return sum(self.store.set_status(self.scope.key(), i, "superseded") for i in dict.fromkeys(ids))
+        return self.store.set_status(self.scope.key(), list(ids), "superseded")
 
     def reindex(self) -> int:
-        """Embed every row of the scope again."""
+        """Embed every row of the scope again, and make this embedder the scope's."""
         name, dim, _ = self.embedder.identity()
-        mine = F.col("scope_key") == self.scope.key()
 
         def change(now: DataFrame) -> DataFrame:
-            new = now.filter(mine).withColumn("embedding", embedded(F.col("content"), self.embedder))
-            new = new.withColumn("embedder_name", F.lit(name)).withColumn("embedder_dim", F.lit(dim))
-            return now.filter(~mine).unionByName(new)
+            new = now.withColumn("embedding", embedded(F.col("content"), self.embedder))
+            return new.withColumn("embedder_name", F.lit(name)).withColumn("embedder_dim", F.lit(dim))
 
-        self.store.update(change)
+        self.store.update(change, scope_key=self.scope.key())
+        self.store.set_identity(self.scope.key(), tuple(self.embedder.identity()))
         return self._rows().count()
 
+    def compact(self) -> None:
+        """Merge what was written since the last time, of the whole store."""
+        self.store.compact()
+
+    def close(self) -> None:
+        """Forget the recalls of this process; the store itself needs no closing."""
+        self.ledger.rows.clear()
+
     def consolidate(self, consolidator: Callable[[list[str]], str], ids: list[str] | None = None, query: str | None = None, least_trust: int = int(S.Trust.UNVERIFIED)) -> str:
         """Store a summary of records as an observation of their lowest trust."""
         if (ids is None) == (query is None):
@@ -203,42 +222,69 @@ class Memory:
     def count(self) -> int:
         return self._rows().count()
 
-    def search(self, queries: DataFrame, k: int = 5, kind: str | None = None, where: dict | None = None, candidates: int | None = None, min_score: float | None = None, use_vector: bool = True, use_lexical: bool = True) -> DataFrame:
-        """Hits (qid, id, rank) of a batch of queries (qid, text) in one job."""
-        rows = self._rows()
-        return self._search(rows, queries, k, kind, where, candidates, min_score, use_vector, use_lexical)[0]
-
-    def _search(self, rows, queries, k, kind, where, candidates, min_score, use_vector, use_lexical):
-        pool = retrieval.pool_size(k, candidates)
-        answer = rows.filter(S.where_condition(where))
-        answer = answer if kind is None else answer.filter(F.col("kind") == kind)
+    def search(
+        self, queries: DataFrame, k: int = 5, kind: str | None = None, where: dict | None = None, candidates: int | None = None,
+        min_score: float | None = None, use_vector: bool = True, use_lexical: bool = True, include_quarantined: bool = False,
+    ) -> DataFrame:
+        """Hits (qid, id, rank) of a batch of queries (qid, text) in one job, of one snapshot."""
+        version = self.store.version()
+        rows, queries, vec = self._vectors(version, queries, k, kind, where, candidates, use_vector)
+        gate = retrieval.gate(queries, vec, rows, min_score if use_vector else None, include_quarantined)
+        lex = self._words(version, rows, queries, k, candidates, use_lexical)
+        out = retrieval.hybrid(vec, lex, rows, queries, k, candidates, None, use_vector, use_lexical, include_quarantined)
+        return out.join(gate.filter("verdict = 'abstain'").select("qid"), "qid", "left_anti")
+
+    def _vectors(self, version, queries, k, kind, where, candidates, use_vector):
+        """Answering rows, clean queries and the vector leg, written once."""
+        rows = self.store.read(version, self.scope.key(), kind).filter(S.where_condition(where))
         queries = queries.select("qid", X.clean_query(F.col("text")).alias("text"))
         qv = queries.select(F.col("qid").alias("id"), F.lit("").alias("space"), embedded(F.col("text"), self.embedder).alias("vector"))
-        rv = answer.filter("embedding IS NOT NULL").select("id", F.lit("").alias("space"), F.col("embedding").alias("vector"))
-        vec = vector.topk(qv, rv, pool if use_vector else 0)
-        lex = lexical.bm25(queries, answer.select("id", F.col("content").alias("text")), pool if use_lexical else 0, corpus=self.store.read().select("id", F.col("content").alias("text")))
-        hits = retrieval.hybrid(vec, lex, answer, queries, k, candidates, min_score, use_vector, use_lexical)
-        return hits, retrieval.gate(queries, vec, answer, min_score)
-
-    def recall(self, query: str, k: int = 5, kind: str | None = None, min_score: float | None = None, call_id: str | None = None, where: dict | None = None) -> Recall:
-        """Best records for one query, with standing rules apart."""
-        rows = self._rows()
-        mismatch = self.identity_state(rows) == "mismatch"
+        rv = rows.filter("embedding IS NOT NULL").select("id", F.lit("").alias("space"), F.col("embedding").alias("vector"))
+        pool = retrieval.pool_size(k, candidates) if use_vector else 0
+        return rows, queries, checkpointed(vector.topk(qv, rv, pool)) if pool else vector.topk(qv, rv, 0)
+
+    def _words(self, version, rows, queries, k, candidates, use_lexical):
+        pool = retrieval.pool_size(k, candidates) if use_lexical else 0
+        return lexical.bm25(queries, rows.select("id", F.col("content").alias("text")), pool, corpus=self.store.read(version).select("id", F.col("content").alias("text")))
+
+    def recall(
+        self, query: str, k: int = 5, kind: str | None = None, min_score: float | None = None, call_id: str | None = None,
+        where: dict | None = None, include_quarantined: bool = False,
+    ) -> Recall:
+        """Best records for one query, with standing rules apart.
+
+        Everything is of one snapshot. Hits are verified and reranked in the pool, before it's cut to ``k``; if the
+        gate abstains, nothing after it runs.
+        """
+        version = self.store.version()
+        vectors = self.identity_state(version) != "mismatch"
         q = self.spark.createDataFrame([("q", query)], "qid string, text string")
-        hits, gate = self._search(rows, q, k, kind, where, None, None if mismatch else min_score, not mismatch, True)
-        g = gate.first()
-        abstained = g.verdict == "abstain"
-        ranked = [] if abstained else rows.join(hits, "id").orderBy("rank").collect()
-        ranked = [r for r in ranked if r.content_hash == X.content_hash(r.content)]
-        if self.reranker and ranked:
-            ranked = self.reranker(query, ranked)[:k]
-        mode = retrieval.mode(True, True, bool(self.reranker), isinstance(self.embedder, StubEmbedder), mismatch, (g.top_score, min_score) if abstained else None)
-        out = Recall(ranked, mode, self.rules(), abstained, g.top_score, g.verdict)
+        rows, q, vec = self._vectors(version, q, k, kind, where, None, vectors)
+        top, verdict = None, "off"
+        if min_score is not None and not vectors:
+            verdict = "unavailable: no vector leg"
+        elif vectors:
+            g = retrieval.gate(q, vec, rows, min_score, include_quarantined).first()
+            top, verdict = g.top_score, g.verdict
+        abstained = verdict == "abstain"
+        ranked: list = []
+        if not abstained:
+            lex = self._words(version, rows, q, k, None, True)
+            pool = retrieval.pool_size(k)
+            hits = retrieval.hybrid(vec, lex, rows, q, pool if self.reranker else k, pool, None, vectors, True, include_quarantined)
+            ranked = rows.join(hits.select("id", "rank"), "id").orderBy("rank").collect()
+            if self.reranker and ranked:
+                ranked = self.reranker(query, ranked)[:k]
+        mode = retrieval.mode(
+            vectors, not abstained, bool(self.reranker) and not abstained, isinstance(self.embedder, StubEmbedder), not vectors,
+            (top if top is not None else float("nan"), min_score) if abstained else None, min_score is not None and verdict.startswith("unavailable"),
+        )
+        out = Recall(ranked, mode, self.rules(version=version), abstained, top, verdict)
         self.ledger.record(query, out.ids(), call_id)
         return out
 
-    def rules(self, limit: int = S.PINNED_LIMIT) -> list:
-        found = records.active_directives(self._rows(), limit).orderBy("rank").collect()
+    def rules(self, limit: int = S.PINNED_LIMIT, version: int | None = None) -> list:
+        found = records.active_directives(self.store.read(version, self.scope.key(), "directive"), limit).orderBy("rank").collect()
         return [r for r in found if r.content_hash == X.content_hash(r.content)]
 
     def board(self, recent: int = 10, majors: int = 10, rules: int = 5) -> dict:
@@ -264,11 +310,11 @@ class Memory:
         rows = self._rows()
         probe = rows.filter(S.surfacable()).orderBy(F.desc("created_at"), F.desc("id")).limit(n).collect()
         if not probe:
-            return {"checked": 0, "embedded": 0, "intact": 0, "found": 0, "identity": self.identity_state(rows)}
+            return {"checked": 0, "embedded": 0, "intact": 0, "found": 0, "identity": self.identity_state()}
         q = self.spark.createDataFrame([(r.id, r.content) for r in probe], "qid string, text string")
         found = self.search(q, max(k, 20)).filter("qid = id").count()
         intact = sum(r.content_hash == X.content_hash(r.content) for r in probe)
-        return {"checked": len(probe), "embedded": sum(r.embedding is not None for r in probe), "intact": intact, "found": found, "identity": self.identity_state(rows)}
+        return {"checked": len(probe), "embedded": sum(r.embedding is not None for r in probe), "intact": intact, "found": found, "identity": self.identity_state()}
 
     def self_test(self) -> bool:
         """Store a sentinel, find it first, and remove it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import hash_column
 from quern.schema import POOL_FACTOR, RRF_K, surfacable
 
 
@@ -27,10 +28,18 @@ def fuse(vec: DataFrame, lex: DataFrame, top: int, k: int = RRF_K) -> DataFrame:
 
 
 def surfaced(fused: DataFrame, records: DataFrame, k: int, keep_quarantined: bool = False) -> DataFrame:
-    """The first ``k`` hits of each query that may be shown; applied above the pool, so fewer may remain."""
-    hits = fused.join(records.select("id", "status", "trust_tier"), "id")
+    """The first ``k`` hits of each query that may be shown; applied above the pool, so hits beyond ``k`` move up.
+
+    Where ``records`` have content and its hash, a hit whose content doesn't give its hash counts as quarantined;
+    only the pool's hits are hashed.
+    """
+    checked = {"content", "content_hash"} <= set(records.columns)
+    hits = fused.join(records.select("id", "status", "trust_tier", *(["content", "content_hash"] if checked else [])), "id")
     if not keep_quarantined:
         hits = hits.filter(surfacable())
+        if checked:
+            hits = hits.filter(F.col("content_hash").eqNullSafe(hash_column(F.col("content"))))
+    hits = hits.drop("content", "content_hash")
     w = Window.partitionBy("qid").orderBy("rank")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -64,38 +73,40 @@ def pool_size(k: int, candidates: int | None = None) -> int:
     return candidates or POOL_FACTOR * k
 
 
-def gate(queries: DataFrame, vec: DataFrame, records: DataFrame, min_score: float | None) -> DataFrame:
-    """(qid, top_score, verdict) per query: off, pass, abstain, or unavailable.
+def gate(queries: DataFrame, vec: DataFrame, records: DataFrame, min_score: float | None, keep_quarantined: bool = False) -> DataFrame:
+    """(qid, top_score, verdict) per query: off, pass, abstain, or unavailable and why.
 
-    The top score is the best cosine among the vector pool's hits that may be shown, before fusion.
+    The top score is the best cosine among the vector pool's hits that may be shown, before fusion. One that
+    isn't a number can't pass.
     """
     if min_score is not None and not -1 <= min_score <= 1:
         raise ValueError("min_score must be between -1 and 1")
-    shown = vec.join(records.filter(surfacable()).select("id"), "id", "left_semi")
+    shown = vec.join((records if keep_quarantined else records.filter(surfacable())).select("id"), "id", "left_semi")
     top = shown.groupBy("qid").agg(F.max("score").alias("top_score"))
     j = queries.select("qid").join(top, "qid", "left")
     if min_score is None:
         return j.withColumn("verdict", F.lit("off"))
+    finite = (F.abs("top_score") < float("inf")) & ~F.isnan("top_score")
     return j.withColumn(
         "verdict",
-        F.when(F.col("top_score").isNull(), "unavailable").when(F.col("top_score") >= min_score, "pass").otherwise("abstain"),
+        F.when(F.col("top_score").isNull(), "unavailable: no vector candidates").when(finite & (F.col("top_score") >= min_score), "pass").otherwise("abstain"),
     )
 
 
 def hybrid(
     vec: DataFrame, lex: DataFrame, records: DataFrame, queries: DataFrame, k: int = 10, candidates: int | None = None,
-    min_score: float | None = None, use_vector: bool = True, use_lexical: bool = True,
+    min_score: float | None = None, use_vector: bool = True, use_lexical: bool = True, keep_quarantined: bool = False,
 ) -> DataFrame:
     """Final hits: fuse the legs' pools, drop what may not be shown, cut to ``k``, leave out abstained queries."""
     pool = pool_size(k, candidates)
     v, x = (d.filter(F.col("rank") <= pool) if on else d.limit(0) for d, on in ((vec, use_vector), (lex, use_lexical)))
-    out = surfaced(fuse(v, x, pool), records, k)
+    out = surfaced(fuse(v, x, pool), records, k, keep_quarantined)
     if min_score is not None and use_vector:
         out = out.join(gate(queries, v, records, min_score).filter("verdict <> 'abstain'").select("qid"), "qid", "left_semi")
     return out
 
 
-def mode(vector: bool, lexical: bool, reranked: bool = False, stub: bool = False, mismatch: bool = False, abstained: tuple[float, float] | None = None) -> str:
+def mode(vector: bool, lexical: bool, reranked: bool = False, stub: bool = False, mismatch: bool = False, abstained: tuple[float, float] | None = None, ungated: bool = False) -> str:
     """How a result came about, in words."""
     if mismatch:
         text = "lexical-only" + "+rerank" * reranked + ": embedder mismatch"
@@ -103,6 +114,8 @@ def mode(vector: bool, lexical: bool, reranked: bool = False, stub: bool = False
         text = "none: both legs off"
     else:
         text = "+".join(["vector"] * vector + ["lexical"] * lexical + ["rerank"] * reranked) + " (stub-embedder)" * stub
+    if ungated:
+        text += "; min_score not applied"
     if abstained:
         text += f": abstained (top-1 cosine {abstained[0]:.3f} < min_score {abstained[1]:.3f})"
     return text

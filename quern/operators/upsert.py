@@ -16,25 +16,20 @@ def fold(rows: DataFrame) -> DataFrame:
     In each (scope, kind, content hash) a delivery is accepted if its trust is above all
     before it, or equal to the highest and of the record that holds that trust. The last accepted
     one stays whole, but its proof count is the highest of the accepted ones. Everything is decided
-    by two windows over narrow columns; full rows are fetched for the winners only.
+    in narrow columns; full rows are fetched for the winners only.
 
-    A group may hold a third of all deliveries: it's first reduced, map-side, to the deliveries
-    that can matter, which are the first of each trust and id, the last, and the largest count.
+    A group may hold a third of all deliveries, under any number of ids: it's reduced by aggregates, map-side,
+    to one row for each of its five trusts, with the first delivery and its id. Only these meet in a window.
     """
     n = rows.select(*KEY, "seq", "id", "trust_tier", "proof_count")
-    lean = n.groupBy(*KEY, "trust_tier", "id").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("proof_count").alias("proof_count")
-    )
-    # A delivery of (trust, id) after its first one is accepted only while no higher trust has come.
-    by_trust = Window.partitionBy(*KEY, "trust_tier").orderBy("first_seq")
-    a = lean.withColumn("holder", F.first("id").over(by_trust))
-    a = a.filter(F.col("id").eqNullSafe(F.col("holder"))).drop("holder")
+    # The first delivery of a trust holds it, if no higher trust came before.
+    a = n.groupBy(*KEY, "trust_tier").agg(F.min("seq").alias("first_seq"), F.min_by("id", "seq").alias("id"))
     higher = Window.partitionBy(*KEY).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1)
     a = a.withColumn("before", F.max("trust_tier").over(higher)).filter(F.col("before").isNull() | (F.col("trust_tier") > F.col("before")))
-    # These groups rise in trust; each is open until the next begins.
+    # These rise in trust; each is open until the next begins.
     nxt = Window.partitionBy(*KEY).orderBy("first_seq")
-    a = a.withColumn("closed_at", F.lead("first_seq").over(nxt))
-    j = n.join(a.select(*KEY, "trust_tier", "id", "first_seq", "closed_at"), [*KEY, "trust_tier", "id"])
+    a = a.withColumn("closed_at", F.lead("first_seq").over(nxt)).withColumn("holder", F.struct("id")).drop("id", "before")
+    j = n.withColumn("holder", F.struct("id")).join(a, [*KEY, "trust_tier", "holder"])
     j = j.filter((F.col("seq") >= F.col("first_seq")) & (F.col("closed_at").isNull() | (F.col("seq") < F.col("closed_at"))))
     return j.groupBy(*KEY).agg(
         F.max_by("id", "seq").alias("id"), F.max_by("trust_tier", "seq").alias("trust_tier"),
@@ -64,10 +59,11 @@ def delete(store: DataFrame, scope_key: str, ids: DataFrame) -> DataFrame:
 
 
 def bumped(store: DataFrame, credits: DataFrame) -> DataFrame:
-    """The store with one proof more per credit (id, n) for what isn't quarantined."""
-    c = credits.groupBy("id").agg(F.sum("n").alias("__n"))
+    """The store with ``n`` proofs more per credit (id, n), or (scope_key, id, n), for what isn't quarantined."""
+    by = ["scope_key", "id"] if "scope_key" in credits.columns else ["id"]
+    c = credits.groupBy(*by).agg(F.sum("n").alias("__n"))
     add = F.when(effective_status() != "quarantined", F.coalesce("__n", F.lit(0))).otherwise(0)
-    return store.join(c, "id", "left").withColumn("proof_count", F.col("proof_count") + add).drop("__n")
+    return store.join(c, by, "left").withColumn("proof_count", F.col("proof_count") + add).drop("__n")
 
 
 def set_status(store: DataFrame, scope_key: str, ids: list[str], status: str) -> DataFrame:

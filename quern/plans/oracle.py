@@ -187,7 +187,7 @@ def sql() -> dict[str, str]:
         "rrf_hybrid": f"{LEGS} SELECT qid, id, round(rrf,9) AS rrf, rank::INT AS rank FROM fu",
         "hybrid_surfacable": f"{LEGS}, {_surface(10, 'su', 'fu')} SELECT qid, id, rank::INT AS rank FROM su",
         "abstain_gate": f"""WITH {STATE}, {STUB}, {_vec(60)}, t AS (SELECT qid, max(score) AS ts FROM vec JOIN cur c USING (id) WHERE {EFF}='active' AND trust_tier>0 GROUP BY qid)
-            SELECT q.qid, round(ts,9) AS top_score, CASE WHEN ts IS NULL THEN 'unavailable' WHEN ts>=0.45 THEN 'pass' ELSE 'abstain' END AS verdict FROM eval_queries q LEFT JOIN t USING (qid)""",
+            SELECT q.qid, round(ts,9) AS top_score, CASE WHEN ts IS NULL THEN 'unavailable: no vector candidates' WHEN ts>=0.45 THEN 'pass' ELSE 'abstain' END AS verdict FROM eval_queries q LEFT JOIN t USING (qid)""",
         "envelope_partition": f"""{LEGS}, {_surface(10, 'su', 'fu')},
             pin AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS rank FROM cur WHERE {RULES} ORDER BY created_at, id LIMIT 5),
             u AS (SELECT qid, pin.id, 0 AS part, pin.rank FROM eval_queries, pin UNION ALL

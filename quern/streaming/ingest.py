@@ -43,18 +43,27 @@ def windowed_recalls(ledger: DataFrame, late: str = "2 hours", width: str = "1 h
 
 
 def ledger_state(ledger: DataFrame, cap: int = S.LEDGER_CAP, ttl_s: int = S.LEDGER_TTL_S) -> DataFrame:
-    """Per call, the entries now kept (a ring of ``cap`` within ``ttl_s``), after each micro-batch."""
+    """Per call, the entries now kept (a ring of ``cap`` within ``ttl_s``), after each micro-batch.
+
+    A call's state is dropped when event time has passed its newest entry by ``ttl_s``.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = list(state.get[0]) if state.exists else []
         for b in batches:
             old += [(t.value // 1000, q, list(i)) for t, q, i in zip(b["ts"], b["query_text"], b["ids"]) if i is not None and len(i)]
         old.sort(key=lambda x: x[0], reverse=True)
         kept = [x for x in old if old[0][0] - x[0] <= ttl_s * 1_000_000][:cap]
         state.update((kept,))
+        # Gone once nothing it holds could still count. What comes later than the watermark starts anew.
+        if kept:
+            state.setTimeoutTimestamp(max(kept[0][0] // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"call_id": [key[0]] * len(kept), "rank": range(1, len(kept) + 1), "ts_us": [x[0] for x in kept], "query_text": [x[1] for x in kept]})
 
-    return ledger.filter("call_id IS NOT NULL").groupBy("call_id").applyInPandasWithState(
+    return ledger.filter("call_id IS NOT NULL").withWatermark("ts", f"{ttl_s} seconds").groupBy("call_id").applyInPandasWithState(
         run, "call_id string, rank int, ts_us bigint, query_text string",
-        "kept array<struct<ts_us: bigint, query_text: string, ids: array<string>>>", "update", GroupStateTimeout.NoTimeout,
+        "kept array<struct<ts_us: bigint, query_text: string, ids: array<string>>>", "update", GroupStateTimeout.EventTimeTimeout,
     )

@@ -104,3 +104,70 @@ def test_stream_ledger(spark, tmp_path):
     s = streams.ledger_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), cap=3)
     s.writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r.query_text for r in sorted(out, key=lambda r: r["rank"])] == ["q4", "q3", "q2"]
+
+
+def _folders(store):
+    return {(s, k): f for s, ks in store.manifest()["parts"].items() for k, f in ks.items()}
+
+
+def _files(store):
+    return {os.path.join(at, f) for at, _, names in os.walk(store.path + "/data") for f in names if f.endswith(".parquet")}
+
+
+def test_a_write_touches_its_own_scope_and_kind_only(store, spark):
+    a, b = Memory(spark, store, S.Scope("a")), Memory(spark, store, S.Scope("b"))
+    for m in (a, b):
+        m.remember("alpha beta", trust=2)
+        m.remember("Answer briefly", kind="directive", trust=3)
+    before, old = _files(store), _folders(store)
+    i = a.remember("gamma", trust=2)
+    new = _files(store) - before
+    assert len(new) == 1 and "p_scope=a%2F" in min(new) and "p_kind=raw_fact" in min(new)
+    a.forget(i)
+    changed = {k for k, f in _folders(store).items() if f != old[k]}
+    assert changed == {(a.scope.key(), "raw_fact")}
+    assert a.count() == b.count() == 2
+
+
+def test_compaction_and_repeated_deliveries(store, spark):
+    m = Memory(spark, store)
+    for _ in range(3):
+        i = m.remember("same text", trust=1)
+    top = m.remember("same text", trust=3, source="memory://other")
+    assert m.count() == 1 and m.remember("same text", trust=2, source="memory://late") and m._rows().first().id == top != i
+    rows = {r.id: r.trust_tier for r in m._rows().collect()}
+    m.compact()
+    assert {r.id: r.trust_tier for r in m._rows().collect()} == rows and all(len(f) == 1 for f in _folders(store).values())
+
+
+def test_another_embedder_neither_loses_nor_mixes_vectors(store, spark):
+    from quern.functions.vectors import StubEmbedder
+
+    m = Memory(spark, store)
+    i = m.remember("alpha beta", trust=2)
+    other = Memory(spark, store, embedder=StubEmbedder(32))
+    assert other.identity_state() == "mismatch" and m.identity_state() == "match"
+    other.remember("alpha beta", trust=2)
+    j = other.remember("gamma", trust=2)
+    kept = {r.id: r.embedder_dim for r in m._rows().collect()}
+    assert kept[i] == m.embedder.identity()[1] and kept[j] is None
+    r = other.recall("alpha", min_score=0.1)
+    assert r.ids() == [i] and r.mode.endswith("; min_score not applied") and r.gate == "unavailable: no vector leg"
+    other.reindex()
+    assert other.identity_state() == "match" and m.identity_state() == "mismatch"
+
+
+def test_tampered_hits_make_room(store, spark):
+    m = Memory(spark, store)
+    ids = [m.remember(f"the reader number {n}", trust=2) for n in range(3)]
+    store.update(lambda now: now.withColumn("content", F.when(F.col("id") == ids[0], F.concat("content", F.lit(" reader reader"))).otherwise(F.col("content"))), scope_key=m.scope.key())
+    assert set(m.recall("reader", k=2).ids()) == set(ids[1:])
+    seen = []
+    again = Memory(spark, store, reranker=lambda q, rows: seen.append(len(rows)) or rows[::-1])
+    assert len(again.recall("reader", k=1).ids()) == 1 and seen == [2]
+
+
+def test_rejected_documents(spark):
+    docs = spark.createDataFrame([("a.txt", "x" * (S.TEXT_BYTES + 1), "s"), ("b.md", "# a\n" * (S.MAX_CHUNKS + 5), "s"), ("c.txt", "fine text", "s")], "name string, text string, scope_key string")
+    assert {r.name for r in files.rejected(docs).collect()} == {"a.txt", "b.md"}
+    assert [r.prov_source_file for r in files.ingest(docs, 2).collect()] == ["c.txt"]

@@ -81,7 +81,7 @@ def test_filter_is_above_the_pool_and_gate_sees_shown_hits_only(spark):
     q = spark.createDataFrame([("q",), ("none",)], "qid string")
     assert [r.id for r in retrieval.hybrid(v, x, rec, q, 1, candidates=1).collect()] == []
     g = {r.qid: (r.top_score, r.verdict) for r in retrieval.gate(q, v, rec, 0.5).collect()}
-    assert g == {"q": (0.3, "abstain"), "none": (None, "unavailable")}
+    assert g == {"q": (0.3, "abstain"), "none": (None, "unavailable: no vector candidates")}
     assert retrieval.hybrid(v, x, rec, q, 5, min_score=0.5).isEmpty()
     with pytest.raises(ValueError):
         retrieval.gate(q, v, rec, 2.0)
