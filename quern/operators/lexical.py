@@ -1,10 +1,10 @@
-"""Lexical search: tokens, postings, corpus statistics and BM25, for batches of queries."""
+"""Lexical search: tokens, postings, statistics and BM25, for batches of queries."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.schema import QUERY_CHARS, QUERY_TERMS
-from quern.session import partitions_for
+from quern.session import checkpointed, partitions_for
 
 # Queries and documents are scored in blocks of so many rows.
 QUERY_BLOCK, DOC_BLOCK = 1024, 4096
+# Words of so many queries are sent to all tasks at once; more queries take more passes.
+PASS_QUERIES = 16_384
 # Words that the overlap measure and hard-negative mining leave out.
 STOPWORDS = tuple(
     "a about after all an and any are as at be been before being but by can could did do does doing for from had has have how i if in into is it "
@@ -53,8 +55,13 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """A query's distinct words in order, at most 32 of its first 8,192 characters."""
-    return F.slice(F.array_distinct(tokens(F.substring(text, 1, QUERY_CHARS))), 1, QUERY_TERMS)
+    """A query's distinct terms in order, at most 32 of its first 8,192 characters.
+
+    Words joined by underscores are one term, a phrase: its words with spaces between.
+    """
+    whole = F.regexp_extract_all(folded(F.substring(text, 1, QUERY_CHARS)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    phrases = F.filter(F.transform(whole, lambda w: F.trim(F.regexp_replace(w, "_+", " "))), lambda w: w != "")
+    return F.slice(F.array_distinct(phrases), 1, QUERY_TERMS)
 
 
 def eval_tokens(text: Column) -> Column:
@@ -66,21 +73,15 @@ def eval_tokens(text: Column) -> Column:
 def postings(docs: DataFrame, words=tokens) -> DataFrame:
     """(id, term, tf, len) of documents (id, text).
 
-    Placed by document: what is grouped by document later needs no further shuffle. Null and
-    empty texts have none. Repeated ids count as one document with all their words.
+    Texts stay where they are; what is shuffled is words, counted before. Null and empty texts have none.
+    Repeated ids count as one document with all their words.
     """
-    d = docs.select("id", "text").repartition("id").select("id", words(F.col("text")).alias("w"))
+    d = docs.select("id", words(F.col("text")).alias("w"))
     # The outer form, as the plain one makes the optimizer count words before they are spread.
     d = d.select("id", F.size("w").alias("len"), F.explode_outer("w").alias("term")).filter("term IS NOT NULL")
     return d.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
-def corpus_stats(docs: DataFrame, words=tokens) -> DataFrame:
-    """One row: documents, and their mean length in words."""
-    n = F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0))
-    return docs.select("text").select(n.alias("len")).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
-
-
 def term_stats(post: DataFrame) -> DataFrame:
     """Documents per term."""
     return post.groupBy("term").agg(F.count("*").alias("df"))
@@ -101,80 +102,107 @@ def bm25(
 ) -> DataFrame:
     """(qid, id, score, rank): the ``k`` best documents of each query.
 
-    ``queries`` (qid, text), ``docs`` (id, text). Statistics come from ``corpus`` (default: docs), so a filter on
-    docs doesn't change scores. Scores are rounded to 9 digits, ties rank by id. ``exclude`` (qid, id)
+    ``queries`` (qid, text), ``docs`` (id, text). Statistics come from ``corpus`` (default: docs), of which
+    docs are a part, so a filter on docs doesn't change scores. Scores are rounded to 9 digits, ties rank by id.
+    A term of several words is a phrase, which counts where they follow each other. ``exclude`` (qid, id)
     takes pairs out before ranking. Queries without words and k of 0 or less find nothing.
+
+    The corpus is read once for ``PASS_QUERIES`` queries. Each text becomes, where it lies, the numbers of the
+    asked terms in it; these are the only thing shuffled and written. Documents are then scored in place, and
+    give their best ``k`` for each query and block.
     """
-    corpus = docs if corpus is None else corpus
-    q = queries.select("qid", F.explode_outer(terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
-    q = q.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    all_post = postings(corpus, words)
-    asked = q.select("term").distinct()
-    known = term_stats(all_post.join(asked, "term", "left_semi"))
-    stats = F.broadcast(corpus_stats(corpus, words))  # one row
-    weight = idf(F.col("n_docs"), F.col("df")) * (F.col("qtf") if repeat_terms else F.lit(1))
-    weighted = q.join(known, "term").crossJoin(stats).select("qid", "term", weight.alias("x"))
-    post = (all_post if docs is corpus else postings(docs, words)).join(asked, "term", "left_semi")
-    tf, size = F.col("tf"), F.col("len")
-    part = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * size / F.col("avg_len")))
-    post = post.crossJoin(stats).select("id", "term", part.alias("x"))
+    none = queries.sparkSession.createDataFrame([], "qid string, id string, score double, rank int")
+    if k <= 0:
+        return none
+    q = queries.select(F.col("qid").cast("string").alias("qid"), F.explode_outer(terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
+    q = checkpointed(q.groupBy("qid", "term").agg(F.count("*").alias("qtf")))
     most = k
-    if exclude is not None and k > 0:
+    if exclude is not None:
         # As many more are kept as a query may lose.
         lost = exclude.groupBy("qid").count().agg(F.max("count")).first()[0]
         most = k + (lost or 0)
-    scored = _best(_blocks(weighted, "qid", QUERY_BLOCK, queries), _blocks(post, "id", DOC_BLOCK, docs), most)
+    passes = partitions_for(q.select("qid").distinct().count(), PASS_QUERIES)
+    scored = []
+    for i in range(passes):
+        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).collect()
+        if part:
+            scored.append(_scored(part, docs, corpus, most, k1, b, idf, words, repeat_terms))
+    if not scored:
+        return none
+    found = reduce(DataFrame.unionByName, scored)
     if exclude is not None:
-        scored = scored.join(exclude.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
+        found = found.join(exclude.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _blocks(entries: DataFrame, key: str, rows: int, counted: DataFrame) -> DataFrame:
-    """Sparse entries (key, term, x) packed by blocks of keys: keys, terms, and per term places and values."""
-    n = partitions_for(counted.count(), rows)
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        place, keys = pd.factorize(g["key"])
-        term, words = pd.factorize(g["term"])
-        order = np.argsort(term, kind="stable")
-        ends = np.cumsum(np.bincount(term, minlength=len(words)))
-        return pd.DataFrame({
-            "keys": [keys.tolist()], "terms": [words.tolist()], "ends": [ends.tolist()],
-            "places": [place[order].astype("i4").tobytes()], "values": [g["x"].to_numpy("f8")[order].tobytes()],
-        })
-
-    e = entries.select(F.col(key).cast("string").alias("key"), "term", F.col("x").cast("double"), block.alias("block"))
-    return e.groupBy("block").applyInPandas(pack, "keys array<string>, terms array<string>, ends array<int>, places binary, values binary")
-
-
-def _best(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): per pair of blocks, the rows that reach a query's k-th best score."""
-    schema = "qid string, id string, score double"
-    if k <= 0:
-        return queries.sparkSession.createDataFrame([], schema)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _runs(w: Column, n: int) -> Column:
+    """All runs of ``n`` words, with spaces between."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+
+def _scored(asked: list, docs: DataFrame, corpus: DataFrame | None, k: int, k1: float, b: float, idf, words, repeat_terms: bool) -> DataFrame:
+    spark = docs.sparkSession
+    number = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
+    # Every document has the empty term besides, so that those without an asked term count as well.
+    table = spark.createDataFrame([*number.items(), ("", -1)], "term string, t int")
+    lengths = sorted({t.count(" ") + 1 for t in number} - {1})
+    d = (docs if corpus is None else corpus).select(F.col("id").cast("string").alias("id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    d = d.select("id", F.size("w").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "w", *(_runs(F.col("w"), n) for n in lengths))).alias("term"))
+    d = d.join(F.broadcast(table), "term").groupBy("id").agg(
+        F.collect_list(F.when(F.col("t") >= 0, F.col("t"))).alias("terms"), F.max("len").alias("len"),
+        F.sum(F.when(F.col("t") < 0, F.col("len"))).alias("words"), F.count_if(F.col("t") < 0).alias("rows"),
+    )
+    d = checkpointed(d)
+    stats = d.agg(F.sum("rows").alias("n"), F.sum("words").alias("words")).first()
+    n, mean = stats.n or 0, (stats.words or 0) / max(1, stats.n or 0)
+    df = d.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    weight = {r.t: r.x for r in df.select("t", idf(F.lit(n), F.col("df")).alias("x")).collect()}
+    qids = sorted({r.qid for r in asked})
+    place = {x: i for i, x in enumerate(qids)}
+    # Per block of queries: places and weights by term.
+    blocks: list[dict[int, tuple]] = [{} for _ in range(partitions_for(len(qids), QUERY_BLOCK))]
+    for r in asked:
+        t = number[r.term]
+        if t in weight:
+            at, row = divmod(place[r.qid], QUERY_BLOCK)
+            rows, xs = blocks[at].setdefault(t, ([], []))
+            rows.append(row)
+            xs.append(weight[t] * (r.qtf if repeat_terms else 1))
+    shared = spark.sparkContext.broadcast([{t: (np.array(rows), np.array(xs)) for t, (rows, xs) in x.items()} for x in blocks])
+    if corpus is not None:
+        d = d.join(docs.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                qp, qv = np.frombuffer(r.q_places, "i4"), np.frombuffer(r.q_values)
-                dp, dv = np.frombuffer(r.places, "i4"), np.frombuffer(r.values)
-                q_at = dict(zip(r.q_terms, zip([0, *r.q_ends[:-1]], r.q_ends)))
-                s = np.zeros((len(r.q_keys), len(r.keys)))
-                for t, lo, hi in zip(r.terms, [0, *r.ends[:-1]], r.ends):
-                    if t in q_at:
-                        a, e = q_at[t]
-                        s[np.ix_(qp[a:e], dp[lo:hi])] += np.outer(qv[a:e], dv[lo:hi])
-                s = np.round(s, 9)
-                n = min(k, s.shape[1])
-                least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero((s >= least) & (s > 0))
-                yield pd.DataFrame({"qid": np.asarray(r.q_keys, dtype=object)[i], "id": np.asarray(r.keys, dtype=object)[j], "score": s[i, j]})
-
-    q = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns})
-    # Blocks of a stated set of queries against all blocks of documents; each is small and bounded.
-    return docs.crossJoin(q).mapInPandas(run, schema)
+        for batch in batches:
+            for at in range(0, len(batch), DOC_BLOCK):
+                part = batch.iloc[at : at + DOC_BLOCK]
+                for i, queries in enumerate(shared.value):
+                    yield _best(part, queries, qids[i * QUERY_BLOCK : (i + 1) * QUERY_BLOCK], k, k1, b, mean)
+
+    return d.select("id", "terms", "len").mapInPandas(run, "qid string, id string, score double")
+
+
+def _best(docs: pd.DataFrame, queries: dict[int, tuple], qids: list[str], k: int, k1: float, b: float, mean: float) -> pd.DataFrame:
+    """(qid, id, score) of the documents of a block that reach a query's k-th best score in it."""
+    sizes = docs["terms"].map(len).to_numpy()
+    flat = np.concatenate([*docs["terms"], np.zeros(0, "i4")]).astype("i8")
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    key, tf = np.unique(flat * len(docs) + doc, return_counts=True)
+    term, doc = np.divmod(key, max(1, len(docs)))
+    x = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * docs["len"].to_numpy()[doc] / max(mean, 1e-300)))
+    s = np.zeros((len(qids), len(docs)))
+    found, first = np.unique(term, return_index=True)
+    for t, lo, hi in zip(found.tolist(), first, [*first[1:], len(term)]):
+        if t in queries:
+            rows, w = queries[t]
+            s[np.ix_(rows, doc[lo:hi])] += np.outer(w, x[lo:hi])
+    s = np.round(s, 9)
+    n = min(k, s.shape[1])
+    least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+    i, j = np.nonzero((s >= least) & (s > 0))
+    return pd.DataFrame({"qid": np.asarray(qids, dtype=object)[i], "id": docs["id"].to_numpy()[j], "score": s[i, j]})
 
 
 def hard_negatives(queries: DataFrame, docs: DataFrame, gold: DataFrame, k: int = 20) -> DataFrame:

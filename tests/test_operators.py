@@ -163,3 +163,28 @@ def test_envelope(spark):
 
 def test_trust_levels():
     assert [int(t) for t in S.Trust] == [0, 1, 2, 3, 4]
+
+
+def test_phrases_and_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "the scan cache is warm"), ("b", "cache of the scan"), ("c", "scan_cache once, scan cache twice"), ("d", None), ("e", "x y z")], "id string, text string")
+    q = spark.createDataFrame([("p", "scan_cache"), ("w", "scan cache"), ("n", "__ ,"), ("u", "_x_")], "qid string, text string")
+
+    def hits():
+        out: dict = {}
+        for r in lexical.bm25(q, docs, 5).orderBy("qid", "rank").collect():
+            out.setdefault(r.qid, []).append(r.id)
+        return out
+
+    one = hits()
+    assert set(one["p"]) == {"a", "c"} and set(one["w"]) == {"a", "b", "c"} and one["u"] == ["e"] and "n" not in one
+    monkeypatch.setattr(lexical, "PASS_QUERIES", 1)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 1)
+    assert hits() == one
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), f"word{i} common") for i in range(20)], "id string, text string")
+    post = lexical.postings(df)._jdf.queryExecution().executedPlan().toString()
+    for line in post.splitlines():
+        if "Exchange" in line:
+            assert "text" not in line
