@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.session import checkpointed
 
 
 STRETCHES = 256
@@ -110,45 +112,49 @@ def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def bootstrap_ci(values: list[float], resamples: int, seed: int) -> tuple[float, float, float]:
-    """Mean and 95 % interval by seeded resampling."""
-    n = len(values)
-    if not n:
-        return 0.0, 0.0, 0.0
-    draw = random.Random(seed).randrange
-    totals = sorted(sum(values[draw(n)] for _ in range(n)) / n for _ in range(resamples))
-    at = lambda q: totals[int(q * (resamples - 1))]
-    return sum(values) / n, at(0.025), at(0.975)
+# Poisson weights of mean 1 by inverse distribution: a uniform number counts the sums it reaches.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(10))
 
 
-def sign_test(diffs: list[float]) -> float:
+def sign_test(wins: int, losses: int) -> float:
     """Two-sided exact p of the sign test; ties are left out."""
-    w, x = sum(d > 0 for d in diffs), sum(d < 0 for d in diffs)
-    m = w + x
-    return min(1.0, 2 * sum(math.comb(m, i) for i in range(min(w, x) + 1)) / 2**m) if m else 1.0
+    m, least = wins + losses, min(wins, losses)
+    log = lambda i: math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) - m * math.log(2)
+    return min(1.0, 2 * sum(math.exp(log(i)) for i in range(least + 1))) if m else 1.0
 
 
-def permutation_test(diffs: list[float], permutations: int, seed: int) -> float:
-    """Two-sided p of the seeded sign-flip test of the mean."""
-    if not diffs:
-        return 1.0
-    rng, n = random.Random(seed), len(diffs)
-    seen = abs(sum(diffs) / n) - 1e-15
-    hits = sum(abs(sum(d if rng.random() < 0.5 else -d for d in diffs) / n) >= seen for _ in range(permutations))
-    return (hits + 1) / (permutations + 1)
+@F.pandas_udf(T.DoubleType())
+def _sign_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
+    return pd.Series([sign_test(int(w), int(x)) for w, x in zip(wins, losses)], dtype="float64")
 
 
-def resampled(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS, resamples: int = 1000, seed: int = 20260707) -> DataFrame:
-    """Interval and tests of the difference of two results, one task per metric.
+def resampled(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS, resamples: int = 1000) -> DataFrame:
+    """Per metric, the mean difference of two results with its 95 % interval, sign test and permutation test.
 
-    A group is the list of differences of one metric: one number per evaluated query.
+    Each query's weight in a resample (Poisson, mean 1) and its sign in a permutation come from a hash of
+    both, so any number of tasks draws the same, and nothing is collected. Differences are rounded to 9 digits.
+    Without any query the result is empty.
     """
-    long = lambda d, n: d.select("qid", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m))])).alias("metric", n))
-    j = long(a, "a").join(long(b, "b"), ["qid", "metric"]).select("metric", "qid", F.round(F.col("a") - F.col("b"), 9).alias("d"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d = g.sort_values("qid")["d"].tolist()
-        mean, lo, hi = bootstrap_ci(d, resamples, seed)
-        return pd.DataFrame([(g["metric"].iloc[0], len(d), mean, lo, hi, sign_test(d), permutation_test(d, resamples, seed))], columns=["metric", "n", "mean_diff", "lo", "hi", "sign_p", "permutation_p"])
-
-    return j.groupBy("metric").applyInPandas(run, "metric string, n bigint, mean_diff double, lo double, hi double, sign_p double, permutation_p double")
+    j = a.select("qid", *(F.col(m).alias(f"a_{m}") for m in metrics)).join(b.select("qid", *(F.col(m).alias(f"b_{m}") for m in metrics)), "qid")
+    j = checkpointed(j.select("qid", *(F.round(F.col(f"a_{m}") - F.col(f"b_{m}"), 9).alias(m) for m in metrics)))
+    draw = j.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("h", F.md5(F.concat_ws(":", "qid", "r")))
+    u = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32
+    w = F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, x: n + (u >= x).cast("int"))
+    sign = F.when(F.substring("h", 9, 1) >= "8", 1.0).otherwise(-1.0)
+    draw = draw.select("r", w.alias("w"), sign.alias("s"), *metrics)
+    sums = draw.groupBy("r").agg(
+        F.sum("w").alias("w"), F.count("*").alias("n"), *(F.sum(F.col("w") * F.col(m)).alias(f"w_{m}") for m in metrics), *(F.sum(F.col("s") * F.col(m)).alias(f"s_{m}") for m in metrics)
+    )
+    by = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.try_divide(f"w_{m}", "w").alias("mean"), (F.col(f"s_{m}") / F.col("n")).alias("flipped")) for m in metrics)))
+    sums = sums.select(by.alias("x")).select("x.*")
+    seen = j.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("d")) for m in metrics))).alias("x")).groupBy("x.metric").agg(
+        F.count("*").alias("n"), F.avg("x.d").alias("seen"), F.count_if(F.col("x.d") > 0).alias("wins"), F.count_if(F.col("x.d") < 0).alias("losses")
+    )
+    k = sums.join(F.broadcast(seen), "metric").groupBy("metric", "n", "seen", "wins", "losses").agg(  # one row a metric
+        F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"), F.count_if(F.abs("flipped") >= F.abs("seen") - 1e-12).alias("hits")
+    )
+    r9 = lambda c: F.round(c, 9)
+    return k.select(
+        "metric", "n", r9(F.col("seen")).alias("mean_diff"), r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"),
+        r9(_sign_p("wins", "losses")).alias("sign_p"), r9((F.col("hits") + 1) / (resamples + 1)).alias("permutation_p"),
+    )

@@ -162,6 +162,10 @@ def dangling_links(spark, d):
     return records.dangling(table(spark, d, "record_links"), _mem(spark, d)).select("record_id", "target_id", "link_type")
 
 
+def links_to_hidden(spark, d):
+    return records.dangling(table(spark, d, "record_links"), _mem(spark, d).filter(S.surfacable())).select("record_id", "target_id", "link_type")
+
+
 def embedder_states(spark, d):
     return records.embedder_states(_mem(spark, d), table(spark, d, "embedder_identity"))
 
@@ -186,6 +190,19 @@ def vector_topk_filtered(spark, d):
     return vector.topk(rows.filter("seq % 50 = 0"), rows.filter(S.where_condition({"status": "active", "min_trust": 2})), K)
 
 
+def vector_topk_kind(spark, d):
+    # One kind only answers; queries are the records whose number is divisible by 50.
+    rows = current(spark, d).filter("embedding IS NOT NULL").withColumn("space", F.col("embedder_name")).withColumn("vector", F.col("embedding"))
+    return vector.topk(rows.filter("seq % 50 = 0"), rows.filter("kind = 'observation'"), K)
+
+
+def vector_zero_and_dim_skip(spark, d):
+    # Vectors of no length score 0, and other dimensions never meet.
+    rows = _mem(spark, d).filter("embedding IS NOT NULL").withColumn("space", F.lit("")).withColumn("vector", F.col("embedding")).withColumn("id", F.col("seq").cast("string"))
+    odd = rows.filter(F.coalesce((V.norm(F.col("embedding")) == 0) | (F.size("embedding") != F.col("embedder_dim")), F.lit(True)))
+    return vector.topk(odd, odd, K)
+
+
 def vector_validity(spark, d):
     v, n = F.col("embedding"), F.col("embedder_dim")
     fine = F.coalesce(V.valid(v), F.lit(False))
@@ -250,6 +267,13 @@ def hybrid_surfacable(spark, d):
     return retrieval.hybrid(vec, lex, rec, q, K).select("qid", "id", "rank")
 
 
+def hybrid_verified(spark, d):
+    # Hits whose content doesn't give its hash make room for those behind them.
+    q, rec, vec, lex = _legs(spark, d)
+    whole = rec.join(current(spark, d).select("id", "content_hash"), "id")
+    return retrieval.hybrid(vec, lex, whole, q, K).select("qid", "id", "rank")
+
+
 def abstain_gate(spark, d):
     q, rec, vec, _ = _legs(spark, d)
     return _rounded(retrieval.gate(q, vec, rec, 0.45), "top_score")
@@ -332,11 +356,13 @@ def scope_leak_check(spark, d):
 
 
 def run_fingerprints(spark, d):
-    return retrieval.fingerprint(bm25_topk(spark, d).drop("score").withColumn("score", F.lit("")))
+    return retrieval.fingerprint(bm25_topk(spark, d).withColumn("score", F.round(F.col("score") * 1e6).cast("bigint")))
 
 
 def first_gold_rank(spark, d):
-    return retrieval.first_gold(bm25_topk(spark, d), _labels(spark, d).filter("grade >= 1"), _eval_queries(spark, d)).filter("first_rank IS NOT NULL")
+    # Labels are few and seldom near the top, so more than the first page is ranked.
+    runs = lexical.bm25(_eval_queries(spark, d), _docs(current(spark, d)), 200)
+    return retrieval.first_gold(runs, _labels(spark, d).filter("grade >= 1"), _eval_queries(spark, d)).filter("first_rank IS NOT NULL")
 
 
 def rerank_overlap(spark, d):
@@ -387,6 +413,13 @@ def neutralized_payloads(spark, d):
     return table(spark, d, "attack_corpus").select("attack_id", X.neutralized(F.col("payload")).alias("payload"))
 
 
+def split_marker_screen(spark, d):
+    # Documents whose chunks hold a marker only when they are read on.
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), "text", F.lit("s").alias("scope_key"))
+    made = files.ingest(docs, trust=int(S.Trust.UNVERIFIED))
+    return made.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("metadata").isNotNull()).alias("n_noted"))
+
+
 def chunk_records(spark, d):
     m = spread(_mem(spark, d).select("seq", "id", "prov_source_file", "content")).select("seq", "id", F.posexplode(chunks(F.col("prov_source_file"), F.col("content"))).alias("chunk_index", "chunk"))
     return m
@@ -402,13 +435,13 @@ def queries() -> dict[str, Query]:
     fs = [
         store_state, strict_add_conflicts, usage_bump, delete_scoped, resolve_pending, carry_forward,
         count_by_status, count_by_kind, scope_census, count_by_source, newest, recent_feed, active_directives, board_entries,
-        pending_open, board_snapshot, metadata_typed_decode, record_ids, tamper_check, derived_from_edges, dangling_links,
-        embedder_states, summary_eligible, vector_topk, vector_topk_filtered, vector_validity, stub_embedding, bm25_corpus_stats,
-        bm25_topk, bm25_topk_filtered, okapi_hard_negatives, lexical_overlap, rrf_hybrid, hybrid_surfacable, abstain_gate,
+        pending_open, board_snapshot, metadata_typed_decode, record_ids, tamper_check, derived_from_edges, dangling_links, links_to_hidden,
+        embedder_states, summary_eligible, vector_topk, vector_topk_filtered, vector_topk_kind, vector_zero_and_dim_skip, vector_validity, stub_embedding, bm25_corpus_stats,
+        bm25_topk, bm25_topk_filtered, okapi_hard_negatives, lexical_overlap, rrf_hybrid, hybrid_surfacable, hybrid_verified, abstain_gate,
         envelope_partition, ir_metrics_per_query, ablation_legs, pool_depth_sweep, paired_wlt, resampling_tests, rank_auc,
         dedup_by_content, largest_scopes, scope_leak_check, run_fingerprints, first_gold_rank, rerank_overlap,
         threshold_sweep, latency_percentiles, ledger_informed_by, ledger_kept, ledger_credits, screen_records, attack_screen,
-        neutralized_payloads, chunk_records, ingest_documents,
+        neutralized_payloads, split_marker_screen, chunk_records, ingest_documents,
     ]
     return {f.__name__: f for f in fs}
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from quern.operators import evaluation
 from quern.operators.lexical import STOPWORDS
 
 EFF = "CASE WHEN trust_tier<=0 AND status='active' THEN 'quarantined' ELSE status END"
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+NORMAL = rf"regexp_replace(replace(replace(nfc_normalize(content), chr(13)||chr(10), chr(10)), chr(13), chr(10)), '\A{WS}+|{WS}+\z', '', 'g')"
+
 # The store after all deliveries: two windows over the deliveries of each group.
 STATE = """
 w AS (SELECT *, concat_ws('|', scope_key, kind, content_hash) AS g FROM memory_records),
@@ -150,8 +153,8 @@ def sql() -> dict[str, str]:
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0),
             c AS (SELECT q.qid, count(u.id) AS k FROM eval_queries q JOIN u ON u.project=q.project GROUP BY q.qid)
             SELECT qid, least(k,10)::BIGINT AS n_hits, 0::BIGINT AS n_foreign FROM c""",
-        "run_fingerprints": f"WITH {STATE}, {_bm25('cur', 'cur', 10)} SELECT qid, sha256(string_agg(rank::VARCHAR||':'||id||':', '|' ORDER BY rank)) AS fingerprint FROM lex GROUP BY qid",
-        "first_gold_rank": f"WITH {STATE}, {_bm25('cur', 'cur', 10)} SELECT qid, min(rank)::INT AS first_rank FROM lex JOIN (SELECT DISTINCT qid, record_id AS id FROM eval_labels WHERE grade>=1) USING (qid, id) GROUP BY qid",
+        "run_fingerprints": f"WITH {STATE}, {_bm25('cur', 'cur', 10)} SELECT qid, sha256(string_agg(rank::VARCHAR||':'||id||':'||round(score*1000000)::BIGINT::VARCHAR, '|' ORDER BY rank)) AS fingerprint FROM lex GROUP BY qid",
+        "first_gold_rank": f"WITH {STATE}, {_bm25('cur', 'cur', 200)} SELECT qid, min(rank)::INT AS first_rank FROM lex JOIN (SELECT DISTINCT qid, record_id AS id FROM eval_labels WHERE grade>=1) USING (qid, id) GROUP BY qid",
         "rerank_overlap": f"""WITH {STATE}, {_bm25('cur', 'cur', 30)},
             s AS (SELECT lex.qid, lex.id, lex.rank AS r, round(len(list_intersect(list_distinct({TOK.format('query_text')}), {TOK.format('content')}))::DOUBLE/len(list_distinct({TOK.format('query_text')})),9) AS rerank_score
               FROM lex JOIN eval_queries USING (qid) JOIN cur ON cur.id=lex.id)
@@ -170,6 +173,28 @@ def sql() -> dict[str, str]:
              FROM (SELECT * FROM u WHERE seq%50=0) q JOIN (SELECT * FROM u WHERE {EFF}='active' AND trust_tier>=2) r
              ON concat_ws('|',q.embedder_name,q.kind)=concat_ws('|',r.embedder_name,r.kind) AND len(q.embedding)=len(r.embedding))
             SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank<=10""",
+        "vector_topk_kind": f"""WITH {STATE}, u AS (SELECT * FROM cur WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0),
+            s AS (SELECT q.id AS qid, r.id, round(coalesce(list_inner_product(q.embedding,r.embedding)/nullif(sqrt(list_inner_product(q.embedding,q.embedding))*sqrt(list_inner_product(r.embedding,r.embedding)),0),0),9)+0.0 AS score
+             FROM (SELECT * FROM u WHERE seq%50=0) q JOIN (SELECT * FROM u WHERE kind='observation') r ON coalesce(q.embedder_name,'')=coalesce(r.embedder_name,'') AND len(q.embedding)=len(r.embedding))
+            SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank<=10""",
+        "vector_zero_and_dim_skip": f"""WITH u AS (SELECT seq::VARCHAR AS id, embedding FROM memory_records WHERE embedding IS NOT NULL AND len(embedding)>0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0
+              AND ({LENGTH}=0 OR len(embedding)<>embedder_dim OR embedder_dim IS NULL)),
+            s AS (SELECT q.id AS qid, r.id, round(coalesce(list_inner_product(q.embedding,r.embedding)/nullif(sqrt(list_inner_product(q.embedding,q.embedding))*sqrt(list_inner_product(r.embedding,r.embedding)),0),0),9)+0.0 AS score
+             FROM u q JOIN u r ON len(q.embedding)=len(r.embedding))
+            SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank<=10""",
+        "links_to_hidden": f"SELECT DISTINCT record_id, target_id, link_type FROM record_links WHERE target_id NOT IN (SELECT id FROM memory_records WHERE {EFF}='active' AND trust_tier>0)",
+        "hybrid_verified": f"""{LEGS}, ok AS (SELECT id FROM cur WHERE {EFF}='active' AND trust_tier>0 AND content_hash = sha256({NORMAL}))
+            SELECT qid, id, rank FROM (SELECT qid, f.id, row_number() OVER (PARTITION BY qid ORDER BY f.rank)::INT AS rank FROM fu f JOIN ok USING (id)) WHERE rank<=10""",
+        "resampling_tests": f"""{legs}, d AS (SELECT qid, metric, round(a.v-b.v,9) AS d FROM (UNPIVOT ml ON recall, reciprocal_rank, hit_rate, precision, average_precision, ndcg INTO NAME metric VALUE v) a
+              JOIN (UNPIVOT mv ON recall, reciprocal_rank, hit_rate, precision, average_precision, ndcg INTO NAME metric VALUE v) b USING (qid, metric)),
+            h AS (SELECT qid, r, md5(qid||':'||r::VARCHAR) AS h FROM eval_queries, range(1,1001) t(r)),
+            dr AS (SELECT qid, r, len(list_filter({list(evaluation.POISSON)}, lambda x: ('0x'||substr(h,1,8))::BIGINT/4294967296.0::DOUBLE >= x)) AS w, CASE WHEN substr(h,9,1)>='8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM h),
+            sm AS (SELECT metric, r, sum(w*d)/nullif(sum(w),0) AS m, sum(s*d)/count(*) AS f FROM d JOIN dr USING (qid) GROUP BY metric, r),
+            se AS (SELECT metric, count(*) AS n, avg(d) AS seen, count(CASE WHEN d>0 THEN 1 END) AS w, count(CASE WHEN d<0 THEN 1 END) AS l FROM d GROUP BY metric),
+            k AS (SELECT metric, n, seen, w, l, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi, count(CASE WHEN abs(f)>=abs(seen)-1e-12 THEN 1 END) AS hits FROM sm JOIN se USING (metric) GROUP BY ALL)
+            SELECT metric, n, round(seen,9) AS mean_diff, round(lo,9) AS lo, round(hi,9) AS hi,
+              round(CASE WHEN w+l=0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2*list_sum(list_transform(range(0, least(w,l)+1), lambda i: exp(lgamma(w+l+1)-lgamma(i+1)-lgamma(w+l-i+1)-(w+l)*ln(2.0::DOUBLE))))) END,9) AS sign_p,
+              round((hits+1)/1001.0::DOUBLE,9) AS permutation_p FROM k""",
         "vector_validity": f"""SELECT embedder_name, CASE WHEN embedding IS NULL THEN 'absent'
             WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))>0 OR len(embedding)>65536 OR isinf({LENGTH}) THEN 'invalid'
             WHEN len(embedding) IS DISTINCT FROM embedder_dim THEN 'other dimension' WHEN coalesce({LENGTH},0)=0 THEN 'no length' ELSE 'usable' END AS state, count(*) AS n

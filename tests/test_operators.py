@@ -136,11 +136,8 @@ def test_rank_auc_counts_ties_half(spark):
 
 
 def test_resampling():
-    assert evaluation.sign_test([1, 1, 1, 1, -1, 0]) == pytest.approx(0.375)
-    assert evaluation.sign_test([]) == evaluation.permutation_test([], 9, 1) == 1.0
-    mean, lo, hi = evaluation.bootstrap_ci([0.0, 1.0] * 50, 200, 1)
-    assert lo < mean == 0.5 < hi
-    assert evaluation.permutation_test([1.0] * 12, 500, 1) < 0.01
+    assert evaluation.sign_test(4, 1) == pytest.approx(0.375)
+    assert evaluation.sign_test(0, 0) == 1.0 and evaluation.sign_test(3000, 3000) == 1.0
 
 
 def test_ledger(spark):
@@ -188,3 +185,23 @@ def test_texts_are_not_shuffled(spark, tmp_path):
     for line in post.splitlines():
         if "Exchange" in line:
             assert "text" not in line
+
+
+def test_resampling_against_plain_draws(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    a = [(f"q{i}", *(min(1.0, 0.5 + rng.random()) for _ in evaluation.METRICS)) for i in range(60)]
+    b = [(f"q{i}", *(0.45 + rng.random() / 2 for _ in evaluation.METRICS)) for i in range(60)]
+    names = "qid string, " + ", ".join(f"{m} double" for m in evaluation.METRICS)
+    da, db = spark.createDataFrame(a, names), spark.createDataFrame(b, names)
+    got = {r.metric: r for r in evaluation.resampled(da, db, resamples=400).collect()}
+    d = [x[1] - y[1] for x, y in zip(a, b)]
+    r, error = got["recall"], statistics.stdev(d) / 60**0.5
+    assert set(got) == set(evaluation.METRICS) and r.n == 60 and r.mean_diff == pytest.approx(sum(d) / 60, abs=1e-9)
+    assert r.lo == pytest.approx(r.mean_diff - 1.96 * error, abs=error * 0.5) and r.hi == pytest.approx(r.mean_diff + 1.96 * error, abs=error * 0.5)
+    assert r.permutation_p < 0.05
+    same = evaluation.resampled(da, da, resamples=50).collect()
+    assert all(x.lo == x.hi == 0 and x.sign_p == x.permutation_p == 1 for x in same)
+    assert evaluation.resampled(da.limit(0), db).count() == 0
