@@ -1,8 +1,9 @@
 """Exact nearest rows for a stated set of queries.
 
-Queries and rows are packed into blocks of bounded size; each pair of blocks is one matrix
-product that keeps only the best rows of each query, so what is shuffled is at most k rows per
-query and block of rows. Nothing is collected, and neither side has to fit anywhere whole.
+A stated set of queries of checked size goes to the rows, which stay where they are: each task keeps the
+best k of its rows for each query, and only these are shuffled. Larger sets of queries and the rows are
+packed into blocks of bounded size, and each pair of blocks is one matrix product that keeps only the
+best rows of each query, so neither side has to fit anywhere whole.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import valid
-from quern.session import partitions_for
+from quern.session import partitions_for, spread
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
-# Up to so many queries are broadcast to the blocks of rows; more are sent to each block by a join.
-BROADCAST_QUERIES = 4096
+# Up to so many queries, of so many numbers in all (64 MB), are sent to the rows where they lie; more meet blocks of rows by a join.
+BROADCAST_QUERIES, BROADCAST_NUMBERS = 4096, 8_000_000
+SLICE = 2048
 
 
 def _packed(df: DataFrame, block: int, total: int) -> DataFrame:
@@ -28,14 +30,49 @@ def _packed(df: DataFrame, block: int, total: int) -> DataFrame:
     place = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        m = np.array([np.asarray(v, dtype="f8") for v in g["vector"]])
-        length = np.sqrt((m * m).sum(1, keepdims=True))
-        m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        m = _unit(g["vector"])
         return pd.DataFrame({"space": [g["space"].iloc[0]], "b": [g["b"].iloc[0]], "ids": [g["id"].tolist()], "matrix": [m.tobytes()]})
 
     return df.withColumn("b", place).groupBy("space", "b").applyInPandas(pack, "space string, b int, ids array<string>, matrix binary")
 
 
+def _unit(vectors) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype="f8") for v in vectors])
+    length = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _in_place(queries: DataFrame, k: int, rounding: int):
+    """Function of batches of rows giving the best ``k`` of a whole task for each query."""
+    rows = queries.collect()
+    known: dict = {}
+    for r in rows:
+        known.setdefault(r.space, ([], []))[0].append(r.id)
+        known[r.space][1].append(r.vector)
+    shared = queries.sparkSession.sparkContext.broadcast({s: (np.asarray(i, dtype=object), _unit(v)) for s, (i, v) in known.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            found = [] if best is None else [best]
+            for space, g in b.groupby("space"):
+                qids, x = shared.value.get(space, (None, None))
+                for at in range(0, len(g) if qids is not None else 0, SLICE):
+                    part = g.iloc[at : at + SLICE]
+                    s = np.round(x @ _unit(part["vector"]).T, rounding) + 0.0
+                    n = min(k, len(part))
+                    # All that reach the k-th score stay, so that ties are decided by id.
+                    i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n])
+                    found.append(pd.DataFrame({"qid": qids[i], "id": part["id"].to_numpy()[j], "score": s[i, j]}))
+            if found:
+                best = pd.concat(found).sort_values(["qid", "score", "id"], ascending=[True, False, True])
+                best = best[best.groupby("qid").cumcount() < k]
+        if best is not None:
+            yield best
+
+    return run
+
+
 def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> DataFrame:
     """Rows (qid, id, score, rank): the ``k`` rows most similar to each query.
 
@@ -51,17 +88,19 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
     q, r = keep(queries), keep(rows)
     if k <= 0:
         return q.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
+    if size["n"] <= BROADCAST_QUERIES and size["numbers"] <= BROADCAST_NUMBERS:
+        parts = spread(r).mapInPandas(_in_place(q, k, rounding), "qid string, id string, score double")
+        return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     n_queries, n_rows = queries.count(), rows.count()
     qb = _packed(q, QUERY_BLOCK, n_queries).withColumnsRenamed({"ids": "qids", "matrix": "qm"}).drop("b")
     # Enough blocks for all cores, whatever the number of rows.
     cores = rows.sparkSession.sparkContext.defaultParallelism
     block = max(1, min(ROW_BLOCK, -(-n_rows // cores)))
     rb = _packed(r, block, n_rows)
-    if n_queries <= BROADCAST_QUERIES:
-        paired = rb.join(F.broadcast(qb), "space")
-    else:
-        numbers = F.explode(F.sequence(F.lit(0), F.lit(partitions_for(n_rows, block) - 1)))
-        paired = rb.join(qb.withColumn("b", numbers), ["space", "b"])
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(partitions_for(n_rows, block) - 1)))
+    paired = rb.join(qb.withColumn("b", numbers), ["space", "b"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,5 +116,4 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
                 yield pd.DataFrame({"qid": np.asarray(qids, dtype=object)[i], "id": ids[j], "score": s[i, j]})
 
     parts = paired.mapInPandas(score, "qid string, id string, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -205,3 +205,15 @@ def test_resampling_against_plain_draws(spark):
     same = evaluation.resampled(da, da, resamples=50).collect()
     assert all(x.lo == x.hi == 0 and x.sign_p == x.permutation_p == 1 for x in same)
     assert evaluation.resampled(da.limit(0), db).count() == 0
+
+
+def test_many_queries_by_blocks_give_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([(str(i), "s" if i % 3 else "t", [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(300)], "id string, space string, vector array<double>")
+    some = df.filter("id % 5 = 0")
+    here = {tuple(r) for r in vector.topk(some, df, 7).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(vector, "ROW_BLOCK", 40)
+    assert {tuple(r) for r in vector.topk(some, df, 7).collect()} == here and len(here) == 60 * 7
