@@ -61,6 +61,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("seq", "id", F.col("piece_index").alias("prov_chunk_index"), "piece_start", "piece_overlap", "piece")
 
 
+def p4_tiling(spark: SparkSession, d: str) -> DataFrame:
+    # Whether the pieces of each record join to its text, each within its limit and with its overlap.
+    rows = spread(table(spark, d, "memory_records").select("seq", "content", "prov_source_file"))
+    p = splitting.split_oversized(rows).withColumn("limit", splitting.size_limit(F.col("prov_source_file"))).filter("piece IS NOT NULL")
+    new = F.substring("piece", F.col("piece_overlap") + 1, F.length("piece"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece_index", new.alias("new")))), lambda x: x["new"])
+    within = F.bool_and((F.length("piece") <= F.col("limit")) & (F.col("piece_overlap") == F.least(F.lit(splitting.OVERLAP), F.col("piece_start"))))
+    return p.groupBy("seq").agg(F.md5(F.array_join(parts, "")).alias("joined"), within.alias("is_within"), (F.count("*") > 1).alias("is_cut"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(table(spark, d, "memory_records").select("seq", "id", "scope_key", "content"))
     places = credentials.find(rows).select("k", F.col("line").alias("line_no")).distinct()
@@ -109,7 +119,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name to function of session and data directory."""
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p3_found, p3_redacted, p4_found, p4_pieces, p4_tiling, p5_found, p5_redacted, p6_found, p6_containers, p7_found, p7_report, p7_mix, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -122,4 +132,9 @@ def oracle_sql() -> dict[str, str]:
                    FROM memory_records),
             r AS (SELECT id, n, list_max(list_transform(string_split_regex(c, '[{white}]'), lambda x: length(x))) AS run FROM t WHERE length(c) > n)
             SELECT id, CASE WHEN bool_or(run > n) THEN 'forced' ELSE 'natural' END AS cut FROM r GROUP BY id""",
+        "p4_tiling": rf"""
+            WITH t AS (SELECT seq, regexp_replace(content, '\A[{white}]+|[{white}]+\z', '', 'g') AS c,
+                   CASE WHEN lower(prov_source_file) LIKE '%.py' THEN 2000 WHEN lower(prov_source_file) LIKE '%.md' OR lower(prov_source_file) LIKE '%.markdown' THEN 1500 ELSE 800 END AS n
+                   FROM memory_records WHERE content IS NOT NULL)
+            SELECT seq, md5(c) AS joined, true AS is_within, length(c) > n AS is_cut FROM t""",
     }
