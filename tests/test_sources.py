@@ -14,9 +14,9 @@ def test_directory_format(spark, tmp_path):
 
 
 def test_walk_skips_environments_and_secrets(tmp_path):
-    for p in ("x/pyvenv.cfg", "x/m.py", "node_modules/n.js", "pkg.egg-info/i.py", "yarn.lock", "id_rsa.txt", "ok.py"):
+    for p in ("x/pyvenv.cfg", "x/m.py", "node_modules/n.js", "pkg.egg-info/i.py", "yarn.lock", "id_rsa", "ok.py", "secrets.md", "service-account-x.json", "pnpm-lock.yaml"):
         f = tmp_path / p
         f.parent.mkdir(exist_ok=True)
         f.write_text("1")
     names, left = files.walk(str(tmp_path))
-    assert names == ["ok.py"] and left == {"filtered": 1, "secrets_skipped": 1}
+    assert names == ["ok.py", "secrets.md"] and left == {"filtered": 2, "secrets_skipped": 2}
