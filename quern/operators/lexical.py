@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,11 @@ from quern.schema import QUERY_CHARS, QUERY_TERMS
 from quern.session import checkpointed, partitions_for
 
 # Queries and documents are scored in blocks of so many rows.
-QUERY_BLOCK, DOC_BLOCK = 1024, 4096
+QUERY_BLOCK, DOC_BLOCK = 2048, 32_768
 # Words of so many queries are sent to all tasks at once; more queries take more passes.
-PASS_QUERIES = 16_384
+PASS_QUERIES = 262_144
+# Scores within so little of a bound are worked out in full.
+MARGIN = 1e-8
 # Words that the overlap measure and hard-negative mining leave out.
 STOPWORDS = tuple(
     "a about after all an and any are as at be been before being but by can could did do does doing for from had has have how i if in into is it "
@@ -108,8 +111,9 @@ def bm25(
     takes pairs out before ranking. Queries without words and k of 0 or less find nothing.
 
     The corpus is read once for ``PASS_QUERIES`` queries. Each text becomes, where it lies, the numbers of the
-    asked terms in it; these are the only thing shuffled and written. Documents are then scored in place, and
-    give their best ``k`` for each query and block.
+    asked terms in it; only these are shuffled, and written as blocks of documents by term. A block of queries then
+    meets all blocks of documents in one task, or in few, and gives its best ``k`` once, however many
+    documents there are. Documents that can't reach a query's k-th best score so far aren't scored.
     """
     none = queries.sparkSession.createDataFrame([], "qid string, id string, score double, rank int")
     if k <= 0:
@@ -121,12 +125,12 @@ def bm25(
         # As many more are kept as a query may lose.
         lost = exclude.groupBy("qid").count().agg(F.max("count")).first()[0]
         most = k + (lost or 0)
-    passes = partitions_for(q.select("qid").distinct().count(), PASS_QUERIES)
+    n_queries = q.select("qid").distinct().count()
+    passes = partitions_for(n_queries, PASS_QUERIES)
     scored = []
-    for i in range(passes):
-        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).collect()
-        if part:
-            scored.append(_scored(part, docs, corpus, most, k1, b, idf, words, repeat_terms))
+    for i in range(passes if n_queries else 0):
+        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
+        scored.append(_scored(part, partitions_for(n_queries, passes), docs, corpus, most, k1, b, idf, words, repeat_terms))
     if not scored:
         return none
     found = reduce(DataFrame.unionByName, scored)
@@ -136,73 +140,251 @@ def bm25(
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _runs(w: Column, n: int) -> Column:
-    """All runs of ``n`` words, with spaces between."""
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+def _vocabulary(asked: list[str]) -> tuple[dict[str, int], np.ndarray, list[tuple]]:
+    """Numbers of all words; of each word, the number of its term, or -1; and per further word of phrases, sorted keys
+    (number of the beginning, number of the word) with the numbers of what they begin and of their terms.
+    """
+    codes: dict[str, int] = {}
+    single: dict[int, int] = {}
+    levels: list[dict[tuple, list]] = []
+    for t, term in enumerate(asked):
+        parts = [codes.setdefault(w, len(codes)) for w in term.split(" ")]
+        at = parts[0]
+        if len(parts) == 1:
+            single[at] = t
+        for n, w in enumerate(parts[1:]):
+            levels += [{}] if n == len(levels) else []
+            entry = levels[n].setdefault((at, w), [len(levels[n]), -1])
+            at = entry[0]
+            if n == len(parts) - 2:
+                entry[1] = t
+    terms = np.full(len(codes) + 1, -1)  # the last is for words that nobody asks for
+    terms[list(single)] = list(single.values())
+    flat = []
+    for level in levels:
+        rows = sorted((a * len(codes) + w, *entry) for (a, w), entry in level.items())
+        flat.append(tuple(np.array(x) for x in zip(*rows)))
+    return codes, terms, flat
+
+
+def _occurrences(texts: pd.Series, codes: dict[str, int], terms: np.ndarray, levels: list[tuple]) -> list[bytes]:
+    """Of each text, given as words, the numbers of the asked terms in it, as often as they come."""
+    sizes = texts.map(len).to_numpy()
+    flat = np.fromiter((codes.get(w, -1) for w in chain.from_iterable(texts)), "i8", int(sizes.sum()))
+    at = np.repeat(np.arange(len(texts)), sizes)
+    found, where = [terms[flat]], [at]
+    begun = flat
+    for n, (keys, begins, ends) in enumerate(levels, 1):
+        m = max(0, len(flat) - n)
+        begun, last = begun[:m], flat[n:]
+        key = np.where((begun >= 0) & (last >= 0) & (at[:m] == at[n:]), begun * len(codes) + last, -1)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[place] == key
+        begun = np.where(hit, begins[place], -1)
+        found.append(np.where(hit, ends[place], -1))
+        where.append(at[:m])
+    t, at = np.concatenate(found), np.concatenate(where)
+    t, at = t[t >= 0], at[t >= 0]
+    t = t[np.argsort(at, kind="stable")].astype("i4")
+    ends = np.cumsum(np.bincount(at, minlength=len(texts))) * 4
+    raw = t.tobytes()
+    return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+BLOCK = "n long, words long, ids array<string>, lens binary, counted array<int>, dfs array<int>, terms array<int>, sizes array<int>, docs binary, tf binary"
+
+
+def _block(df: pd.DataFrame) -> pd.DataFrame:
+    """One block of documents: rows of an id together are one document."""
+    ids = df["id"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    n = len(starts)
+    row = np.repeat(np.arange(n), np.diff([*starts, len(ids)]))
+    shown = np.maximum.reduceat(df["shown"].to_numpy(), starts) > 0
+    flat = np.frombuffer(b"".join(df["terms"]), "i4").astype("i8")
+    key, tf = np.unique(flat * n + np.repeat(row, df["terms"].map(len).to_numpy() // 4), return_counts=True)
+    term, doc = np.divmod(key, n)
+    counted, dfs = np.unique(term, return_counts=True)
+    term, doc, tf = term[shown[doc]], doc[shown[doc]], tf[shown[doc]]
+    terms, sizes = np.unique(term, return_counts=True)
+    lens = df["len"].to_numpy()
+    return pd.DataFrame({
+        "n": [int(df["rows"].sum())], "words": [int((lens * df["rows"].to_numpy()).sum())], "ids": [ids[starts]], "lens": [np.maximum.reduceat(lens, starts).astype("i4").tobytes()],
+        "counted": [counted.astype("i4")], "dfs": [dfs.astype("i4")], "terms": [terms.astype("i4")], "sizes": [sizes.astype("i4")],
+        "docs": [doc.astype(_whole(n)).tobytes()], "tf": [tf.astype(_whole(int(tf.max(initial=0)) + 1)).tobytes()],
+    })
+
+
+def _whole(n: int) -> str:
+    """The type of whole numbers below ``n``."""
+    return next(t for t, most in (("u1", 256), ("u2", 65_536), ("u4", 2**32)) if n <= most)
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """``n`` whole numbers, of the type that their bytes show."""
+    return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of about ``DOC_BLOCK`` rows in order of their ids, which no two blocks share."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= DOC_BLOCK:
+            df = pd.concat(held, ignore_index=True)
+            last = (df["id"] == df["id"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield _block(df[~last])
+            held = [df[last]]
+    if sum(map(len, held)):
+        yield _block(pd.concat(held, ignore_index=True))
+
+
+def _packed_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for b, g in batch.groupby("b"):
+            qs = g["qs"].iloc[0]
+            qids, which = np.unique(np.array([x["qid"] for x in qs], dtype=object), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            t, w = np.array([x["t"] for x in qs], dtype="i4")[order], np.array([x["w"] for x in qs], dtype="f8")[order]
+            yield pd.DataFrame({"b": [b], "qids": [qids], "asked": [np.bincount(which).astype("i4")], "qt": [t.tobytes()], "qw": [w.tobytes()]})
+
+
+class _Found:
+    """The best ``k`` documents of one query so far, and the k-th score once there are so many."""
+
+    def __init__(self, k: int):
+        self.k, self.least = k, 0.0
+        self.scores, self.ids = np.zeros(0), np.zeros(0, dtype=object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        s, i = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        if len(s) > self.k:
+            least = -np.partition(-s, self.k - 1)[self.k - 1]
+            above, tied = np.flatnonzero(s > least), np.flatnonzero(s == least)
+            room = self.k - len(above)
+            if len(tied) > room:
+                tied = np.array(sorted(tied.tolist(), key=i.__getitem__)[:room], dtype="i8")
+            kept = np.concatenate([above, tied])
+            s, i = s[kept], i[kept]
+        self.scores, self.ids = s, i
+        if len(s) == self.k:
+            self.least = float(s.min())
+
+
+def _scored(q: DataFrame, n_queries: int, docs: DataFrame, corpus: DataFrame | None, k: int, k1: float, b: float, idf, words, repeat_terms: bool) -> DataFrame:
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    asked = sorted(r.term for r in q.select("term").distinct().collect())
+    shared = sc.broadcast(_vocabulary(asked))
+    every = docs if corpus is None else corpus
+    d = every.select(F.col("id").cast("string").alias("id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
 
+    shown = int(corpus is None)
 
-def _scored(asked: list, docs: DataFrame, corpus: DataFrame | None, k: int, k1: float, b: float, idf, words, repeat_terms: bool) -> DataFrame:
-    spark = docs.sparkSession
-    number = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
-    # Every document has the empty term besides, so that those without an asked term count as well.
-    table = spark.createDataFrame([*number.items(), ("", -1)], "term string, t int")
-    lengths = sorted({t.count(" ") + 1 for t in number} - {1})
-    d = (docs if corpus is None else corpus).select(F.col("id").cast("string").alias("id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    d = d.select("id", F.size("w").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "w", *(_runs(F.col("w"), n) for n in lengths))).alias("term"))
-    d = d.join(F.broadcast(table), "term").groupBy("id").agg(
-        F.collect_list(F.when(F.col("t") >= 0, F.col("t"))).alias("terms"), F.max("len").alias("len"),
-        F.sum(F.when(F.col("t") < 0, F.col("len"))).alias("words"), F.count_if(F.col("t") < 0).alias("rows"),
-    )
-    d = checkpointed(d)
-    stats = d.agg(F.sum("rows").alias("n"), F.sum("words").alias("words")).first()
-    n, mean = stats.n or 0, (stats.words or 0) / max(1, stats.n or 0)
-    df = d.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    weight = {r.t: r.x for r in df.select("t", idf(F.lit(n), F.col("df")).alias("x")).collect()}
-    qids = sorted({r.qid for r in asked})
-    place = {x: i for i, x in enumerate(qids)}
-    # Per block of queries: places and weights by term.
-    blocks: list[dict[int, tuple]] = [{} for _ in range(partitions_for(len(qids), QUERY_BLOCK))]
-    for r in asked:
-        t = number[r.term]
-        if t in weight:
-            at, row = divmod(place[r.qid], QUERY_BLOCK)
-            rows, xs = blocks[at].setdefault(t, ([], []))
-            rows.append(row)
-            xs.append(weight[t] * (r.qtf if repeat_terms else 1))
-    shared = spark.sparkContext.broadcast([{t: (np.array(rows), np.array(xs)) for t, (rows, xs) in x.items()} for x in blocks])
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "len": batch["w"].map(len), "terms": _occurrences(batch["w"], *shared.value), "rows": 1, "shown": shown})
+
+    form = "id string, len int, terms binary, rows int, shown int"
+    d = d.mapInPandas(number, form)
     if corpus is not None:
-        d = d.join(docs.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+        # Ids of the documents that may be found come as rows without words.
+        d = d.unionByName(docs.select(F.col("id").cast("string").alias("id"), F.lit(0).alias("len"), F.lit(b"").alias("terms"), F.lit(0).alias("rows"), F.lit(1).alias("shown")))
+    cores = sc.defaultParallelism
+    parts = partitions_for(every.count(), DOC_BLOCK, cores)
+    d = checkpointed(d.repartition(parts, "id").sortWithinPartitions("id").mapInPandas(_blocks, BLOCK).withColumn("block", F.monotonically_increasing_id()))
+    stats = d.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    n, mean = stats.n or 0, (stats.words or 0) / max(1, stats.n or 0)
+    df = d.select(F.explode(F.arrays_zip("counted", "dfs")).alias("x")).groupBy(F.col("x.counted").alias("t")).agg(F.sum("x.dfs").alias("df"))
+    table = spark.createDataFrame(list(zip(asked, range(len(asked)))), "term string, t int")
+    weight = idf(F.lit(n), F.col("df")) * (F.col("qtf") if repeat_terms else F.lit(1))
+    # Tasks enough for all cores, whatever the number of queries.
+    nq = partitions_for(n_queries, max(1, min(QUERY_BLOCK, -(-n_queries // (2 * cores)))))
+    qs = q.join(F.broadcast(table), "term").join(df, "t").select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("b"), F.struct("qid", "t", weight.cast("double").alias("w")).alias("x"))
+    qs = qs.groupBy("b").agg(F.collect_list("x").alias("qs")).mapInPandas(_packed_queries, "b int, qids array<string>, asked array<int>, qt binary, qw binary")
+    qs = checkpointed(qs).repartitionByRange(nq, "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        at, block = None, None
         for batch in batches:
-            for at in range(0, len(batch), DOC_BLOCK):
-                part = batch.iloc[at : at + DOC_BLOCK]
-                for i, queries in enumerate(shared.value):
-                    yield _best(part, queries, qids[i * QUERY_BLOCK : (i + 1) * QUERY_BLOCK], k, k1, b, mean)
-
-    return d.select("id", "terms", "len").mapInPandas(run, "qid string, id string, score double")
-
-
-def _best(docs: pd.DataFrame, queries: dict[int, tuple], qids: list[str], k: int, k1: float, b: float, mean: float) -> pd.DataFrame:
-    """(qid, id, score) of the documents of a block that reach a query's k-th best score in it."""
-    sizes = docs["terms"].map(len).to_numpy()
-    flat = np.concatenate([*docs["terms"], np.zeros(0, "i4")]).astype("i8")
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    key, tf = np.unique(flat * len(docs) + doc, return_counts=True)
-    term, doc = np.divmod(key, max(1, len(docs)))
-    x = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * docs["len"].to_numpy()[doc] / max(mean, 1e-300)))
-    s = np.zeros((len(qids), len(docs)))
-    found, first = np.unique(term, return_index=True)
-    for t, lo, hi in zip(found.tolist(), first, [*first[1:], len(term)]):
-        if t in queries:
-            rows, w = queries[t]
-            s[np.ix_(rows, doc[lo:hi])] += np.outer(w, x[lo:hi])
-    s = np.round(s, 9)
-    n = min(k, s.shape[1])
-    least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-    i, j = np.nonzero((s >= least) & (s > 0))
-    return pd.DataFrame({"qid": np.asarray(qids, dtype=object)[i], "id": docs["id"].to_numpy()[j], "score": s[i, j]})
+            for r in batch.itertuples(index=False):
+                if r.block != at:
+                    at, block = r.block, _Postings(r, k1, b, mean)
+                if r.b not in known:
+                    ends = np.cumsum(r.asked)[:-1]
+                    known[r.b] = [(x, t.tolist(), w.tolist(), _Found(k)) for x, t, w in zip(r.qids, np.split(np.frombuffer(r.qt, "i4"), ends), np.split(np.frombuffer(r.qw), ends))]
+                for _, t, w, found in known[r.b]:
+                    block.search(t, w, found)
+        for found in known.values():
+            hits = [(x, f) for x, _, _, f in found if len(f.scores)]
+            for i in range(0, len(hits), 256):
+                part = hits[i : i + 256]
+                yield pd.DataFrame({
+                    "qid": np.repeat(np.array([x for x, _ in part], dtype=object), [len(f.scores) for _, f in part]),
+                    "id": np.concatenate([f.ids for _, f in part]), "score": np.concatenate([f.scores for _, f in part]),
+                })
+
+    # The hint keeps a small side from being sent to all tasks, which would leave one task for all queries.
+    pairs = d.coalesce(partitions_for(2 * cores, nq)).crossJoin(qs.hint("shuffle_replicate_nl"))
+    return pairs.mapInPandas(run, "qid string, id string, score double")
+
+
+class _Postings:
+    """A block of documents by term, with what each occurrence is worth."""
+
+    def __init__(self, r, k1: float, b: float, mean: float):
+        self.ids = np.asarray(r.ids, dtype=object)
+        sizes = np.asarray(r.sizes, dtype="i8")
+        n = int(sizes.sum())
+        self.docs = _numbers(r.docs, n).astype("i8")
+        tf = _numbers(r.tf, n).astype("f8")
+        lens = np.frombuffer(r.lens, "i4")
+        self.x = tf * (k1 + 1) / (tf + (k1 * ((1 - b) + b * lens / max(mean, 1e-300)))[self.docs])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        top = np.maximum.reduceat(self.x, starts) if n else self.x
+        self.terms = dict(zip(np.asarray(r.terms).tolist(), zip(top.tolist(), starts.tolist(), ends.tolist())))
+        self.sums = np.zeros(len(self.ids))
+
+    def search(self, terms: list[int], weights: list[float], found: _Found) -> None:
+        """Give ``found`` the documents that reach its k-th score: those without one of the weightiest terms can't, if
+        the rest together is worth less.
+        """
+        here = [(w * x[0], w, x[1], x[2]) for t, w in zip(terms, weights) if (x := self.terms.get(t))]
+        here.sort(reverse=True)
+        rest = [0.0]
+        for x in reversed(here):
+            rest.append(rest[-1] + max(0.0, x[0]))
+        rest.reverse()
+        least = found.least - MARGIN
+        if not here or rest[0] < least:
+            return
+        m = next((i for i, x in enumerate(rest) if x < least), len(here))
+        sums = self.sums
+        for _, w, lo, hi in here[:m]:
+            sums[self.docs[lo:hi]] += w * self.x[lo:hi]
+        doc = np.flatnonzero(sums > max(0.0, least - rest[m]))
+        s = sums[doc]
+        sums[:] = 0
+        for i in range(m, len(here)):
+            _, w, lo, hi = here[i]
+            reach = s + rest[i] >= least
+            doc, s = doc[reach], s[reach]
+            if not len(doc):
+                return
+            own = self.docs[lo:hi]
+            place = np.minimum(np.searchsorted(own, doc), hi - lo - 1)
+            s += np.where(own[place] == doc, w * self.x[lo:hi][place], 0.0)
+        s = np.round(s, 9)
+        good = (s >= found.least) & (s > 0)
+        if good.any():
+            s, doc = s[good], doc[good]
+            if len(s) > 4 * found.k:
+                best = s >= -np.partition(-s, found.k - 1)[found.k - 1]
+                s, doc = s[best], doc[best]
+            found.add(s, self.ids[doc])
 
 
 def hard_negatives(queries: DataFrame, docs: DataFrame, gold: DataFrame, k: int = 20) -> DataFrame:

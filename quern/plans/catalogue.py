@@ -361,8 +361,11 @@ def run_fingerprints(spark, d):
 
 def first_gold_rank(spark, d):
     # Labels are few and seldom near the top, so more than the first page is ranked.
-    runs = lexical.bm25(_eval_queries(spark, d), _docs(current(spark, d)), 200)
-    return retrieval.first_gold(runs, _labels(spark, d).filter("grade >= 1"), _eval_queries(spark, d)).filter("first_rank IS NOT NULL")
+    # Queries without a relevant record have no such rank, so they aren't searched for.
+    gold = _labels(spark, d).filter("grade >= 1")
+    q = _eval_queries(spark, d).join(gold.select("qid").distinct(), "qid", "left_semi")
+    runs = lexical.bm25(q, _docs(current(spark, d)), 200)
+    return retrieval.first_gold(runs, gold, q).filter("first_rank IS NOT NULL")
 
 
 def rerank_overlap(spark, d):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -217,3 +218,30 @@ def test_many_queries_by_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
     monkeypatch.setattr(vector, "ROW_BLOCK", 40)
     assert {tuple(r) for r in vector.topk(some, df, 7).collect()} == here and len(here) == 60 * 7
+
+
+def test_lexical_hits_dont_grow_with_blocks(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = {f"d{i:03}": [rng.choice(words[: rng.choice((5, 40))]) for _ in range(rng.randint(0, 12))] for i in range(400)}
+    asked = {f"q{i}": rng.sample(words, 5) for i in range(64)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id string, text string")
+    q = spark.createDataFrame([(i, " ".join(t)) for i, t in asked.items()], "qid string, text string")
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 16)
+    made, real = [], lexical._scored
+    monkeypatch.setattr(lexical, "_scored", lambda *a: made.append(real(*a)) or made[-1])
+    got: dict = {}
+    for r in lexical.bm25(q, docs, 3).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    df = Counter(w for t in texts.values() for w in set(t))
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    for qid, terms in asked.items():
+        want = []
+        for i, t in texts.items():
+            s = sum(max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in terms)
+            want.append((-round(s, 9), i))
+        assert [(i, pytest.approx(-s, abs=2e-9)) for s, i in sorted(want)[:3]] == got[qid]
+    assert made[0].count() == 64 * 3
