@@ -2,8 +2,9 @@
 
 A stated set of queries of checked size goes to the rows, which stay where they are: each task keeps the
 best k of its rows for each query, and only these are shuffled. Larger sets of queries and the rows are
-packed into blocks of bounded size, and each pair of blocks is one matrix product that keeps only the
-best rows of each query, so neither side has to fit anywhere whole.
+packed into blocks of bounded size. A block of queries meets all blocks of rows in one task, or in few, by matrix
+products, and gives its best rows once, so neither side has to fit anywhere whole, and what is shuffled doesn't
+grow with the number of rows.
 """
 
 from __future__ import annotations
@@ -16,24 +17,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import valid
-from quern.session import partitions_for, spread
+from quern.session import checkpointed, partitions_for, spread
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+# Numbers in a block of rows or queries at most (8 MB), and in a piece of a product.
+BLOCK_NUMBERS, PRODUCT = 1_000_000, 4_000_000
+# Scores within so little of a bound are rounded before they are compared.
+MARGIN = 1e-8
 # Up to so many queries, of so many numbers in all (64 MB), are sent to the rows where they lie; more meet blocks of rows by a join.
 BROADCAST_QUERIES, BROADCAST_NUMBERS = 4096, 8_000_000
 SLICE = 2048
 
 
-def _packed(df: DataFrame, block: int, total: int) -> DataFrame:
-    """Rows (space, b, ids, matrix): vectors of one space in numbered blocks."""
-    n = partitions_for(total, block)
-    place = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        m = _unit(g["vector"])
-        return pd.DataFrame({"space": [g["space"].iloc[0]], "b": [g["b"].iloc[0]], "ids": [g["id"].tolist()], "matrix": [m.tobytes()]})
-
-    return df.withColumn("b", place).groupBy("space", "b").applyInPandas(pack, "space string, b int, ids array<string>, matrix binary")
+PACKED = "spaces array<string>, sizes array<int>, ids array<string>, matrix binary"
+
+
+def _packed(block: int):
+    """Function of batches of rows (id, space, vector) giving blocks of up to so many, ordered by space, where they lie."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            batch = batch.sort_values("space", kind="stable")
+            numbers = np.cumsum(batch["vector"].map(len).to_numpy())
+            while at < len(batch):
+                room = np.searchsorted(numbers, (numbers[at - 1] if at else 0) + BLOCK_NUMBERS, side="right")
+                part = batch.iloc[at : max(at + 1, min(at + block, int(room)))]
+                at += len(part)
+                spaces = part.groupby("space", sort=False)
+                m = b"".join(_unit(g["vector"]).tobytes() for _, g in spaces)
+                yield pd.DataFrame({"spaces": [[x for x, _ in spaces]], "sizes": [[len(g) for _, g in spaces]], "ids": [part["id"].tolist()], "matrix": [m]})
+
+    return pack
+
+
+def _opened(spaces, sizes, ids, matrix: bytes) -> Iterator[tuple]:
+    """(space, ids, matrix) of a block."""
+    ids, numbers, row, at = np.asarray(ids, dtype=object), np.frombuffer(matrix), 0, 0
+    for space, n in zip(spaces, sizes):
+        dim = int(space.rpartition("|")[2])
+        yield space, ids[row : row + n], numbers[at : at + n * dim].reshape(n, dim)
+        row, at = row + n, at + n * dim
+
+
+class _Found:
+    """The best ``k`` rows so far of each query of one space in a block."""
+
+    def __init__(self, qids: np.ndarray, x: np.ndarray, k: int, rounding: int):
+        self.qids, self.x, self.k, self.rounding = qids, x, k, rounding
+        self.least = np.full(len(qids), -np.inf)
+        self.new, self.n_new = [(np.zeros(0, "i8"), np.zeros(0), np.zeros(0, dtype=object))], 0
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        step = max(1, PRODUCT // len(ids))
+        for lo in range(0, len(self.qids), step):
+            s = self.x[lo : lo + step] @ y.T
+            least = self.least[lo : lo + step, None] - MARGIN
+            if len(ids) > self.k and np.isinf(least).any():
+                least = np.maximum(least, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k] - MARGIN)
+            # All that reach the k-th score stay, so that ties are decided by id.
+            i, j = np.nonzero(s >= least)
+            self.new.append((i + lo, np.round(s[i, j], self.rounding) + 0.0, ids[j]))
+            self.n_new += len(i)
+        if self.n_new >= len(self.qids) * self.k or np.isinf(self.least).any():
+            self.settle()
+
+    def settle(self) -> None:
+        q, s, ids = (np.concatenate(x) for x in zip(*self.new))
+        order = np.lexsort((-s, q))
+        q, s, ids = q[order], s[order], ids[order]
+        sizes = np.bincount(q, minlength=len(self.qids))
+        starts = np.cumsum(sizes) - sizes
+        full = sizes >= self.k
+        self.least[full] = s[starts[full] + self.k - 1]
+        rank = np.arange(len(q)) - starts[q]
+        kept = rank < self.k
+        # Where more rows tie for the last places than there is room, the lowest ids have them.
+        tied = s == self.least[q]
+        for x in np.unique(q[tied & ~kept]).tolist():
+            part = np.flatnonzero(tied[starts[x] : starts[x] + sizes[x]]) + starts[x]
+            room = int(kept[part].sum())
+            kept[part] = False
+            kept[sorted(part.tolist(), key=ids.__getitem__)[:room]] = True
+        self.new, self.n_new = [(q[kept], s[kept], ids[kept])], 0
+
+    def hits(self) -> Iterator[pd.DataFrame]:
+        self.settle()
+        q, s, ids = self.new[0]
+        for at in range(0, len(q), 50_000):
+            yield pd.DataFrame({"qid": self.qids[q[at : at + 50_000]], "id": ids[at : at + 50_000], "score": s[at : at + 50_000]})
 
 
 def _unit(vectors) -> np.ndarray:
@@ -93,27 +165,28 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
     if size["n"] <= BROADCAST_QUERIES and size["numbers"] <= BROADCAST_NUMBERS:
         parts = spread(r).mapInPandas(_in_place(q, k, rounding), "qid string, id string, score double")
         return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    n_queries, n_rows = queries.count(), rows.count()
-    qb = _packed(q, QUERY_BLOCK, n_queries).withColumnsRenamed({"ids": "qids", "matrix": "qm"}).drop("b")
-    # Enough blocks for all cores, whatever the number of rows.
+    # Tasks enough for all cores, whatever the number of queries.
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    block = max(1, min(ROW_BLOCK, -(-n_rows // cores)))
-    rb = _packed(r, block, n_rows)
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(partitions_for(n_rows, block) - 1)))
-    paired = rb.join(qb.withColumn("b", numbers), ["space", "b"])
+    block = max(1, min(QUERY_BLOCK, -(-size["n"] // (2 * cores)), BLOCK_NUMBERS * size["n"] // max(1, size["numbers"])))
+    nq = partitions_for(size["n"], block)
+    qb = checkpointed(q.repartitionByRange(nq, "space", F.xxhash64("id")).mapInPandas(_packed(QUERY_BLOCK), PACKED))
+    qb = qb.select(F.monotonically_increasing_id().alias("b"), *(F.col(c).alias(f"q_{c}") for c in qb.columns))
+    rb = checkpointed(r.mapInPandas(_packed(ROW_BLOCK), PACKED))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qids, qm, ids, m in zip(b["qids"], b["qm"], b["ids"], b["matrix"]):
-                x = np.frombuffer(qm).reshape(len(qids), -1)
-                y = np.frombuffer(m).reshape(len(ids), -1)
-                s = np.round(x @ y.T, rounding) + 0.0
-                ids = np.asarray(ids, dtype=object)
-                n = min(k, len(ids))
-                # All that reach the k-th score stay, so that ties are decided by id, in the window.
-                least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero(s >= least)
-                yield pd.DataFrame({"qid": np.asarray(qids, dtype=object)[i], "id": ids[j], "score": s[i, j]})
-
-    parts = paired.mapInPandas(score, "qid string, id string, score double")
+        known: dict = {}
+        for batch in batches:
+            for t in batch.itertuples(index=False):
+                if t.b not in known:
+                    known[t.b] = {x: _Found(qids, m, k, rounding) for x, qids, m in _opened(t.q_spaces, t.q_sizes, t.q_ids, t.q_matrix)}
+                for space, ids, m in _opened(t.spaces, t.sizes, t.ids, t.matrix):
+                    if space in known[t.b]:
+                        known[t.b][space].meet(ids, m)
+        for found in known.values():
+            for x in found.values():
+                yield from x.hits()
+
+    # The hint keeps a small side from being sent to all tasks, which would leave one task for all queries.
+    pairs = rb.coalesce(partitions_for(2 * cores, nq)).crossJoin(qb.hint("shuffle_replicate_nl"))
+    parts = pairs.mapInPandas(score, "qid string, id string, score double")
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

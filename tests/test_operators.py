@@ -245,3 +245,17 @@ def test_lexical_hits_dont_grow_with_blocks(spark, monkeypatch):
             want.append((-round(s, 9), i))
         assert [(i, pytest.approx(-s, abs=2e-9)) for s, i in sorted(want)[:3]] == got[qid]
     assert made[0].count() == 64 * 3
+
+
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(f"r{i:03}", "x", x.tolist()) for i, x in enumerate(rng.normal(size=(300, 4)))]
+    spark.createDataFrame(rows, "id string, space string, vector array<double>").write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    here = {tuple(r) for r in vector.topk(df, df, 5).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    by_blocks = vector.topk(df, df, 5)
+    assert "Broadcast" not in by_blocks._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in by_blocks.collect()} == here and len(here) == 300 * 5
