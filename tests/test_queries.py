@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quern.operators import vector
 from quern.plans import catalogue
 
 
@@ -43,3 +44,18 @@ def test_query_runs(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["envelope_partition"])
+def test_legs_by_blocks_equal_sql(spark, data, con, monkeypatch, name):
+    plans, real = [], vector.topk
+
+    def topk(*args):
+        out = real(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(vector, "topk", topk)
+    test_query_equals_sql(spark, data, con, name)
+    assert plans and not any("Broadcast" in p for p in plans)
