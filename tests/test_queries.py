@@ -46,7 +46,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["envelope_partition", "ir_metrics_per_query", "pool_depth_sweep"])
+@pytest.mark.parametrize("name", ["envelope_partition", "ir_metrics_per_query", "pool_depth_sweep", "resampling_tests"])
 def test_legs_by_blocks_equal_sql(spark, data, con, monkeypatch, name):
     plans, real = [], vector.topk
 
