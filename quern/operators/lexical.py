@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, reduce
@@ -9,9 +10,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import places
 from quern.schema import QUERY_CHARS, QUERY_TERMS
 from quern.session import checkpointed, partitions_for
 
@@ -19,6 +22,8 @@ from quern.session import checkpointed, partitions_for
 QUERY_BLOCK, DOC_BLOCK = 2048, 32_768
 # Words of so many queries are sent to all tasks at once; more queries take more passes.
 PASS_QUERIES = 262_144
+# Worths as whole numbers have so many levels. Terms of one in so many documents of a block have a row of all its documents, up to so many numbers in all (24 MB).
+LEVELS, ROW_SHARE, ROW_NUMBERS = 100, 32, 12_000_000
 # Scores within so little of a bound are worked out in full.
 MARGIN = 1e-8
 # Words that the overlap measure and hard-negative mining leave out.
@@ -201,8 +206,14 @@ def _block(df: pd.DataFrame) -> pd.DataFrame:
     n = len(starts)
     row = np.repeat(np.arange(n), np.diff([*starts, len(ids)]))
     shown = np.maximum.reduceat(df["shown"].to_numpy(), starts) > 0
-    flat = np.frombuffer(b"".join(df["terms"]), "i4").astype("i8")
-    key, tf = np.unique(flat * n + np.repeat(row, df["terms"].map(len).to_numpy() // 4), return_counts=True)
+    flat = np.frombuffer(b"".join(df["terms"]), "i4")
+    # Keys of four bytes where they do, as this is most of what a worker holds.
+    key = flat.astype(_whole((int(flat.max(initial=0)) + 1) * n + 1, "u4"))
+    key *= key.dtype.type(n)
+    key += np.repeat(row, df["terms"].map(len).to_numpy() // 4).astype(key.dtype)
+    key.sort()
+    begins = np.flatnonzero(np.concatenate([[len(key) > 0], key[1:] != key[:-1]]))[: len(key)]
+    key, tf = key[begins].astype("i8"), np.diff(begins, append=len(key))
     term, doc = np.divmod(key, n)
     counted, dfs = np.unique(term, return_counts=True)
     term, doc, tf = term[shown[doc]], doc[shown[doc]], tf[shown[doc]]
@@ -215,12 +226,12 @@ def _block(df: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _whole(n: int) -> str:
-    """The type of whole numbers below ``n``."""
-    return next(t for t, most in (("u1", 256), ("u2", 65_536), ("u4", 2**32)) if n <= most)
+def _whole(n: int, least: str = "u1") -> str:
+    """The type of whole numbers below ``n``, ``least`` or larger."""
+    return next(t for t, most in (("u1", 256), ("u2", 65_536), ("u4", 2**32), ("u8", 2**64)) if n <= most and t >= least)
 
 
-def _numbers(raw: bytes, n: int) -> np.ndarray:
+def _numbers(raw: pa.Buffer, n: int) -> np.ndarray:
     """``n`` whole numbers, of the type that their bytes show."""
     return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}")
 
@@ -305,86 +316,112 @@ def _scored(q: DataFrame, n_queries: int, docs: DataFrame, corpus: DataFrame | N
     qs = qs.groupBy("b").agg(F.collect_list("x").alias("qs")).mapInPandas(_packed_queries, "b int, qids array<string>, asked array<int>, qt binary, qw binary")
     qs = checkpointed(qs).repartitionByRange(nq, "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Blocks are read where Arrow has them, and one at a time, so a worker holds few of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         at, block = None, None
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.block != at:
-                    at, block = r.block, _Postings(r, k1, b, mean)
-                if r.b not in known:
-                    ends = np.cumsum(r.asked)[:-1]
-                    known[r.b] = [(x, t.tolist(), w.tolist(), _Found(k)) for x, t, w in zip(r.qids, np.split(np.frombuffer(r.qt, "i4"), ends), np.split(np.frombuffer(r.qw), ends))]
-                for _, t, w, found in known[r.b]:
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i] for name in batch.schema.names}
+                if r["block"].as_py() != at:
+                    at, block = r["block"].as_py(), None
+                    block = _Postings(r, k1, b, mean)
+                if (of := r["b"].as_py()) not in known:
+                    ends = np.cumsum(r["asked"].as_py())[:-1]
+                    terms, weights = (np.split(np.frombuffer(r[c].as_buffer(), kind), ends) for c, kind in (("qt", "i4"), ("qw", "f8")))
+                    known[of] = [(x, t.tolist(), w.tolist(), _Found(k)) for x, t, w in zip(r["qids"].as_py(), terms, weights)]
+                for _, t, w, found in known[of]:
                     block.search(t, w, found)
+                del r
+            del batch
+        block = None
         for found in known.values():
             hits = [(x, f) for x, _, _, f in found if len(f.scores)]
             for i in range(0, len(hits), 256):
                 part = hits[i : i + 256]
-                yield pd.DataFrame({
-                    "qid": np.repeat(np.array([x for x, _ in part], dtype=object), [len(f.scores) for _, f in part]),
-                    "id": np.concatenate([f.ids for _, f in part]), "score": np.concatenate([f.scores for _, f in part]),
+                yield pa.RecordBatch.from_pydict({
+                    "qid": pa.array([x for x, f in part for _ in f.ids], pa.string()), "id": pa.array(np.concatenate([f.ids for _, f in part]), pa.string()),
+                    "score": pa.array(np.concatenate([f.scores for _, f in part])),
                 })
 
     # The hint keeps a small side from being sent to all tasks, which would leave one task for all queries.
     pairs = d.coalesce(partitions_for(2 * cores, nq)).crossJoin(qs.hint("shuffle_replicate_nl"))
-    return pairs.mapInPandas(run, "qid string, id string, score double")
+    return pairs.mapInArrow(run, "qid string, id string, score double")
 
 
 class _Postings:
-    """A block of documents by term, with what each occurrence is worth."""
-
-    def __init__(self, r, k1: float, b: float, mean: float):
-        self.ids = np.asarray(r.ids, dtype=object)
-        sizes = np.asarray(r.sizes, dtype="i8")
-        n = int(sizes.sum())
-        self.docs = _numbers(r.docs, n).astype("i8")
-        tf = _numbers(r.tf, n).astype("f8")
-        lens = np.frombuffer(r.lens, "i4")
-        self.x = tf * (k1 + 1) / (tf + (k1 * ((1 - b) + b * lens / max(mean, 1e-300)))[self.docs])
+    """A block of documents by term and by document, with what each occurrence is worth.
+
+    Worths are also kept as whole numbers, rounded up; terms of many documents have a row of these for all documents.
+    """
+
+    def __init__(self, r: dict[str, pa.Scalar], k1: float, b: float, mean: float):
+        self.ids = r["ids"].values.to_numpy(zero_copy_only=False)
+        sizes = r["sizes"].values.to_numpy().astype("i8")
+        n, m = int(sizes.sum()), len(self.ids)
+        docs = _numbers(r["docs"].as_buffer(), n)
+        self.docs = docs.astype("i8")
+        x = _numbers(r["tf"].as_buffer(), n).astype("f8")
+        lens = np.frombuffer(r["lens"].as_buffer(), "i4")
+        x *= (k1 + 1) / (x + (k1 * ((1 - b) + b * lens / max(mean, 1e-300)))[self.docs])
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        top = np.maximum.reduceat(self.x, starts) if n else self.x
-        self.terms = dict(zip(np.asarray(r.terms).tolist(), zip(top.tolist(), starts.tolist(), ends.tolist())))
-        self.sums = np.zeros(len(self.ids))
+        self.unit = float(x.max(initial=0.0)) / LEVELS or 1.0
+        self.whole = np.ceil(x / self.unit).astype("u2")
+        top = np.maximum.reduceat(self.whole, starts) if n else self.whole
+        often = np.argsort(-sizes, kind="stable")[: ROW_NUMBERS // max(1, m)]
+        often = often[sizes[often] * ROW_SHARE >= m]
+        self.rows = np.zeros((len(often), m), "u2")
+        rows = np.full(len(sizes), -1)
+        for row, t in enumerate(often.tolist()):
+            rows[t] = row
+            self.rows[row, self.docs[starts[t] : ends[t]]] = self.whole[starts[t] : ends[t]]
+        self.terms = dict(zip(r["terms"].as_py(), zip(range(len(sizes)), top.tolist(), starts.tolist(), ends.tolist(), rows.tolist())))
+        order = np.argsort(docs, kind="stable")
+        self.place, self.x = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)[order], x[order]
+        self.sizes = np.bincount(docs, minlength=m)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sums, self.worth, self.weights = np.zeros(m, "u2"), np.zeros(m, "u2"), np.zeros(len(sizes))
+
+    def score(self, doc: np.ndarray) -> np.ndarray:
+        """Scores of documents with asked terms, by the weights set."""
+        sizes = self.sizes[doc]
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat(self.starts[doc] - first, sizes) + np.arange(int(sizes.sum()))
+        return np.round(np.add.reduceat(self.weights[self.place[at]] * self.x[at], first), 9)
 
     def search(self, terms: list[int], weights: list[float], found: _Found) -> None:
-        """Give ``found`` the documents that reach its k-th score: those without one of the weightiest terms can't, if
-        the rest together is worth less.
-        """
-        here = [(w * x[0], w, x[1], x[2]) for t, w in zip(terms, weights) if (x := self.terms.get(t))]
-        here.sort(reverse=True)
-        rest = [0.0]
-        for x in reversed(here):
-            rest.append(rest[-1] + max(0.0, x[0]))
-        rest.reverse()
-        least = found.least - MARGIN
-        if not here or rest[0] < least:
+        """Give ``found`` the documents that reach its k-th score. Sums of whole numbers, which no score exceeds, tell which may."""
+        here = [(w, *x) for t, w in zip(terms, weights) if (x := self.terms.get(t))]
+        good = [x for x in here if x[0] > 0]
+        most = sum(w * top for w, _, top, *_ in good)
+        if not good or most * self.unit < found.least - MARGIN:
             return
-        m = next((i for i, x in enumerate(rest) if x < least), len(here))
+        # Weights in such units that no sum exceeds 16 bits. Terms of no or negative weight add nothing to what is possible.
+        unit = most / (65_535 - sum(top for _, _, top, *_ in good))
         sums = self.sums
-        for _, w, lo, hi in here[:m]:
-            sums[self.docs[lo:hi]] += w * self.x[lo:hi]
-        doc = np.flatnonzero(sums > max(0.0, least - rest[m]))
-        s = sums[doc]
         sums[:] = 0
-        for i in range(m, len(here)):
-            _, w, lo, hi = here[i]
-            reach = s + rest[i] >= least
-            doc, s = doc[reach], s[reach]
-            if not len(doc):
-                return
-            own = self.docs[lo:hi]
-            place = np.minimum(np.searchsorted(own, doc), hi - lo - 1)
-            s += np.where(own[place] == doc, w * self.x[lo:hi][place], 0.0)
-        s = np.round(s, 9)
-        good = (s >= found.least) & (s > 0)
-        if good.any():
-            s, doc = s[good], doc[good]
-            if len(s) > 4 * found.k:
-                best = s >= -np.partition(-s, found.k - 1)[found.k - 1]
-                s, doc = s[best], doc[best]
-            found.add(s, self.ids[doc])
+        for w, _, _, lo, hi, row in good:
+            w = np.uint16(math.ceil(w / unit))
+            if row >= 0:
+                sums += np.multiply(self.rows[row], w, out=self.worth)
+            else:
+                sums[self.docs[lo:hi]] += self.whole[lo:hi] * w
+        asked = [x[1] for x in here]
+        self.weights[asked] = [x[0] for x in here]
+        least = found.least
+        if not least:
+            # The first documents: the score that so many of the likeliest reach.
+            doc = np.argpartition(sums, -found.k)[-found.k :] if len(sums) > found.k else np.arange(len(sums))
+            doc = doc[sums[doc] > 0]
+            least = max(0.0, float(self.score(doc).min())) if len(doc) == found.k else 0.0
+        doc = places(sums >= min(65_535, max(1, math.floor((least - MARGIN) / (unit * self.unit)))))
+        if len(doc):
+            s = self.score(doc)
+            reach = (s >= least) & (s > 0)
+            if reach.any():
+                found.add(s[reach], self.ids[doc[reach]])
+        self.weights[asked] = 0
 
 
 def hard_negatives(queries: DataFrame, docs: DataFrame, gold: DataFrame, k: int = 20) -> DataFrame:

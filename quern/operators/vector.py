@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import valid
+from quern.functions.vectors import places, valid
 from quern.session import checkpointed, partitions_for, spread
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
@@ -65,19 +65,26 @@ class _Found:
 
     def __init__(self, qids: np.ndarray, x: np.ndarray, k: int, rounding: int):
         self.qids, self.x, self.k, self.rounding = qids, x, k, rounding
+        self.single = x.astype("f4")
         self.least = np.full(len(qids), -np.inf)
         self.new, self.n_new = [(np.zeros(0, "i8"), np.zeros(0), np.zeros(0, dtype=object))], 0
 
     def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
         step = max(1, PRODUCT // len(ids))
+        single = y.astype("f4").T
+        # Products of single precision are off by less than this; what they let through is worked out in double.
+        off = MARGIN + (len(single) + 2) * 2.0**-22
         for lo in range(0, len(self.qids), step):
-            s = self.x[lo : lo + step] @ y.T
-            least = self.least[lo : lo + step, None] - MARGIN
+            s = self.single[lo : lo + step] @ single
+            least = self.least[lo : lo + step, None] - off
             if len(ids) > self.k and np.isinf(least).any():
-                least = np.maximum(least, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k] - MARGIN)
+                least = np.maximum(least, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k] - 2 * off)
             # All that reach the k-th score stay, so that ties are decided by id.
-            i, j = np.nonzero(s >= least)
-            self.new.append((i + lo, np.round(s[i, j], self.rounding) + 0.0, ids[j]))
+            i, j = np.divmod(places(s >= least.astype("f4")), len(ids))
+            s = np.einsum("ij,ij->i", self.x[i + lo], y[j])
+            reach = s >= self.least[i + lo] - MARGIN
+            i, j, s = i[reach], j[reach], s[reach]
+            self.new.append((i + lo, np.round(s, self.rounding) + 0.0, ids[j]))
             self.n_new += len(i)
         if self.n_new >= len(self.qids) * self.k or np.isinf(self.least).any():
             self.settle()

@@ -18,6 +18,8 @@ from quern.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, POOL = 10, 60
+# So many rows that go or change are sent to all tasks at most (16 MB); more meet the others by a join.
+SENT = 500_000
 
 
 def _mem(spark, d):
@@ -26,10 +28,15 @@ def _mem(spark, d):
 
 def current(spark: SparkSession, d: str) -> DataFrame:
     """The store after all deliveries: one row per scope, kind and content."""
-    rows = _mem(spark, d)
-    # Two numbers per record, written once however often the store is read.
-    state = checkpointed(upsert.fold(rows).select("seq", F.col("proof_count").alias("__proof")))
-    return rows.join(state, "seq").withColumn("proof_count", F.col("__proof")).drop("__proof")
+    rows = _mem(spark, d).filter("seq IS NOT NULL")
+    state = upsert.fold(rows).select("seq", F.col("proof_count").alias("__proof"), F.lit(True).alias("__kept"))
+    # Numbers of those rows only that go or change, written once however often the store is read.
+    moved = rows.select("seq", "proof_count").join(state, "seq", "left").filter("__kept IS NULL OR NOT __proof <=> proof_count").drop("proof_count")
+    moved = checkpointed(moved.withColumn("__moved", F.lit(True)))
+    # Few of them are sent to the rows, so that texts and vectors stay where they are.
+    moved = F.broadcast(moved) if moved.count() <= SENT else moved
+    rows = rows.join(moved, "seq", "left").filter("__moved IS NULL OR __kept")
+    return rows.withColumn("proof_count", F.when(F.col("__kept"), F.col("__proof")).otherwise(F.col("proof_count"))).drop("__proof", "__kept", "__moved")
 
 
 def _eval_queries(spark, d):
@@ -68,7 +75,7 @@ def usage_bump(spark, d):
 
 def delete_scoped(spark, d):
     # Every superseded record of the largest scope goes.
-    rows = _mem(spark, d)
+    rows = _mem(spark, d).filter("seq IS NOT NULL")
     scope = rows.groupBy("scope_key").count().orderBy(F.desc("count"), "scope_key").first()[0]
     gone = rows.filter((F.col("status") == "superseded"))
     return upsert.delete(rows, scope, gone).groupBy("scope_key").agg(F.count("*").alias("n"))
@@ -84,7 +91,7 @@ def resolve_pending(spark, d):
 
 
 def carry_forward(spark, d):
-    rows = _mem(spark, d)
+    rows = _mem(spark, d).filter("seq IS NOT NULL")
     return upsert.carried(rows, rows).groupBy("embedder_name").agg(F.count("*").alias("n"), F.count("embedding").alias("n_vectors"))
 
 

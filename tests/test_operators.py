@@ -259,3 +259,34 @@ def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch, tmp_path):
     by_blocks = vector.topk(df, df, 5)
     assert "Broadcast" not in by_blocks._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in by_blocks.collect()} == here and len(here) == 300 * 5
+
+
+def test_blocks_of_documents_are_read_where_arrow_has_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"a w{i % 7} w{i % 3}" if i % 20 else "") for i in range(200)], "id string, text string")
+    q = spark.createDataFrame([(f"q{i}", f"w{i} a none") for i in range(7)], "qid string, text string")
+    made, real = [], lexical._scored
+    monkeypatch.setattr(lexical, "_scored", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 10)
+    assert lexical.bm25(q, docs, 4).count() == 7 * 4
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    # A pandas frame would hold each batch of blocks a second time.
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_vectors_alike_to_seven_digits_keep_their_order(spark, monkeypatch):
+    rows = [(f"r{i:02}", "x", [1.0, 1e-4 * i, 3e-4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, space string, vector array<double>")
+    here = {tuple(r) for r in vector.topk(df, df, 5).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    assert {tuple(r) for r in vector.topk(df, df, 5).collect()} == here
+
+
+def test_the_store_is_read_without_shuffling_texts(spark, data, monkeypatch):
+    from quern.plans import catalogue
+
+    rows = catalogue.current(spark, data).select("seq", "content", "proof_count")
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(catalogue, "SENT", 0)
+    joined = catalogue.current(spark, data).select("seq", "content", "proof_count")
+    assert "Exchange hashpartitioning" in joined._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in joined.collect()}
