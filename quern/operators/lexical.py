@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.vectors import places
 from quern.schema import QUERY_CHARS, QUERY_TERMS
-from quern.session import checkpointed, partitions_for
+from quern.session import checkpointed, partitions_for, small_batches
 
 # Queries and documents are scored in blocks of so many rows.
 QUERY_BLOCK, DOC_BLOCK = 2048, 32_768
@@ -286,6 +286,7 @@ class _Found:
 def _scored(q: DataFrame, n_queries: int, docs: DataFrame, corpus: DataFrame | None, k: int, k1: float, b: float, idf, words, repeat_terms: bool) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     asked = sorted(r.term for r in q.select("term").distinct().collect())
     shared = sc.broadcast(_vocabulary(asked))
     every = docs if corpus is None else corpus

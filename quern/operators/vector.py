@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import places, valid
-from quern.session import checkpointed, partitions_for, spread
+from quern.session import checkpointed, partitions_for, small_batches, spread
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 # Numbers in a block of rows or queries at most (8 MB), and in a piece of a product.
@@ -172,6 +172,7 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, rounding: int = 9) -> Data
     if size["n"] <= BROADCAST_QUERIES and size["numbers"] <= BROADCAST_NUMBERS:
         parts = spread(r).mapInPandas(_in_place(q, k, rounding), "qid string, id string, score double")
         return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    small_batches(rows.sparkSession)
     # Tasks enough for all cores, whatever the number of queries.
     cores = rows.sparkSession.sparkContext.defaultParallelism
     block = max(1, min(QUERY_BLOCK, -(-size["n"] // (2 * cores)), BLOCK_NUMBERS * size["n"] // max(1, size["numbers"])))

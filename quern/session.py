@@ -16,6 +16,9 @@ SETTINGS = {
 }
 
 
+BATCH_BYTES = 16 << 20
+
+
 def get_spark(master: str = "local[*]", **conf: str) -> SparkSession:
     """Build a session with the settings the operators rely on."""
     b = SparkSession.builder.master(master)
@@ -43,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let blocks go to Python workers a few at a time: a batch is held by the JVM and by the worker, and Spark's own limit is 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

@@ -290,3 +290,15 @@ def test_the_store_is_read_without_shuffling_texts(spark, data, monkeypatch):
     joined = catalogue.current(spark, data).select("seq", "content", "proof_count")
     assert "Exchange hashpartitioning" in joined._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in joined.collect()}
+
+
+def test_blocks_go_to_workers_in_small_batches(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "x", [1.0, 2.0])], "id string, space string, vector array<double>")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    vector.topk(df, df, 1)
+    assert int(spark.conf.get(name)) <= 16 << 20
+    spark.conf.unset(name)
+    lexical.bm25(df.select(df.id.alias("qid"), df.id.alias("text")), df.select("id", df.id.alias("text")), 1)
+    assert int(spark.conf.get(name)) <= 16 << 20
